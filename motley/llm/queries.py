@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motley.llm import neardup, packing, quality, tokens
+from motley.llm import linededup, mixing, neardup, packing, quality, tokens
 from motley.llm.shared import table
 
 
@@ -28,5 +28,13 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op7_mix_sources(spark, sf_dir):
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing, op7_mix_sources, op9_line_dedup)}
+ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE, "op9_line_dedup": linededup.ORACLE}
