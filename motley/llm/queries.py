@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motley.llm import linededup, mixing, neardup, packing, quality, tokens
+from motley.llm import fingerprints, linededup, mixing, neardup, packing, pii, quality, tokens
 from motley.llm.shared import table
 
 
@@ -32,9 +32,17 @@ def op7_mix_sources(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(_documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing, op7_mix_sources, op9_line_dedup)}
+def op10_pii(spark, sf_dir):
+    return pii.find(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing, op7_mix_sources, op8_fingerprints, op9_line_dedup, op10_pii)}
 ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE, "op9_line_dedup": linededup.ORACLE}
