@@ -8,23 +8,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motley.llm import neardup, packing, quality
+from motley.llm import linededup, mixing, neardup, packing, quality
 from motley.llm.shared import table, written
 
 
+#: Share of the deduplicated tokens that mixing takes; no document is taken twice.
+MIX_SHARE = 0.8
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.apply(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.apply(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.apply(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply(docs, share=MIX_SHARE, epochs=1)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("packing", best_fit_packing)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("mixing", mix_sources), ("packing", best_fit_packing)]
 
 #: Sketches, token ids and least squares have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motley.llm import fingerprints, linededup, mixing, neardup, packing, pii, quality, tokens
+from motley.llm import chat, fingerprints, html, linededup, mixing, neardup, packing, pii, quality, tokens
 from motley.llm.shared import table
 
 
@@ -12,6 +12,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table(sf_dir, "documents"))
 
 
+def op1_chat_format(spark, sf_dir):
+    return chat.format_chats(spark.read.parquet(table(sf_dir, "conversations")))
+
+
+def op2_html_extract(spark, sf_dir):
+    return html.extract(spark.read.parquet(table(sf_dir, "pages")))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -44,5 +52,5 @@ def op10_pii(spark, sf_dir):
     return pii.find(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing, op7_mix_sources, op8_fingerprints, op9_line_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing, op7_mix_sources, op8_fingerprints, op9_line_dedup, op10_pii)}
 ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE, "op9_line_dedup": linededup.ORACLE}
