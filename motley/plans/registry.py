@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from motley.plans import text
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (text,):
+    QUERIES.update(_module.R.queries)
+    ORACLES.update(_module.R.oracles)
