@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from motley.plans import text
+from motley.plans import corpus, results, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (text,):
+for _module in (text, corpus, results):
     QUERIES.update(_module.R.queries)
     ORACLES.update(_module.R.oracles)
