@@ -95,7 +95,7 @@ def thresholds(sizes: DataFrame, share: float, epochs: int, seed: int, weights)
     plan = written(budgets(stats, share, epochs, weights), "budgets")
     n_leaves, rows = plan.count(), sizes.count()
     digits = max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 2), 16)) + 1)
-    keyed = sizes.join(_sized(plan, n_leaves), leaf).where("rest > 0 OR n_tokens = 0").select(*leaf, "rest", "n_tokens", _order(seed).alias("key"))
+    keyed = sizes.join(_sized(plan, n_leaves), leaf).select(*leaf, "rest", "n_tokens", _order(seed).alias("key"))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, digits))
     sums = keyed.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("inside"))
     before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
