@@ -56,8 +56,9 @@ class Lines:
         breaks = np.flatnonzero(raw == 10)
         starts = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
         starts = starts[starts < len(raw)]
+        starts = starts[raw[starts] != 10]  # others are empty lines; a document's end may be the next one's start
         borders = np.unique(np.concatenate((offsets[1:], breaks)))
-        ends = borders[np.searchsorted(borders, starts)] if len(starts) else starts
+        ends = borders[np.searchsorted(borders, starts, "right")] if len(starts) else starts
         first = np.searchsorted(words.starts, starts)
         last = np.searchsorted(words.starts, ends)
         has = last > first
