@@ -19,7 +19,7 @@ rows; other columns pass through ``apply``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motley.llm.shared import GAP, WORD, written
@@ -74,7 +74,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -
 
     found = written(skinny.join(parsed, (F.col("leaf") == F.col("l")) & (F.col("sig") == F.col("s"))).select("doc", "content", "pos", "template"), "found")
     often = found.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("holder")).where(F.col("n") >= min_docs)
-    often = often.select(F.col("template").alias("t"), "holder")
+    often = _few(written(often.select(F.col("template").alias("t"), "holder"), "often"))
     drop = found.join(often, (F.col("template") == F.col("t")) & (F.col("doc") > F.col("holder"))).select("doc", "content", "pos")
     return skinny, drop
 
