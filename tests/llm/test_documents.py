@@ -1,0 +1,249 @@
+"""Operators on documents against brute force, on odd rows and on the small table."""
+
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from motley.llm import fingerprints, linededup, mixing, neardup, packing, pii, quality, tokens  # noqa: E402
+
+LINE = "The quick brown fox jumps over the lazy dog while seven wise owls watch from the old oak tree"
+BASE = " ".join(f"word{k}" for k in range(60))
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, component_id string, family string, _row int"
+
+ODD = [
+    (1, None, None, None, 0), (2, "", "en", "a", 0), (3, " \t\n ", "en", "a", 4), (4, "one two three", "en", "a", 13), (5, "One two  three\n", "de", "a", 15),
+    (6, BASE, "en", "a", 1), (7, BASE, "en", "b", 1), (8, BASE.replace("word30", "changed"), "en", "a", 1), (9, BASE.upper(), "en", "a", 1), (10, "x" * 200_000, "en", "a", 1),
+    (11, (LINE + "\n") * 4, "en", "a", 1), (12, LINE + "\n\n" + BASE + "\n" + LINE, "fr", "c", 1), (13, "\n\n" + LINE, None, "c", 1), (14, "é ü ß 漢字 𝔘𝔫𝔦 " * 30, "de", None, 1),
+    (15, "mail a.b@c.de, 10.0.0.1 and 300.1.1.1; card 4111 1111 1111 1111, +1 (555) 010-9999. x@y z@w.q_r@s.t", "en", "b", 1), (15, "the same id again", "en", "b", 1),
+    *[(20 + k, f"{LINE}\nUser {k} logged in at 10:{k:02d} from host{k}\n" + " ".join(f"w{k}x{j}" for j in range(40)), "en", "log", 1) for k in range(25)],
+    *[(60 + k, " ".join(f"word{j}" if (j * 7 + k) % 61 else f"other{k}" for j in range(60)), "es", "near", 1) for k in range(40)],
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, "clash", "clash", 1) for r in ODD], SHAPE).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def small(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def rows(df):
+    return [(r["doc_id"], r["source"], r["text"]) for r in df.collect()]
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+@pytest.mark.parametrize("limit", [2, 20])
+def test_quality(request, table, limit):
+    docs = request.getfixturevalue(table)
+    docs = docs.where("doc_id <> 15")
+    want = brute.quality(rows(docs), limit)
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in quality.judge(docs, limit).collect()}
+    assert got == want
+
+
+def test_quality_apply_removes_frequent_lines(odd):
+    left = {r["doc_id"]: r for r in quality.apply(odd.where("source = 'log'"), max_docs=5).collect()}
+    assert set(left) == {20 + k for k in range(25)}
+    assert sum(LINE in r["text"] for r in left.values()) == 1 and LINE in left[20]["text"]
+    assert all(r["n_chars"] == len(r["text"]) and r["component_id"] == "clash" for r in left.values())
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_near_duplicates(request, table):
+    docs = request.getfixturevalue(table).where("doc_id <> 15")
+    want = brute.components([(i, t) for i, _, t in rows(docs)])
+    out = neardup.near_duplicates(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+
+
+def test_near_duplicates_in_blocks(odd, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    docs = odd.where("doc_id <> 15")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()} == brute.components([(i, t) for i, _, t in rows(docs)])
+
+
+def test_near_duplicates_nulls_and_repeats(spark):
+    docs = spark.createDataFrame([(None, BASE), (5, BASE), (5, BASE), (9, BASE), (None, None)], "doc_id long, text string")
+    out = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert out == [(-1, -1, True), (-1, -1, True), (5, 5, True), (5, 5, True), (9, 5, False)]
+    assert len(neardup.apply(docs).collect()) == 4
+
+
+def test_hyperminhash_estimates():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    for share in (0.2, 0.5, 0.9):
+        k = int(4000 * 2 * share / (1 + share))
+        b = np.concatenate((a[:k], rng.integers(0, 1 << 63, 4000 - k, dtype=np.uint64)))
+        import pandas as pd
+
+        found = neardup.estimate(pd.Series([neardup.registers(a).tobytes()]), pd.Series([neardup.registers(b).tobytes()]), pd.Series([4000]), pd.Series([4000]))[0]
+        assert abs(found - share) < 0.2
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_token_counts(request, table):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary())
+    docs = request.getfixturevalue(table)
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()), len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in tokens.count_tokens(docs).collect()) == want
+
+
+def test_token_cache_encodes_only_misses(spark, odd, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    tokens.count_tokens(odd, cache=cache).collect()
+    once = spark.read.parquet(cache).count()
+    assert once == odd.selectExpr("coalesce(text, '') t").distinct().count()
+    tokens.count_tokens(odd, cache=cache).collect()
+    assert spark.read.parquet(cache).count() == once
+
+
+def test_encoder_equals_library():
+    texts = ["a<|endoftext|>b c", "it's IT'S, Don't. 3.5, 12. ... !!, \x1c x", "Σς ΑΣ, İstanbul. ǅ, ẞ.", "é̀x é, É. ́a  b c", "<|startoftext|>, <|ENDOFTEXT|>.", "", "  ", "ÀÉ. Ñ, ÿ. ŉ, ß. ſ.", "a\u0085b ​c d　e", "'S. 't, 're.", "x²,  ½. Ⅷ, 五.", "µ. ª, º."]
+    e = tokens.Encoder(tokens.vocabulary())
+    assert e.mark is not None and e.encode(texts) == e.whole(texts)
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        other = tokens.Encoder(tokens.vocabulary(name))
+        assert other.mark is None and len(other.encode(texts)) == len(texts)
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_packing(request, table):
+    import zlib
+
+    import numpy as np
+
+    docs = request.getfixturevalue(table)
+    out = packing.pack(docs).collect()
+    e, have = tokens.Encoder(tokens.vocabulary()), Counter()
+    for r in docs.collect():
+        ids = np.append(np.frombuffer(e.whole([r["text"] or ""])[0], "<u4"), 0).astype("<u4")
+        have.update((r["doc_id"], n, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for n, at in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == have
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r["length"] for r in out)
+    assert len(bins) <= -(-total // 2048) + 2
+
+
+def test_plan_uses_the_histogram_up():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (10, 1000, 300_000):
+        h = np.bincount(np.clip(rng.gamma(2, 400, size).astype(int), 1, 2048), minlength=2049)
+        plan, used = packing.plan(h), np.zeros(2049, np.int64)
+        for pattern, k in plan:
+            assert sum(pattern) <= 2048 and k > 0
+            for n in pattern:
+                used[n] += k
+        assert (used == h).all()
+        assert sum(k for _, k in plan) <= -(-int((h * np.arange(2049)).sum()) // 2048) * 1.01 + 1
+
+
+def test_mixing_respects_budgets_and_prefixes(odd):
+    taken = mixing.mix(odd, share=0.5, epochs=2).collect()
+    sizes = {r["doc_id"]: len(brute.words(r["text"])) for r in odd.collect()}
+    assert sum(r["n_tokens"] for r in taken) <= 0.5 * sum(len(brute.words(r["text"])) for r in odd.collect()) + 1e-6
+    assert all(r["n_tokens"] in (sizes[r["doc_id"]], 4, 15, 22) or r["doc_id"] == 15 for r in taken)
+    assert mixing.mix(odd, share=0.0).where("n_tokens > 0").count() == 0
+    whole = mixing.mix(odd, share=1.0, epochs=1)
+    assert whole.count() == odd.count()
+    assert mixing.apply(odd, share=1.0).columns == odd.columns
+
+
+def test_water_filling(spark):
+    leaves = spark.createDataFrame([("a", "en", "x", 100), ("a", "en", "y", 1000), ("a", "de", "z", 10), ("b", "en", "w", 5000)], "domain string, language string, leaf string, available long")
+    got = {r["leaf"]: r["full"] * r["available"] + r["rest"] for r in mixing.budgets(leaves, 2000 / 6110, 1, {}).collect()}
+    # a and b get 1000 each; z gives its 490 to its ancestors' other child en; x its 395 to its sibling y
+    assert got == {"x": 100, "y": 890, "z": 10, "w": 1000}
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_fingerprints(request, table):
+    docs = request.getfixturevalue(table)
+    out = fingerprints.fingerprints(docs).collect()
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (-x[0], x[1]))
+    want = Counter()
+    for k, (i, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(text) // 2
+        want[i, len(text), brute.sha(text[: len(text) - half] + after[:half])] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
+    by_text = {}
+    texts = defaultdict(list)
+    for i, text in order:
+        texts[i].append(text)
+    for r in out:
+        if len(texts[r["doc_id"]]) == 1:
+            assert by_text.setdefault(texts[r["doc_id"]][0], r["fingerprint"]) == r["fingerprint"]
+    full = [(r, texts[r["doc_id"]][0]) for r in out if len(texts[r["doc_id"]]) == 1 and r["n_chars"] > 1500]
+    for r, text in full:
+        at = order.index((r["doc_id"], text))
+        after, half = order[(at + 1) % len(order)][1], len(text) // 2
+        a, b = brute.shingles(text), brute.shingles(text[: len(text) - half] + after[:half])
+        assert abs(r["near_edited"] - len(a & b) / len(a | b)) < 0.35
+
+
+def test_fingerprint_groups_with_gaps(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SPAN", 4)
+    ids = [0, 1, 3, 17, 18, 40, 41, 42, 43, 44, 200, 201, 999, -7]
+    docs = spark.createDataFrame([(i, f"text of {i} " * 3) for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["next_text"] for r in fingerprints.neighbours(docs).collect()}
+    down = sorted(ids, reverse=True)
+    assert got == {i: f"text of {down[(k + 1) % len(down)]} " * 3 for k, i in enumerate(down)}
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_base_pii(request, table):
+    docs = request.getfixturevalue(table)
+    want = Counter()
+    for r in docs.collect():
+        spans = brute.base_spans(r["text"])
+        kinds = Counter(k for k, _, _ in spans)
+        want[r["doc_id"], kinds["email"], kinds["ip"], kinds["card"], kinds["phone"], brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))] += 1
+    out = pii.find(docs).collect()
+    assert Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in out) == want
+    for r in out:
+        assert r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_added"] == len([x for x in r["spans"].split(",") if x])
+
+
+def test_bootstrapping_finds_unseen_identifiers(spark):
+    seeds = [(k, f"noise {k}a please call me at +1 (555) 010-{1000 + k} today {k}b") for k in range(8)]
+    docs = spark.createDataFrame([*seeds, (100, "Then call me at 5550107777 or not"), (101, "In the year 20190101 it was cold")], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    assert out[100] == "id:16:26" and out[101] == ""
+
+
+def test_line_templates(odd):
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(odd.where("source = 'log'")).collect()}
+    assert out[20]["n_dropped"] == 0 and LINE in out[20]["text"]
+    assert all(out[20 + k]["n_dropped"] == 2 and "logged" not in out[20 + k]["text"] and f"w{k}x1" in out[20 + k]["text"] for k in range(1, 25))
+    left = linededup.apply(odd)
+    assert left.columns == odd.columns
+
+
+def test_empty_tables(spark, odd):
+    none = odd.where("false")
+    for f in (quality.judge, quality.apply, neardup.near_duplicates, neardup.apply, tokens.count_tokens, packing.pack, mixing.mix, mixing.apply, fingerprints.fingerprints, linededup.dedup_lines, linededup.apply, pii.find):
+        assert f(none).count() == 0, f
