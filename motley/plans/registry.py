@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from motley.plans import corpus, results, text
+from motley.plans import corpus, results, stats, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (text, corpus, results):
+for _module in (text, corpus, results, stats):
     QUERIES.update(_module.R.queries)
     ORACLES.update(_module.R.oracles)
