@@ -16,8 +16,8 @@ TAG = r"<[^>]+>"
 
 #: Character references and what they stand for, in the order of replacement.
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&ndash;": "-", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”"}
-#: Invisible characters; the first is a blank, the last two are line breaks, the others nothing.
-INVISIBLE = ("   ​‌‍﻿", " \n\n")
+#: Invisible characters and their replacements; those without one are deleted.
+INVISIBLE = ("\u00a0\u2028\u2029\u200b\u200c\u200d\ufeff", " \n\n")
 #: Quotation marks with a straight single, and with a straight double equivalent.
 SINGLE_QUOTES = "‘’‚‛‹›＇"
 DOUBLE_QUOTES = "“”„‟«»「」『』〝〞〟＂"

@@ -43,7 +43,7 @@ def alnum_tokens(text: Column) -> Column:
 
 def placeholder_tokens(text: Column) -> Column:
     r"""Lower case; every punctuation mark becomes the same token \1."""
-    return _words(F.regexp_replace(F.lower(text), PUNCT, r" \\\\1 "))
+    return _words(F.regexp_replace(F.lower(text), PUNCT, r" \\1 "))
 
 
 def letter_tokens(text: Column) -> Column:

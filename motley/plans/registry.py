@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from motley.plans import corpus, results, series, stats, text, vectors
+from motley.plans import corpus, results, selection, series, stats, text, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (text, corpus, results, stats, series, vectors):
+for _module in (text, corpus, results, stats, series, vectors, selection):
     QUERIES.update(_module.R.queries)
     ORACLES.update(_module.R.oracles)
