@@ -30,7 +30,7 @@ from motley.llm import textbytes as tb
 from motley.llm.shared import shared_dir, written
 
 LIMIT = 2048
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_STEMS = 400_000, 1_000_000
 _CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
 
 
@@ -51,7 +51,8 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # as they stand in texts
+        self.stems: dict[str, bytes] = {}  # lower case, without a closing mark: what was encoded
         self.mark = None
         if path.endswith(".model"):
             import sentencepiece
@@ -75,21 +76,63 @@ class Encoder:
         if drops and collapses and plain and len(plain) == len(spec["added_tokens"]):
             self.mark, self.mark_id = plain[-1]["content"], plain[-1]["id"]
             self.specials = [x["content"] for x in plain]
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if any(s in w for s in self.specials)]
-        if odd:
-            self.words.update(zip(odd, self.whole(odd)))
-            odd = set(odd)
-            words = [w for w in words if w not in odd]
+            suffix = spec["model"].get("end_of_word_suffix")
+            self.closing = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+            if suffix:
+                self.closing[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            self.marks = dict(zip((".", ",", ""), self.whole([".", ",", ""])))
+
+    def _library(self, words: list[str]) -> None:
+        """Encodes words in one call, parted by a special token, which no word may hold."""
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
             ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(part, [*cuts.tolist(), len(ids)]):
-                self.words[w] = data[4 * begin : 4 * end]
-                begin = end + 1
+            self._store(part, ids, np.flatnonzero(ids == self.mark_id).tolist() + [len(ids)], 1)
+
+    def _letters(self, words: list[str]) -> None:
+        """Encodes words of letters only: each is one piece, which ends where a token does with the suffix."""
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                self._store(part, ids, ends, 0)
+            else:
+                self._library(part)
+
+    def _store(self, words: list[str], ids: np.ndarray, ends: list[int], gap: int) -> None:
+        data, begin, known = ids.tobytes(), 0, self.stems
+        for w, end in zip(words, ends):
+            known[w] = data[4 * begin : 4 * end]
+            begin = end + gap
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words; those that differ from a known one by case or a closing . or , cost no encoding.
+
+        That holds for letters below U+0100 (there lower case and NFC do not
+        interfere), with the mark right after a letter: then it is a piece of its own.
+        """
+        known, derived, letters, others, odd = self.stems, [], set(), set(), []
+        if len(known) > CACHED_STEMS:
+            known.clear()
+        for w in words:
+            stem, end = w, ""
+            if "<|" not in w and (w.isascii() or max(w) < "\u0100"):
+                stem = w.lower()
+                if (w[-1] == "." or w[-1] == ",") and w[-2:-1].isalpha():
+                    stem, end = stem[:-1], w[-1]
+            derived.append((w, stem, end))
+            if stem not in known:
+                if any(s in stem for s in self.specials) if "<|" in stem else False:
+                    odd.append(stem)
+                else:
+                    (letters if stem.isalpha() and max(stem) < "\u0100" else others).add(stem)
+        known.update(zip(odd, self.whole(odd) if odd else ()))
+        self._letters(list(letters))
+        self._library(list(others))
+        put, marks = self.words, self.marks
+        for w, stem, end in derived:
+            put[w] = known[stem] + marks[end] if end else known[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mark is None:
@@ -104,9 +147,9 @@ class Encoder:
             for words in split:
                 if words:
                     new.update(words)
-            new.difference_update(self.words)
+            new = [w for w in new if w not in self.words]
             if new:
-                self._learn(list(new))
+                self._learn(new)
             get = self.words.__getitem__
             out += [self.whole([texts[at + k]])[0] if words is None else b"".join(map(get, words)) for k, words in enumerate(split)]
         return out
