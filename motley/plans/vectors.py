@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motley.operators import ranking as rk
+from motley.operators import rerank as rr
 from motley.operators import vectors as vc
 from motley.plans.common import Registry, read
 
@@ -148,3 +149,13 @@ def exposure(spark, sf_dir):
 @R.add("item_coverage", f"WITH {LISTS} SELECT round(count(DISTINCT item) / (SELECT count(*) FROM events), 5) AS coverage FROM ranked")
 def item_coverage(spark, sf_dir):
     return _rounded(rk.item_coverage(_ranked(spark, sf_dir)[0], read(spark, sf_dir, "events")), "coverage")
+
+
+for _method in rr.METHODS:
+
+    def _rerank(spark, sf_dir, method=_method):
+        e = read(spark, sf_dir, "events")
+        candidates = e.select(F.col("user_id").alias("q"), F.col("event_id").alias("item"), F.col("value").alias("relevance"))
+        return rr.rerank(candidates, _ranked(spark, sf_dir)[1], 10, method)
+
+    R.add(f"rerank_{_method}")(_rerank)

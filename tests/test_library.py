@@ -240,3 +240,34 @@ def test_online_sets(spark, tmp_path):
     assert want[31] and not want[30] and sum(want.values()) >= 6
     first = {r["id"]: r["accepted"] for r in drain(online.reservoir(stream, 5), "reservoir_a")}
     assert first == {r["id"]: r["accepted"] for r in drain(online.reservoir(stream, 5), "reservoir_b")} and all(first[k] for k in range(5))
+
+
+def test_rerankers(spark):
+    from motley.operators import rerank
+
+    rng = np.random.default_rng(8)
+    items = [(f"i{k}", "abcd"[k % 4 if k > 5 else 0], float(rng.random() + (k <= 5))) for k in range(40)]
+    candidates = spark.createDataFrame([(q, i, r) for q in (1, 2) for i, _, r in items], "q long, item string, relevance double")
+    topics = spark.createDataFrame([(i, t) for i, t, _ in items], "item string, topic string")
+    of = {i: t for i, t, _ in items}
+    for method in rerank.METHODS:
+        rows = rerank.rerank(candidates, topics, 8, method).collect()
+        for q in (1, 2):
+            mine = [r["item"] for r in sorted(rows, key=lambda r: r["rank"]) if r["q"] == q]
+            assert len(mine) == len(set(mine)) == 8
+            assert len({of[i] for i in mine}) == 4, method
+
+
+def test_redundant_metrics(spark):
+    from motley.operators.audit import redundant_metrics
+
+    tau = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", -0.75)], "a string, b string, tau double")
+    assert redundant_metrics(tau) == ([["a", "b"], ["c"]], [("a", "c")])
+
+
+def test_entry(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert set(oracles) <= set(queries) and len(queries) > 100
+    assert entry.entry(spark).count() > 0
