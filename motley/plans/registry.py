@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from motley.plans import audit, corpus, evaluate, results, selection, series, stats, text, vectors
+from motley.plans import audit, cluster, corpus, evaluate, results, selection, series, stats, text, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (text, corpus, results, stats, series, vectors, selection, evaluate, audit):
+for _module in (text, corpus, results, stats, series, vectors, selection, evaluate, audit, cluster):
     QUERIES.update(_module.R.queries)
     ORACLES.update(_module.R.oracles)

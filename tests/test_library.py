@@ -271,3 +271,62 @@ def test_entry(spark, sf_dir):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 100
     assert entry.entry(spark).count() > 0
+
+
+def test_lsh_recall_and_shapes(spark):
+    from motley.operators import cluster
+
+    rng = np.random.default_rng(9)
+    base = [[f"w{rng.integers(5000)}" for _ in range(40)] for _ in range(30)]
+    texts = [" ".join(b[: 40 - j] + [f"n{k}{j}{i}" for i in range(j)]) for k, b in enumerate(base) for j in range(3)]
+    found = {(r["a"], r["b"]) for r in cluster.minhash_pairs(groups(spark, g=texts), tokens.space_tokens(F.col("text")), 0.8).collect()}
+    assert {(3 * k, 3 * k + 1) for k in range(30)} <= found
+    assert cluster.band_shape(0.5)[0] * cluster.band_shape(0.5)[1] == 128
+
+
+def test_clusters_of_vectors(spark):
+    from motley.operators import cluster
+
+    df = cluster.synthetic_clusters(spark, 120, 3, 4, 11, 0.05).cache()
+    label = {r["id"]: r["g"] for r in df.collect()}
+    for found in (cluster.dbscan(df, 0.5, 3), cluster.k_means(df, 4, 3)):
+        got = {r["id"]: r["cluster"] for r in found.collect()}
+        assert len({(label[i], c) for i, c in got.items()}) == 4
+    both = df.select("g", "id").join(cluster.k_means(df, 4, 3), "id")
+    assert cluster.adjusted_rand(both, "g", "cluster").first()["ari"] == pytest.approx(1.0)
+    assert cluster.silhouette(df).first()["silhouette"] > 0.9
+    bits = df.select(cluster.sign_bits(F.col("v"), 3, 16, 1).alias("b"), "g").collect()
+    assert all(len(r["b"]) == 16 for r in bits)
+    assert spark.range(1).select(cluster.sign_agreement(F.lit("1100"), F.lit("1000")).alias("x")).first()["x"] == 0.75
+
+
+def test_kernels(spark):
+    from motley.operators import kernels
+
+    rng = np.random.default_rng(12)
+
+    def slow(a, b):
+        d = np.zeros((len(a) + 1, len(b) + 1), int)
+        e = np.zeros_like(d)
+        e[:, 0], e[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = d[i - 1, j - 1] + 1 if a[i - 1] == b[j - 1] else max(d[i - 1, j], d[i, j - 1])
+                e[i, j] = min(e[i - 1, j] + 1, e[i, j - 1] + 1, e[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        return d[-1, -1], e[-1, -1]
+
+    for _ in range(30):
+        a, b = list(rng.integers(0, 5, rng.integers(0, 12))), list(rng.integers(0, 5, rng.integers(0, 12)))
+        assert (kernels.lcs(a, b), kernels.edit_distance(a, b)) == slow(a, b)
+    pair = spark.createDataFrame([(1, "the cat sat", "the cat lay on the mat"), (2, "", "x")], "id long, text string, reference string")
+    assert {r["id"]: round(r["f"], 4) for r in kernels.rouge_l(pair).collect()} == {1: 0.4444, 2: 0.0}
+    assert value(kernels.tag_sequence_diversity(groups(spark, g=["the dog barked", "a cat slept"])))["g"] == pytest.approx(1 / 3)
+    step = np.concatenate((np.zeros(30), np.full(30, 5.0))) + rng.normal(size=60) * 0.1
+    assert kernels.segments(step) == [30]
+    ar = np.zeros(3000)
+    for k in range(1, 3000):
+        ar[k] = 0.7 * ar[k - 1] + rng.normal()
+    p = kernels.pacf(ar, 4)
+    assert p[1] == pytest.approx(0.7, abs=0.08) and all(abs(x) < 0.08 for x in p[2:])
+    df = spark.createDataFrame([("a", k, float(x)) for k, x in enumerate(step)], "g string, t long, v double")
+    assert [r["change"] for r in kernels.per_series(df, kernels.segments, "change").collect()] == [30.0]
