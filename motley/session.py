@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +27,17 @@ def checkpoints(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="motley-"))
     return context.getCheckpointDir()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per context, for clusters where only the driver can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_motley_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="motley-code-")) / "motley.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path("motley") / path.relative_to(root))
+    context.addPyFile(str(target))
+    context._motley_shipped = True
