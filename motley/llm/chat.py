@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motley.llm.shared import written
+from motley.session import ship
 
 STATES = ("start", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -181,6 +182,7 @@ def _code(role: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per turn: conv_id, turn, role, action, new_role, inserted_role, rendered, position (inside the part)."""
     spark = turns.sparkSession
+    ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))

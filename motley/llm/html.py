@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from motley.llm import textbytes as tb
+from motley.session import ship
 
 ADJACENT, SIBLING, CERTAIN = 0.8, 0.6, 12.0
 
@@ -223,4 +224,5 @@ def _kernel(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    ship(pages.sparkSession)
     return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "html").mapInArrow(_kernel, "page_id long, url string, text string, n_chars long")

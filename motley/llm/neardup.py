@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from motley.llm import textbytes as tb
 from motley.llm.shared import components, written
+from motley.session import ship
 
 BANDS, ROWS, MANTISSA, LOOSE = 24, 3, 10, 0.4
 BLOCK, PLAIN_BLOCKS, BLOCK_DOCS, BLOCK_BYTES = 64, 32, 1024, 8 << 20
@@ -167,6 +168,7 @@ def forests(batches):
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (plus class_id, the least id with the same set)."""
     spark = docs.sparkSession
+    ship(spark)
     all_rows = written(docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>"), "sketches")
     filled = all_rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
