@@ -43,22 +43,22 @@ def _cut(path: str, size: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            texts = tb.strings(batch.column("text")).to_pylist()
-            owner, piece, start, length, crc = [], [], [], [], []
-            for k, data in enumerate(encoder(path).encode(texts)):
-                data += end
-                for n, at in enumerate(range(0, len(data), 4 * size)):
-                    part = data[at : at + 4 * size]
-                    owner.append(k)
-                    piece.append(n)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            ids, texts = batch.column("doc_id").cast(pa.int64()), tb.strings(batch.column("text"))
+            for i, j in tb.slices(tb.utf8(texts)[1]):
+                owner, piece, start, length, crc = [], [], [], [], []
+                for k, data in enumerate(encoder(path).encode(texts.slice(i, j - i).to_pylist()), i):
+                    data += end
+                    for n, at in enumerate(range(0, len(data), 4 * size)):
+                        part = data[at : at + 4 * size]
+                        owner.append(k)
+                        piece.append(n)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return run
 

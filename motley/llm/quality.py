@@ -124,17 +124,20 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS,
 def strip_lines(batches):
     """Arrow kernel: text without the lines whose hashes are in ``_removed``."""
     for batch in batches:
-        texts = tb.strings(batch.column("_text")).to_pylist()
-        removed = batch.column("_removed").to_pylist()
-        for i, j, words in tb.each_slice(batch.column("_text"), lower=True):
-            lines = Lines(words.raw, words.offsets, words)
-            h = words.runs(lines.first, lines.last).view(np.int64)
-            cuts = np.searchsorted(lines.doc, np.arange(j - i + 1))
-            for k in range(i, j):
-                if removed[k]:
-                    gone, own = set(removed[k]), iter(h[cuts[k - i] : cuts[k - i + 1]].tolist())
-                    texts[k] = "\n".join(line for line in texts[k].split("\n") if not line.strip(" \t\n\x0b\x0c\r") or next(own) not in gone)
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_text"])
+        rows, column, removed = batch.column("_row"), tb.strings(batch.column("_text")), batch.column("_removed")
+        for i, j, words in tb.each_slice(column, lower=True):
+            texts, dropped = column.slice(i, j - i), removed.slice(i, j - i).to_pylist()
+            if any(dropped):
+                texts = texts.to_pylist()
+                lines = Lines(words.raw, words.offsets, words)
+                h = words.runs(lines.first, lines.last).view(np.int64)
+                cuts = np.searchsorted(lines.doc, np.arange(j - i + 1))
+                for k, hashes in enumerate(dropped):
+                    if hashes:
+                        gone, own = set(hashes), iter(h[cuts[k] : cuts[k + 1]].tolist())
+                        texts[k] = "\n".join(line for line in texts[k].split("\n") if not line.strip(" \t\n\x0b\x0c\r") or next(own) not in gone)
+                texts = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), texts.cast(pa.string())], names=["_row", "_text"])
 
 
 def apply(docs: DataFrame, **limits) -> DataFrame:

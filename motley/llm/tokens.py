@@ -30,7 +30,7 @@ from motley.llm import textbytes as tb
 from motley.llm.shared import shared_dir, written
 
 LIMIT = 2048
-CACHED_WORDS, CACHED_STEMS = 400_000, 1_000_000
+CACHED_WORDS, CACHED_STEMS = 250_000, 600_000
 _CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
 
 
@@ -168,9 +168,10 @@ def tokenizer_digest(path: str) -> str:
 def _encode(path: str, version: str):
     def run(batches):
         for batch in batches:
-            texts = tb.strings(batch.column("body")).to_pylist()
-            counts = [len(x) // 4 for x in encoder(path).encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
+            texts = tb.strings(batch.column("body"))
+            for i, j in tb.slices(tb.utf8(texts)[1]):
+                counts = [len(x) // 4 for x in encoder(path).encode(texts.slice(i, j - i).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("content_digest").slice(i, j - i), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
     return run
 
