@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from motley.llm import textbytes as tb
 from motley.llm.shared import written
 from motley.llm.tokens import encoder, vocabulary
+from motley.session import ship
 
 SIZE, SWEEPS = 2048, 25
 
@@ -204,6 +205,7 @@ def _slots(parts: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
+    ship(spark)
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer or vocabulary(), size), shape), "pieces")
     histogram = np.zeros(size + 1, np.int64)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from motley.llm import textbytes as tb
 from motley.llm.shared import written
+from motley.session import ship
 
 MAX_DOCS, MIN_WORDS, MIN_SHARE = 20, 20, 0.2
 SYMBOLS = "#*$%&|<>"
@@ -106,6 +107,7 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS,
     few rows per task; the join that brings limits back is left to adaptive
     skew splitting.
     """
+    ship(docs.sparkSession)
     seen = written(docs.select("doc_id", "text", "source").mapInArrow(statistics, _SCHEMA), "lines")
     seen = seen.withColumn("host", F.coalesce("source", F.lit(""))).withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     single = seen.select("host", "key", "digest", F.explode(F.array_distinct("line_hash")).alias("h"))

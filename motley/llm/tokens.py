@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from motley.llm import textbytes as tb
 from motley.llm.shared import shared_dir, written
+from motley.session import ship
 
 LIMIT = 2048
 CACHED_WORDS, CACHED_STEMS = 250_000, 600_000
@@ -179,6 +180,7 @@ def _encode(path: str, version: str):
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit.  ``cache``: folder of the cache table; by default a new one in the shared folder."""
     spark = docs.sparkSession
+    ship(spark)
     tokenizer = tokenizer or vocabulary()
     version = tokenizer_digest(tokenizer)
     cache = cache or f"{shared_dir(spark).rstrip('/')}/motley/token-counts-{uuid.uuid4().hex}"
