@@ -25,7 +25,7 @@ from motley.llm import textbytes as tb
 from motley.llm.shared import written
 from motley.session import ship
 
-MAX_DOCS, MIN_WORDS, MIN_SHARE = 20, 20, 0.2
+MAX_DOCS, MIN_WORDS, MIN_SHARE = 20, 5, 0.2
 SYMBOLS = "#*$%&|<>"
 
 _SCHEMA = "doc_id long, source string, digest long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>"

@@ -22,7 +22,7 @@ def shingles(text, width=5):
     return {tuple(w)} if len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
 
 
-def quality(rows, max_docs=20, min_words=20, min_share=0.2):
+def quality(rows, max_docs=20, min_words=5, min_share=0.2):
     """rows: (doc_id, source, text)."""
     norm = lambda line: " ".join(x.translate(LOWER) for x in words(line))
     texts, holder = defaultdict(set), {}
