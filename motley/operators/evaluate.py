@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motley.functions.tokens import TOKENIZERS, ngrams
+from motley.operators.kernels import text_distance
 from motley.operators.lexical import counts
 from motley.operators.vectors import euclidean
 
@@ -172,8 +173,9 @@ def novelty_of_items(items: DataFrame, history: DataFrame) -> DataFrame:
 def sequence_distances(pairs: DataFrame, tokenizer: str = "space") -> DataFrame:
     """pairs (id, a, b): Hamming (padding counts), Jaccard and character edit distance, all over the longer length."""
     ta, tb = TOKENIZERS[tokenizer](F.col("a")), TOKENIZERS[tokenizer](F.col("b"))
-    t = pairs.select("id", "a", "b", ta.alias("x"), tb.alias("y"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: costs follow the square of the lengths, not the bytes
+    t = pairs.repartition(parts, "id").select("id", "a", "b", ta.alias("x"), tb.alias("y"))
     longer = F.greatest(F.size("x"), F.size("y"), F.lit(1))
     differ = F.size(F.filter(F.zip_with("x", "y", lambda p, q: ~p.eqNullSafe(q)), lambda d: d))
     union = F.size(F.array_union("x", "y"))
-    return t.select("id", (differ / longer).alias("hamming"), F.when(union > 0, 1 - F.size(F.array_intersect("x", "y")) / union).otherwise(0.0).alias("jaccard"), (F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"), F.lit(1))).alias("edit"))
+    return t.select("id", (differ / longer).alias("hamming"), F.when(union > 0, 1 - F.size(F.array_intersect("x", "y")) / union).otherwise(0.0).alias("jaccard"), (text_distance("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"), F.lit(1))).alias("edit"))

@@ -36,6 +36,32 @@ def edit_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
+def char_distance(a: str, b: str) -> int:
+    """Character edit distance with unit costs, exact at any length: Myers' bit vectors, each one whole number as wide as the longer text."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    same = x[: len(y)] == y
+    start = len(y) if same.all() else int(same.argmin())
+    x, y = x[start:], y[start:]
+    same = x[len(x) - len(y) :][::-1] == y[::-1]
+    end = len(y) if same.all() else int(same.argmin())
+    x, y = x[: len(x) - end], y[: len(y) - end]
+    if not len(y):
+        return len(x)
+    at = {int(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(y)}
+    top, full = len(x) - 1, (1 << len(x)) - 1
+    more, less, score = full, 0, len(x)
+    for c in y.tolist():
+        equal = at[c]
+        across = (((equal & more) + more) ^ more) | equal
+        up, down = less | (full & ~(across | more)), more & across
+        score += (up >> top & 1) - (down >> top & 1)
+        up, down, equal = (up << 1 | 1) & full, down << 1 & full, equal | less
+        more, less = down | (full & ~(equal | up)), up & equal
+    return score
+
+
 def _pairwise(kernel, kind):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([kernel(list(x), list(y)) for x, y in zip(a, b)], dtype=kind)
@@ -43,6 +69,11 @@ def _pairwise(kernel, kind):
     return F.pandas_udf(run, T.LongType())
 
 
+@F.pandas_udf(T.LongType())
+def text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else char_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
 def rouge_l(pairs: DataFrame, tokenizer: str = "spaced", alpha: float = 0.5) -> DataFrame:
     """pairs (id, text, reference): precision, recall and F of the longest common subsequence."""
     t = pairs.select("id", TOKENIZERS[tokenizer](F.col("text")).alias("a"), TOKENIZERS[tokenizer](F.col("reference")).alias("b"))

@@ -147,3 +147,11 @@ def distances(spark, sf_dir):
     d = docs(spark, sf_dir)
     p = d.select(F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("a")).join(d.select((F.col("doc_id") - 1).alias("id"), F.left("text", F.lit(200)).alias("b")), "id")
     return _rounded(_rounded(ev.sequence_distances(p.where(r"concat(a, b) RLIKE '^[\\x00-\\x7F]*$'")), "hamming", "jaccard"), "edit", digits=3)
+
+
+@R.add("sequence_distances_whole")
+def distances_whole(spark, sf_dir):
+    """Of whole texts and all neighbours; ``sequence_distances`` sees what its SQL does: ASCII heads of 200 characters."""
+    d = docs(spark, sf_dir)
+    p = d.select(F.col("doc_id").alias("id"), F.col("text").alias("a")).join(d.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("b")), "id")
+    return _rounded(_rounded(ev.sequence_distances(p), "hamming", "jaccard"), "edit", digits=3)
