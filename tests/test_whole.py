@@ -37,3 +37,20 @@ def test_sequence_distances_of_whole_texts(spark, tables):
         assert got[k]["jaccard"] == pytest.approx(1 - len({*x} & {*y}) / len({*x} | {*y}), abs=1e-6)
         assert got[k]["edit"] == pytest.approx(edit_distance(list(a), list(b)) / max(len(a), len(b)), abs=1e-3)
     assert 0 < got[1]["edit"] < 0.05
+
+
+def test_lsh_pairs_of_all_members_of_a_bucket(spark):
+    from pyspark.sql import functions as F
+
+    from motley.functions.tokens import space_tokens
+    from motley.operators.cluster import minhash_pairs
+
+    words = [f"w{k}" for k in range(100)]
+    texts = [words[:k] + words[k + 1 :] for k in range(40)]  # similarity of any two: 98 / 100
+    texts += [list(reversed(texts[5])), texts[7], texts[7], ["alone"], []]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    want = {(i, j): 0.98 for i in range(40) for j in range(i + 1, 40)} | {(5, 40): 1.0, (7, 41): 1.0, (7, 42): 1.0}
+    for block in (64, 8):
+        rows = minhash_pairs(df, space_tokens(F.col("text")), 0.8, block=block).collect()
+        assert len(rows) == len(want)
+        assert {(r["a"], r["b"]): round(r["similarity"], 6) for r in rows} == want
