@@ -71,6 +71,12 @@ def normalize_numbers(spark, sf_dir):
     return docs(spark, sf_dir).where("NOT text RLIKE '[0-9]([sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])'").select("doc_id", F.md5(cl.plain_numbers(F.col("text"))).alias("digest"))
 
 
+@R.add("normalize_numbers_whole")
+def normalize_numbers_whole(spark, sf_dir):
+    """Of all texts, those with ordinals too, which the SQL of ``normalize_numbers`` leaves out."""
+    return docs(spark, sf_dir).select("doc_id", F.md5(cl.plain_numbers(F.col("text"))).alias("digest"))
+
+
 @R.add("truncate_text", r"SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(CASE WHEN instr(c, ' ') > 0 AND 200 - instr(reverse(c), ' ') > 120 THEN substr(c, 1, 200 - instr(reverse(c), ' ')) ELSE c END, '\s+$', '') END AS text FROM (SELECT *, substr(text, 1, 200) AS c FROM documents)")
 def truncate_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", cl.truncate(F.col("text"), 200).alias("text"))
@@ -128,6 +134,12 @@ def ngram_fingerprint(spark, sf_dir):
     return docs(spark, sf_dir).where(r"text RLIKE '^[\\x00-\\x7F]*$'").select("doc_id", cl.ngram_fingerprint(F.col("text")).alias("fingerprint"))
 
 
+@R.add("ngram_fingerprint_whole")
+def ngram_fingerprint_whole(spark, sf_dir):
+    """Of all texts, those beyond ASCII too, which the SQL of ``ngram_fingerprint`` leaves out."""
+    return docs(spark, sf_dir).select("doc_id", cl.ngram_fingerprint(F.col("text")).alias("fingerprint"))
+
+
 @R.add(
     "simhash",
     f"""WITH w AS (SELECT doc_id, unnest({T["space"]}) AS w FROM documents), h AS (SELECT doc_id, ('0x' || right(md5(w), 16))::UBIGINT AS h FROM w),
