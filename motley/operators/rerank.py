@@ -1,7 +1,8 @@
-"""Diversified reranking of the top candidates of every query.
+"""Diversified reranking of the candidates of every query.
 
-Candidates (q, item, relevance) are cut to ``pool`` per query by a window, so a
-kernel sees a bounded list; aspects (item, topic, p) come along as a map.
+Of candidates (q, item, relevance) a kernel sees the k most relevant of every
+set of aspects, which gives the same picks as all of them; votes are counted
+over all.  Aspects (item, topic, p) come along as a map.
 """
 
 from __future__ import annotations
@@ -69,24 +70,34 @@ def topic_cover(aspects: np.ndarray, relevance: np.ndarray, k: int) -> list[int]
 METHODS = ("pm2", "xquad", "ia_select", "topic_cover")
 
 
-def rerank(candidates: DataFrame, topics: DataFrame, k: int, method: str, pool: int = 200) -> DataFrame:
-    """(q, item, rank): k of the ``pool`` most relevant candidates of each query."""
+def rerank(candidates: DataFrame, topics: DataFrame, k: int, method: str) -> DataFrame:
+    """(q, item, rank): k of all candidates of each query.
+
+    Candidates with the same aspects differ in relevance only, so a greedy step
+    takes the most relevant of them left: k of every set of aspects are enough.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
-    top = candidates.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("relevance"), "item"))).where(F.col("_r") <= pool).drop("_r")
     p = topics.columns.count("p") and F.col("p") or F.lit(1.0)
     aspects = topics.groupBy("item").agg(F.map_from_entries(F.collect_set(F.struct("topic", p.cast("double").alias("p")))).alias("aspects"))
-    full = top.join(aspects, "item", "left")
+    each = candidates.select("q", "item", "relevance").join(aspects.select("item", F.array_sort(F.map_entries("aspects")).alias("aspects")), "item", "left")
+    best = Window.partitionBy("q", "aspects").orderBy(F.desc("relevance"), "item")
+    top = each.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("q", "item", "relevance", F.map_from_entries("aspects").alias("aspects"))
+    votes = each.select("q", F.explode("aspects").alias("a")).groupBy("q", F.col("a.key").alias("topic")).agg(F.sum("a.value").alias("n"))
+    votes = votes.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("votes"))
+    full = top.join(votes, "q", "left")
     shape = T.StructType([candidates.schema["q"], candidates.schema["item"], T.StructField("rank", T.LongType())])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["relevance", "item"], ascending=[False, True]).reset_index(drop=True)
         maps = [dict(a) if a is not None else {} for a in pdf["aspects"]]
-        names = sorted({t for a in maps for t in a})
+        count = dict(pdf["votes"].iloc[0]) if pdf["votes"].iloc[0] is not None else {}
+        names = sorted(count)
         grid = np.array([[a.get(t, 0.0) for t in names] for a in maps]).reshape(len(pdf), len(names))
         relevance = pdf["relevance"].to_numpy(float)
         relevance = relevance / max(relevance.max(initial=0), 1e-12)
-        votes = grid.sum(0) / max(grid.sum(), 1e-12)
+        votes = np.array([count[t] for t in names], float)
+        votes = votes / max(votes.sum(), 1e-12)
         found = {"pm2": lambda: pm2(grid, votes, k), "xquad": lambda: xquad(grid, votes, relevance, k), "ia_select": lambda: ia_select(grid, votes, relevance, k), "topic_cover": lambda: topic_cover(grid, relevance, k)}[method]()
         return pdf.iloc[found][["q", "item"]].assign(rank=np.arange(1, len(found) + 1, dtype="int64"))
 
