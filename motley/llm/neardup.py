@@ -19,7 +19,11 @@
    with 100 * intersection >= 75 * union, never all pairs; the components of
    these forests are the result.
 
-A pair at exactly 0.75 shares no band with a chance of 2e-6.
+A pair at exactly 0.75 shares no band with a chance of 2e-6.  That is not the
+whole chance of a miss: a pair that shares bands can still be parted if, in all
+of them, hubs are unlike documents (frequent passages) whose estimate with one
+of the two is under ``LOOSE``.  A reviewer's simulation of 26000 documents with
+frequent passages lost 1 of 18000 pairs just over 0.75 this way.
 
 Edge cases: null or blank texts have empty sets and link to nothing; texts of
 one to four words are one shingle; rows with a null doc_id are kept, unlinked,
