@@ -67,13 +67,17 @@ def mean_cosine_distance(vectors: DataFrame) -> DataFrame:
     return n.join(s, "g", "left").select("g", F.when(F.col("n") < 2, 0.0).otherwise(1 - (F.coalesce("square", F.lit(0.0)) - F.col("m")) / (F.col("n") * (F.col("n") - 1))).alias("value"))
 
 
-def pairs(vectors: DataFrame, distance=euclidean, most: int = MOST) -> DataFrame:
-    """(g, a, b, d) over all pairs of a group."""
-    n = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    sized = vectors.join(n.select("g", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("group too large for all pairs: "), F.col("g").cast("string"))).cast("long")).otherwise(F.col("n")).alias("_n")), "g")
-    a = sized.where("_n > 1").select("g", F.col("id").alias("a"), F.col("v").alias("va"))
-    b = vectors.select("g", F.col("id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "g").where("a < b").select("g", "a", "b", distance(F.col("va"), F.col("vb")).alias("d"))
+def pairs(vectors: DataFrame, distance=euclidean, most: int | None = MOST, block: int = 1000) -> DataFrame:
+    """(g, a, b, d) over all pairs of a group; above ``most`` rows, if given, it raises.  A group is cut into blocks, and
+    each pair of blocks is a join key of its own."""
+    size = F.col("n") if most is None else F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("group too large for all pairs: "), F.col("g").cast("string"))).cast("long")).otherwise(F.col("n"))
+    n = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", size.alias("_n"))
+    sized = vectors.join(n, "g").where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("long"))
+    own = sized.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    a = own.select("g", F.col("id").alias("a"), F.col("v").alias("va"), F.col("_own").alias("_x"), every.alias("_y"))
+    b = own.select("g", F.col("id").alias("b"), F.col("v").alias("vb"), every.alias("_x"), F.col("_own").alias("_y"))
+    return a.join(b, ["g", "_x", "_y"]).where("a < b").select("g", "a", "b", distance(F.col("va"), F.col("vb")).alias("d"))
 
 
 def pair_summary(pairs_: DataFrame) -> DataFrame:
@@ -91,7 +95,7 @@ def distance_entropy(pairs_: DataFrame, bins: int = 30) -> DataFrame:
 
 def neighbours(vectors: DataFrame, k: int, distance=euclidean) -> DataFrame:
     """(g, id, neighbour, d, rank) of the k nearest others in the group."""
-    p = pairs(vectors, distance)
+    p = pairs(vectors, distance, None)
     both = p.select("g", F.col("a").alias("id"), F.col("b").alias("neighbour"), "d").union(p.select("g", "b", "a", "d"))
     order = Window.partitionBy("g", "id").orderBy(F.round("d", 9), "neighbour")
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

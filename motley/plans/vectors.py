@@ -67,19 +67,19 @@ def neighbours(spark, sf_dir):
 @R.add("certified_upper_bound", f"WITH {VECTORS}, {pairs_sql('list_distance(a.v, b.v)')}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d DESC, a, b) AS r FROM pairs) SELECT g, round(sum(d), 4) AS sum_bound, round(min(d), 5) AS spread_bound FROM r WHERE r <= 10 GROUP BY g")
 def upper_bound(spark, sf_dir):
     order = Window.partitionBy("g").orderBy(F.desc("d"), "a", "b")
-    top = vc.pairs(_vectors(spark, sf_dir)).withColumn("_r", F.row_number().over(order)).where("_r <= 10")
+    top = vc.pairs(_vectors(spark, sf_dir), most=None).withColumn("_r", F.row_number().over(order)).where("_r <= 10")
     return top.groupBy("g").agg(F.round(F.sum("d"), 4).alias("sum_bound"), F.round(F.min("d"), 5).alias("spread_bound"))
 
 
 @R.add("threshold_dedup_edges", f"WITH {VECTORS}, {pairs_sql('list_cosine_similarity(a.v, b.v)')} SELECT g, a, b, round(d, 5) AS similarity FROM pairs WHERE d >= 0.3")
 def dedup_edges(spark, sf_dir):
-    return vc.pairs(_vectors(spark, sf_dir), vc.cosine).where("d >= 0.3").select("g", "a", "b", F.round("d", 5).alias("similarity"))
+    return vc.pairs(_vectors(spark, sf_dir), vc.cosine, None).where("d >= 0.3").select("g", "a", "b", F.round("d", 5).alias("similarity"))
 
 
 @R.add("individual_fairness", f"WITH {VECTORS}, p AS (SELECT list_distance(a.v, b.v) AS d, a.g = b.g AS same FROM v a JOIN v b ON a.id < b.id) SELECT round(avg(d) FILTER (same) / avg(d) FILTER (NOT same), 5) AS ratio FROM p")
 def individual_fairness(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    p = vc.pairs(v.select(F.lit(0).alias("g"), "id", F.concat("v", F.array(F.col("g").cast("double"))).alias("v")), lambda a, b: F.struct(vc.euclidean(F.slice(a, 1, F.size(a) - 1), F.slice(b, 1, F.size(b) - 1)).alias("d"), (F.element_at(a, -1) == F.element_at(b, -1)).alias("same")))
+    p = vc.pairs(v.select(F.lit(0).alias("g"), "id", F.concat("v", F.array(F.col("g").cast("double"))).alias("v")), lambda a, b: F.struct(vc.euclidean(F.slice(a, 1, F.size(a) - 1), F.slice(b, 1, F.size(b) - 1)).alias("d"), (F.element_at(a, -1) == F.element_at(b, -1)).alias("same")), None)
     return p.agg(F.round(F.avg(F.when(F.col("d.same"), F.col("d.d"))) / F.avg(F.when(~F.col("d.same"), F.col("d.d"))), 5).alias("ratio"))
 
 
