@@ -7,29 +7,33 @@
    would leave most of them empty on short texts.)
 2. *Classes.*  Equal sets are one class; only one document of a class goes on.
 3. *Bands.*  24 bands of three registers.  In each band value the least and the
-   greatest id are hubs; every other member is paired with these two only, so a
-   group of n copies gives 2n pairs, not n**2.
+   greatest id are representatives; all members are paired with these two, so a
+   group of n near copies gives 2n pairs, not n**2.
 4. *Estimate.*  Equal registers, less the equalities expected by chance for the
-   two set sizes, estimate the similarity.  Pairs of at least ``LOOSE`` join
-   *families* (connected components).  The bound is far below 0.75 as it only
-   has to keep both ends of every true link in one family.
-5. *Verification.*  Inside a family every pair is compared on its full sets:
-   families above ``BLOCK`` documents are cut into blocks, and each pair of
-   blocks is a task of its own.  A task emits a spanning forest of the links
-   with 100 * intersection >= 75 * union, never all pairs; the components of
-   these forests are the result.
-
-A pair at exactly 0.75 shares no band with a chance of 2e-6.  That is not the
-whole chance of a miss: a pair that shares bands can still be parted if, in all
-of them, hubs are unlike documents (frequent passages) whose estimate with one
-of the two is under ``LOOSE``.  A reviewer's simulation of 26000 documents with
-frequent passages lost 1 of 18000 pairs just over 0.75 this way.
+   two set sizes, estimate the similarity; pairs of at least ``CLOSE`` go on.
+5. *Verification* on full sets, in rounds: every document is compared with the
+   most similar one outside its component, linked components become one, and
+   pairs inside a component need no further look.  What is left after two
+   rounds is verified whole.
+6. *The rest.*  Band values whose members are still in several components are
+   searched again: registers of members of different components are compared in
+   tiles of ``TILE``, first the best partner for each member and component, then
+   all pairs of at least ``CLOSE``; both lots are verified as in 5.  So no pair
+   that shares a band value and has that estimate goes untested unless its ends
+   are already in one component.
+
+A pair at exactly 0.75 shares no band with a chance of 2e-6, and has an estimate
+below ``CLOSE`` with one of 1e-6.  Rows move as ids, registers (144 bytes) and, for
+pairs under verification, one shingle set for each end; a group of n near copies
+costs O(n) of them.  Only documents that share a band value with an estimate of
+``CLOSE`` or more but are not linked cost more, up to all such pairs.
 
 Edge cases: null or blank texts have empty sets and link to nothing; texts of
-one to four words are one shingle; rows with a null doc_id are kept, unlinked,
-with a null component; rows sharing a doc_id count as one document holding
-several texts; repeated rows stay repeated; an empty table gives no rows; other
-columns are ignored.
+one to four words are one shingle; texts of any length are hashed in whole, in
+slices of 2048 shingles; rows with a null doc_id are kept, unlinked, with a null
+component; rows sharing a doc_id count as one document holding several texts;
+repeated rows stay repeated; ties go to the smaller id; an empty table gives no
+rows; other columns are ignored, and pass through ``apply`` whatever their names.
 """
 
 from __future__ import annotations
@@ -44,11 +48,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motley.llm import textbytes as tb
-from motley.llm.shared import components, written
+from motley.llm.shared import components, unused, written
 from motley.session import ship
 
-BANDS, ROWS, MANTISSA, LOOSE = 24, 3, 10, 0.4
-BLOCK, PLAIN_BLOCKS, BLOCK_DOCS, BLOCK_BYTES = 64, 32, 1024, 8 << 20
+BANDS, ROWS, MANTISSA, CLOSE, TILE = 24, 3, 10, 0.5, 2048
+CHOICE_ROUNDS = 2
 
 _U = np.uint64
 _K = np.arange(1, BANDS * ROWS + 1, dtype=_U)
@@ -113,60 +117,121 @@ def sketch(batches):
             )
 
 
-def links(sets: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest, as stars around the least id, of the pairs with similarity 0.75 or more."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    value, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    shared = np.bincount(at, minlength=len(value)) > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[at]
-    owner, column = owner[keep], place[at[keep]]
-    both = np.zeros((n, n), np.float32)
-    width = max(1024, (32 << 20) // (4 * n))
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for low in range(0, int(shared.sum()), width):
-        i, j = np.searchsorted(column, (low, low + width))
-        dense = np.zeros((n, min(width, int(shared.sum()) - low)), np.float32)
-        dense[owner[i:j], column[i:j] - low] = 1
-        both += dense @ dense.T
-    both = both.astype(np.int64)
-    linked = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
-    out, open_ = [], np.ones(n, bool)
-    for root in np.argsort(ids, kind="stable"):
-        if open_[root]:
-            open_[root], front = False, [root]
-            while front:
-                new = np.flatnonzero(linked[front].any(axis=0) & open_)
-                open_[new] = False
-                out += [(int(ids[root]), int(ids[k])) for k in new]
-                front = list(new)
-    return out
-
-
-def forests(batches):
-    """Arrow kernel over rows sorted by tile: the spanning forest of every tile."""
+def shingle_sets(batches):
+    """Arrow kernel: (id, body) to (id, digest, shingles), the sorted hashes as bytes."""
+    for batch in batches:
+        ids = batch.column("id")
+        for i, j, words in tb.each_slice(batch.column("body"), lower=True):
+            sets = [s.tobytes() for s in words.shingle_sets()]
+            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
+
+
+def linked(a: bytes, b: bytes) -> bool:
+    """Whether 100 * intersection >= 75 * union holds for two sorted sets of hashes."""
+    n = (len(a) + len(b)) // 8
+    if 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
+        return False
+    both = np.concatenate((np.frombuffer(a, _U), np.frombuffer(b, _U)))
+    both.sort(kind="stable")  # two sorted runs: a merge
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 75 * (n - common)
+
+
+def _verified(batches):
+    """Arrow kernel: of pairs of components with a shingle set for each end those that are linked."""
+    for batch in batches:
+        keep = [linked(a, b) for a, b in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("lx", "ly")], names=["a", "b"])
+
+
+def likenesses(regs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The estimates between all rows of registers."""
+    if len(regs) <= 48:
+        equal = (regs[:, None, :] == regs[None, :, :]).sum(axis=2)
+    else:
+        equal = np.zeros((len(regs), len(regs)), np.uint8)
+        for column in np.ascontiguousarray(regs.T):
+            equal += column[:, None] == column[None, :]
+    by_chance = chance(sizes[:, None], sizes[None, :])
+    return (equal / regs.shape[1] - by_chance) / (1 - by_chance)
+
+
+def _across(everything: bool):
+    """Arrow kernel over rows sorted by tile: pairs (x < y) of different components with an estimate of
+    ``CLOSE`` or more; unless ``everything``, only the best of each member with each other component."""
 
     def solve(rows):
-        if len(rows) < 2:
+        ids, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        if len(rows) < 2 or (labels == labels[0]).all():
             return []
-        texts = pa.array([r[1] for r in rows], pa.large_string())
-        sets = [s for _, _, words in tb.each_slice(texts, lower=True) for s in words.shingle_sets()]
-        return links(sets, np.array([r[0] for r in rows]))
-
-    now, rows = None, []
-    for batch in batches:
-        found = []
-        for key, doc, text in zip(zip(*(batch.column(c).to_pylist() for c in ("family", "low", "high"))), batch.column("id").to_pylist(), batch.column("body").to_pylist()):
-            if key != now:
-                found += solve(rows)
-                now, rows = key, []
-            rows.append((doc, text))
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-    found = solve(rows)
-    yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        found = likenesses(np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1), np.array([r[3] for r in rows], float))
+        x, y = np.nonzero((found >= CLOSE) & (labels[:, None] != labels[None, :]))
+        near = found[x, y]
+        if not everything:
+            order = np.lexsort((ids[y], -near, labels[y], ids[x]))
+            first = np.ones(len(order), bool)
+            first[1:] = (ids[x][order][1:] != ids[x][order][:-1]) | (labels[y][order][1:] != labels[y][order][:-1])
+            x, y, near = x[order[first]], y[order[first]], near[order[first]]
+        low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        keep = low < high
+        return list(zip(low[keep].tolist(), high[keep].tolist(), near[keep].tolist()))
+
+    def frame(found):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.float64())], names=["x", "y", "near"])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            found = []
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high"))), zip(*(batch.column(c).to_pylist() for c in ("id", "label", "regs", "n_shingles")))):
+                if key != now:
+                    found += solve(rows)
+                    now, rows = key, []
+                rows.append(row)
+            yield frame(found)
+        yield frame(solve(rows))
+
+    return run
+
+
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with their components lx and ly, where these differ."""
+    for end in ("x", "y"):
+        pairs = pairs.join(labels.select(F.col("id").alias("of"), F.col("label").alias(f"l{end}")), F.col(end) == F.col("of")).drop("of")
+    return pairs.where("lx <> ly")
+
+
+def _choice(pairs: DataFrame) -> DataFrame:
+    """The most similar pair of each document."""
+    ends = pairs.select(F.col("x").alias("at"), F.col("y").alias("other"), "near", "lx", "ly").union(pairs.select("y", "x", "near", "lx", "ly"))
+    best = ends.groupBy("at").agg(F.max(F.struct("near", (-F.col("other")).alias("other"), "lx", "ly")).alias("best"))
+    other = -F.col("best.other")
+    return best.select(F.least("at", other).alias("x"), F.greatest("at", other).alias("y"), "best.lx", "best.ly").dropDuplicates(["x", "y"])
+
+
+def _settle(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after every pair (x, y, near) was verified or found inside a component."""
+    pairs = written(_named(pairs, labels), "pairs")
+    if pairs.isEmpty():
+        return labels
+    nodes = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "nodes")
+    body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("body IS NOT NULL").join(nodes, F.col("id") == F.col("node"), "left_semi")
+    sets = written(body.mapInArrow(shingle_sets, "id long, digest binary, shingles binary").dropDuplicates(["id", "digest"]).drop("digest"), "sets")
+    side = lambda end: sets.select(F.col("id").alias(f"id_{end}"), F.col("shingles").alias(f"s{end}"))
+    for k in range(CHOICE_ROUNDS + 1):
+        chosen = written(_choice(pairs), "choice") if k < CHOICE_ROUNDS else pairs
+        both = chosen.select("x", "y", "lx", "ly").join(side("x"), F.col("x") == F.col("id_x")).join(side("y"), F.col("y") == F.col("id_y"))
+        found = written(both.select("lx", "ly", "sx", "sy").mapInArrow(_verified, "a long, b long").distinct(), "links")
+        if not found.isEmpty():
+            joined = components(found).select("node", F.col("label").alias("new"))
+            labels = written(labels.join(joined, F.col("label") == F.col("node"), "left").select("id", F.coalesce("new", "label").alias("label")), "components")
+        if k < CHOICE_ROUNDS:
+            left = pairs.join(chosen.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
+            pairs = written(_named(left.select("x", "y", "near"), labels), "pairs")
+            if pairs.isEmpty():
+                break
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -178,32 +243,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     rep = written(filled.join(classes.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["digest"]), "reps")
 
-    banded = rep.select("doc_id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy(F.col("band").alias("key")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    pairs = banded.join(hubs, F.col("band") == F.col("key")).select("doc_id", F.explode(F.array("first", "last")).alias("hub")).where("doc_id <> hub")
-    pairs = pairs.select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).distinct()
+    banded = rep.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
+    ends = banded.groupBy(F.col("band").alias("key")).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    members = written(banded.join(ends, F.col("band") == F.col("key")).select("id", "band", "first", "last"), "members")
+    pairs = members.select("id", F.explode(F.array("first", "last")).alias("hub")).where("id <> hub")
+    pairs = pairs.select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
     side = lambda k: rep.select(F.col("doc_id").alias(f"id_{k}"), F.col("regs").alias(f"regs_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     judged = pairs.join(side("x"), F.col("x") == F.col("id_x")).select("x", "y", "regs_x", "n_x").join(side("y"), F.col("y") == F.col("id_y"))
     similar = F.pandas_udf(_estimate, T.DoubleType())
-    loose = judged.where(similar("regs_x", "regs_y", "n_x", "n_y") >= LOOSE).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    family = components(loose).select(F.col("node").alias("id"), F.col("label").alias("family"))
-
-    sized = family.join(rep.select(F.col("doc_id").alias("of"), "n_shingles"), F.col("id") == F.col("of"))
-    volume = sized.groupBy(F.col("family").alias("fam")).agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("bytes"))
-    cut = F.greatest(F.ceil(F.col("n") / BLOCK).cast("long"), F.lit(1))
-    many = F.greatest(F.lit(PLAIN_BLOCKS).cast("long"), F.ceil(F.col("n") / BLOCK_DOCS).cast("long"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("long"))
-    volume = volume.select("fam", F.when(cut <= PLAIN_BLOCKS, cut).otherwise(many).alias("blocks"))
-    member = written(family.join(volume, F.col("family") == F.col("fam")).select("id", "family", "blocks"), "members")
-
-    body = member.join(docs.select(F.col("doc_id").alias("of"), F.col("text").alias("body")).where("body IS NOT NULL"), F.col("id") == F.col("of"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    tiled = body.select("id", "family", "body", "blocks", block.alias("own")).select("id", "family", "body", "own", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("own")))).alias("other"))
-    tiled = tiled.select("id", "family", "body", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    forest = tiled.repartition(parts, "family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(forests, "a long, b long")
-    label = components(forest)
-
-    named = classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("of"), F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component"))
+    close = judged.select("x", "y", similar("regs_x", "regs_y", "n_x", "n_y").alias("near")).where(F.col("near") >= CLOSE).groupBy("x", "y").agg(F.max("near").alias("near"))
+    close = written(close, "close")
+    labels = _settle(docs, close, written(members.select("id", F.col("id").alias("label")).distinct(), "components"))
+
+    for everything in (False, True):
+        split = members.select("id", "band").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "band", "label")
+        open_ = split.groupBy(F.col("band").alias("key")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
+        split = written(split.join(open_, F.col("band") == F.col("key")).select("id", "band", "label", "tiles"), "split")
+        own = F.pmod(F.xxhash64("id"), F.col("tiles"))
+        others = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own")))
+        tiled = split.withColumn("own", own).select("id", "band", "label", "own", F.explode(others).alias("other"))
+        tiled = tiled.select("id", "band", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        tiled = tiled.join(rep.select(F.col("doc_id").alias("of"), "regs", "n_shingles"), F.col("id") == F.col("of")).drop("of")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = tiled.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_across(everything), "x long, y long, near double")
+        fresh = found.groupBy("x", "y").agg(F.max("near").alias("near")).join(close.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
+        fresh = written(fresh, "fresh")
+        labels = _settle(docs, fresh, labels)
+        close = close.unionByName(fresh)
+
+    named = classes.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("of"), F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component"))
     out = all_rows.join(named, (F.col("digest") == F.col("of")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -211,6 +279,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """The documents whose id is the least of their component (a repeated row of one id stays once for each row)."""
-    verdict = near_duplicates(docs)
-    stay = verdict.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    key = unused(docs, "near_id")
+    stay = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(stay, F.col("doc_id") == F.col(key), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))

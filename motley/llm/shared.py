@@ -30,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the shared folder: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession

@@ -65,8 +65,8 @@ def test_near_duplicates(request, table):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-def test_near_duplicates_in_blocks(odd, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+def test_near_duplicates_in_tiles(odd, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 4)
     docs = odd.where("doc_id <> 15")
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()} == brute.components([(i, t) for i, _, t in rows(docs)])
 
@@ -247,3 +247,29 @@ def test_empty_tables(spark, odd):
     none = odd.where("false")
     for f in (quality.judge, quality.apply, neardup.near_duplicates, neardup.apply, tokens.count_tokens, packing.pack, mixing.mix, mixing.apply, fingerprints.fingerprints, linededup.dedup_lines, linededup.apply, pii.find):
         assert f(none).count() == 0, f
+
+
+def test_near_duplicates_meet_past_unlike_representatives(spark):
+    """Pairs whose band values are led by unlike documents with the same passage, and chains without a common centre."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(60)]
+    texts = [passage + [word() for _ in range(60)] for _ in range(30)]  # alike by half at most
+    for _ in range(15):
+        own = passage + [word() for _ in range(40)]
+        texts += [own, own[:-4] + [word() for _ in range(4)]]
+    chain = [word() for _ in range(120)]
+    for k in range(12):
+        texts.append(chain[4 * k : 4 * k + 80])
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = brute.components([(k, " ".join(t)) for k, t in enumerate(texts)])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()} == want
+
+
+def test_apply_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, BASE, 1, 2, 3), (2, BASE, 1, 2, 3)], "doc_id long, text string, _id int, near_id int, component_id int")
+    out = neardup.apply(docs)
+    assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == [1]
