@@ -17,16 +17,19 @@
    rounds is verified whole.
 6. *The rest.*  Band values whose members are still in several components are
    searched again: registers of members of different components are compared in
-   tiles of ``TILE``, first the best partner for each member and component, then
-   all pairs of at least ``CLOSE``; both lots are verified as in 5.  So no pair
-   that shares a band value and has that estimate goes untested unless its ends
-   are already in one component.
+   tiles of ``TILE``.  Members with a pair of at least ``CLOSE`` are *open*.  Of
+   an open member the shingles that no other open member has are counted; what
+   is left bounds its intersection with anyone, which rules out most pairs
+   exactly (a far edited copy has too many shingles of its own).  Of the others
+   first the best partner for each member and component, then all pairs are
+   verified as in 5.  So no pair that shares a band value and has that estimate
+   goes untested unless the bound excludes it or its ends are in one component.
 
 A pair at exactly 0.75 shares no band with a chance of 2e-6, and has an estimate
 below ``CLOSE`` with one of 1e-6.  Rows move as ids, registers (144 bytes) and, for
 pairs under verification, one shingle set for each end; a group of n near copies
 costs O(n) of them.  Only documents that share a band value with an estimate of
-``CLOSE`` or more but are not linked cost more, up to all such pairs.
+``CLOSE`` or more, pass the bound and are not linked cost more, up to all such pairs.
 
 Edge cases: null or blank texts have empty sets and link to nothing; texts of
 one to four words are one shingle; texts of any length are hashed in whole, in
@@ -51,7 +54,7 @@ from motley.llm import textbytes as tb
 from motley.llm.shared import components, unused, written
 from motley.session import ship
 
-BANDS, ROWS, MANTISSA, CLOSE, TILE = 24, 3, 10, 0.5, 2048
+BANDS, ROWS, MANTISSA, CLOSE, TILE = 24, 3, 10, 0.5, 1024
 CHOICE_ROUNDS = 2
 
 _U = np.uint64
@@ -98,6 +101,10 @@ def _estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Seri
     return pd.Series(estimate(a, b, n, m)) if len(a) else pd.Series([], dtype=float)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketch(batches):
     """Arrow kernel: set size, digest of the set, registers and band keys of each text."""
     for batch in batches:
@@ -106,7 +113,7 @@ def sketch(batches):
             sizes, digests, regs, keys = [], [], [], []
             for shingles in words.shingle_sets():
                 sizes.append(len(shingles))
-                digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                digests.append(_digest(shingles))
                 r = registers(shingles)
                 regs.append(r.tobytes() if len(shingles) else b"")
                 keys.append(band_keys(r) if len(shingles) else np.zeros(0, np.int64))
@@ -122,9 +129,21 @@ def shingle_sets(batches):
     for batch in batches:
         ids = batch.column("id")
         for i, j, words in tb.each_slice(batch.column("body"), lower=True):
-            sets = [s.tobytes() for s in words.shingle_sets()]
-            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
+            sets = words.shingle_sets()
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "shingles"])
+
+
+def single_shingles(batches):
+    """Arrow kernel: (digest, shingles) to one row (digest, shingle) for each hash."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)])
+        at = 0
+        while at < len(sets):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 17), "right")) - 1)
+            owner = np.repeat(np.arange(at, to), np.diff(ends[at : to + 1]))
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(owner)), pa.array(np.concatenate(sets[at:to]))], names=["digest", "shingle"])
+            at = to
 
 
 def linked(a: bytes, b: bytes) -> bool:
@@ -153,29 +172,36 @@ def likenesses(regs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         equal = np.zeros((len(regs), len(regs)), np.uint8)
         for column in np.ascontiguousarray(regs.T):
             equal += column[:, None] == column[None, :]
+    sizes = sizes.astype(np.float32)
     by_chance = chance(sizes[:, None], sizes[None, :])
-    return (equal / regs.shape[1] - by_chance) / (1 - by_chance)
+    return (equal.astype(np.float32) / np.float32(regs.shape[1]) - by_chance) / (1 - by_chance)
 
 
-def _across(everything: bool):
-    """Arrow kernel over rows sorted by tile: pairs (x < y) of different components with an estimate of
-    ``CLOSE`` or more; unless ``everything``, only the best of each member with each other component."""
+def _across(mode: str):
+    """Arrow kernel over rows sorted by tile, about pairs (x, y, near) of different components with an estimate of ``CLOSE``
+    or more that the bound admits.  Modes: "open" gives (x, x, 0) for every member of one, "best" the best pair of each
+    member with each other component, "all" all pairs."""
 
     def solve(rows):
         ids, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         if len(rows) < 2 or (labels == labels[0]).all():
             return []
-        found = likenesses(np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1), np.array([r[3] for r in rows], float))
-        x, y = np.nonzero((found >= CLOSE) & (labels[:, None] != labels[None, :]))
+        sizes, most = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        found = likenesses(np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1), sizes)
+        fits = (found >= CLOSE) & (labels[:, None] != labels[None, :]) & (7 * np.minimum(most[:, None], most[None, :]) >= 3 * (sizes[:, None] + sizes[None, :]))
+        if mode == "open":
+            return [(i, i, 0.0) for i in ids[fits.any(axis=1)].tolist()]
+        x, y = np.nonzero(fits)
         near = found[x, y]
-        if not everything:
+        if mode == "best":
             order = np.lexsort((ids[y], -near, labels[y], ids[x]))
             first = np.ones(len(order), bool)
             first[1:] = (ids[x][order][1:] != ids[x][order][:-1]) | (labels[y][order][1:] != labels[y][order][:-1])
             x, y, near = x[order[first]], y[order[first]], near[order[first]]
-        low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-        keep = low < high
-        return list(zip(low[keep].tolist(), high[keep].tolist(), near[keep].tolist()))
+        else:
+            once = ids[x] < ids[y]
+            x, y, near = x[once], y[once], near[once]
+        return list(zip(np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist(), near.astype(float).tolist()))
 
     def frame(found):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.float64())], names=["x", "y", "near"])
@@ -184,7 +210,7 @@ def _across(everything: bool):
         now, rows = None, []
         for batch in batches:
             found = []
-            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high"))), zip(*(batch.column(c).to_pylist() for c in ("id", "label", "regs", "n_shingles")))):
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high"))), zip(*(batch.column(c).to_pylist() for c in ("id", "label", "regs", "n_shingles", "most")))):
                 if key != now:
                     found += solve(rows)
                     now, rows = key, []
@@ -210,14 +236,19 @@ def _choice(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("at", other).alias("x"), F.greatest("at", other).alias("y"), "best.lx", "best.ly").dropDuplicates(["x", "y"])
 
 
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, digest, shingles) of the documents in ``nodes`` (one column of ids)."""
+    body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("body IS NOT NULL")
+    body = body.join(nodes.toDF("node"), F.col("id") == F.col("node"), "left_semi")
+    return body.mapInArrow(shingle_sets, "id long, digest binary, shingles binary").dropDuplicates(["id", "digest"])
+
+
 def _settle(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` (id, label) after every pair (x, y, near) was verified or found inside a component."""
     pairs = written(_named(pairs, labels), "pairs")
     if pairs.isEmpty():
         return labels
-    nodes = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "nodes")
-    body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("body IS NOT NULL").join(nodes, F.col("id") == F.col("node"), "left_semi")
-    sets = written(body.mapInArrow(shingle_sets, "id long, digest binary, shingles binary").dropDuplicates(["id", "digest"]).drop("digest"), "sets")
+    sets = written(_sets(docs, pairs.select("x").union(pairs.select("y")).distinct()).drop("digest"), "sets")
     side = lambda end: sets.select(F.col("id").alias(f"id_{end}"), F.col("shingles").alias(f"s{end}"))
     for k in range(CHOICE_ROUNDS + 1):
         chosen = written(_choice(pairs), "choice") if k < CHOICE_ROUNDS else pairs
@@ -234,6 +265,16 @@ def _settle(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the band values with several components, by tiles: id, band, label, low, high."""
+    named = members.select("id", "band").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "band", "label")
+    several = named.groupBy(F.col("band").alias("key")).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("key", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
+    split = written(named.join(several, F.col("band") == F.col("key")).select("id", "band", "label", "tiles"), "split")
+    split = split.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    others = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own")))
+    return split.select("id", "band", "label", "own", F.explode(others).alias("other")).select("id", "band", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (plus class_id, the least id with the same set)."""
     spark = docs.sparkSession
@@ -255,21 +296,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     close = written(close, "close")
     labels = _settle(docs, close, written(members.select("id", F.col("id").alias("label")).distinct(), "components"))
 
-    for everything in (False, True):
-        split = members.select("id", "band").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "band", "label")
-        open_ = split.groupBy(F.col("band").alias("key")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
-        split = written(split.join(open_, F.col("band") == F.col("key")).select("id", "band", "label", "tiles"), "split")
-        own = F.pmod(F.xxhash64("id"), F.col("tiles"))
-        others = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own")))
-        tiled = split.withColumn("own", own).select("id", "band", "label", "own", F.explode(others).alias("other"))
-        tiled = tiled.select("id", "band", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        tiled = tiled.join(rep.select(F.col("doc_id").alias("of"), "regs", "n_shingles"), F.col("id") == F.col("of")).drop("of")
+    most = rep.select(F.col("doc_id").alias("of"), "regs", "n_shingles", F.col("n_shingles").alias("most"))
+    for mode in ("open", "best", "all"):
+        split = _split(members, labels)
+        tiled = split.join(most, F.col("id") == F.col("of")).drop("of")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = tiled.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_across(everything), "x long, y long, near double")
-        fresh = found.groupBy("x", "y").agg(F.max("near").alias("near")).join(close.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
-        fresh = written(fresh, "fresh")
-        labels = _settle(docs, fresh, labels)
-        close = close.unionByName(fresh)
+        found = tiled.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_across(mode), "x long, y long, near double").groupBy("x", "y").agg(F.max("near").alias("near"))
+        if mode == "open":
+            opened = written(found.select("x"), "open")
+            alone = _sets(docs, opened).select("digest", "shingles").mapInArrow(single_shingles, "digest binary, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("only"))
+            alone = written(alone.where("n = 1").groupBy("only").agg(F.count(F.lit(1)).alias("n_alone")), "alone")
+            reps = rep.join(opened, F.col("doc_id") == F.col("x"), "left_semi").join(alone, F.col("digest") == F.col("only"), "left")
+            most = written(reps.select(F.col("doc_id").alias("of"), "regs", "n_shingles", (F.col("n_shingles") - F.coalesce("n_alone", F.lit(0))).alias("most")), "bounds")
+        else:
+            fresh = found.join(close.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
+            fresh = written(fresh, "fresh")
+            labels = _settle(docs, fresh, labels)
+            close = close.unionByName(fresh)
 
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("of"), F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component"))
     out = all_rows.join(named, (F.col("digest") == F.col("of")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
