@@ -17,19 +17,20 @@
    rounds is verified whole.
 6. *The rest.*  Band values whose members are still in several components are
    searched again: registers of members of different components are compared in
-   tiles of ``TILE``.  Members with a pair of at least ``CLOSE`` are *open*.  Of
-   an open member the shingles that no other open member has are counted; what
-   is left bounds its intersection with anyone, which rules out most pairs
-   exactly (a far edited copy has too many shingles of its own).  Of the others
-   first the best partner for each member and component, then all pairs are
-   verified as in 5.  So no pair that shares a band value and has that estimate
-   goes untested unless the bound excludes it or its ends are in one component.
-
-A pair at exactly 0.75 shares no band with a chance of 2e-6, and has an estimate
-below ``CLOSE`` with one of 1e-6.  Rows move as ids, registers (144 bytes) and, for
-pairs under verification, one shingle set for each end; a group of n near copies
-costs O(n) of them.  Only documents that share a band value with an estimate of
-``CLOSE`` or more, pass the bound and are not linked cost more, up to all such pairs.
+   tiles of ``TILE``, and members with a pair of at least ``CLOSE`` are *open*.
+   Of an open member the shingles that no other open member has are counted;
+   what is left bounds its intersection with anyone, and members without a pair
+   that this bound admits are closed again (a far edited copy has too many
+   shingles of its own).  The others are paired by an exact prefix filter: their
+   shingles are ordered from rare to frequent, and a pair that is linked shares
+   one among the first n - ceil(3/7 (n + m)) + 1 of both.  Pairs of different
+   components that do are verified as in 5.
+
+So a linked pair is missed only if it shares no band value (2e-6 at exactly 0.75)
+or has an estimate below ``CLOSE`` (1e-6).  Rows move as ids, registers (144
+bytes) and, for pairs under verification, a shingle set for each end; a group of
+n near copies costs O(n) of them.  Only open members that pass the bound send
+single shingles, and only those that share rare ones are paired.
 
 Edge cases: null or blank texts have empty sets and link to nothing; texts of
 one to four words are one shingle; texts of any length are hashed in whole, in
@@ -54,8 +55,10 @@ from motley.llm import textbytes as tb
 from motley.llm.shared import components, unused, written
 from motley.session import ship
 
-BANDS, ROWS, MANTISSA, CLOSE, TILE = 24, 3, 10, 0.5, 1024
+BANDS, ROWS, MANTISSA, CLOSE, TILE = 24, 3, 10, 0.5, 512
 CHOICE_ROUNDS = 2
+#: Ids of documents that are looked up by broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 21
 
 _U = np.uint64
 _K = np.arange(1, BANDS * ROWS + 1, dtype=_U)
@@ -134,15 +137,16 @@ def shingle_sets(batches):
 
 
 def single_shingles(batches):
-    """Arrow kernel: (digest, shingles) to one row (digest, shingle) for each hash."""
+    """Arrow kernel: (digest, shingles) to one row (digest, size, shingle) for each hash."""
     for batch in batches:
         sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-        ends = np.cumsum([0, *map(len, sets)])
+        sizes = np.array([len(x) for x in sets], np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
         at = 0
         while at < len(sets):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 17), "right")) - 1)
-            owner = np.repeat(np.arange(at, to), np.diff(ends[at : to + 1]))
-            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(owner)), pa.array(np.concatenate(sets[at:to]))], names=["digest", "shingle"])
+            owner = np.repeat(np.arange(at, to), sizes[at:to])
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(owner)), pa.array(sizes[owner]), pa.array(np.concatenate(sets[at:to]))], names=["digest", "size", "shingle"])
             at = to
 
 
@@ -177,48 +181,64 @@ def likenesses(regs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (equal.astype(np.float32) / np.float32(regs.shape[1]) - by_chance) / (1 - by_chance)
 
 
-def _across(mode: str):
-    """Arrow kernel over rows sorted by tile, about pairs (x, y, near) of different components with an estimate of ``CLOSE``
-    or more that the bound admits.  Modes: "open" gives (x, x, 0) for every member of one, "best" the best pair of each
-    member with each other component, "all" all pairs."""
-
-    def solve(rows):
-        ids, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        if len(rows) < 2 or (labels == labels[0]).all():
-            return []
-        sizes, most = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        found = likenesses(np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1), sizes)
-        fits = (found >= CLOSE) & (labels[:, None] != labels[None, :]) & (7 * np.minimum(most[:, None], most[None, :]) >= 3 * (sizes[:, None] + sizes[None, :]))
-        if mode == "open":
-            return [(i, i, 0.0) for i in ids[fits.any(axis=1)].tolist()]
-        x, y = np.nonzero(fits)
-        near = found[x, y]
-        if mode == "best":
-            order = np.lexsort((ids[y], -near, labels[y], ids[x]))
-            first = np.ones(len(order), bool)
-            first[1:] = (ids[x][order][1:] != ids[x][order][:-1]) | (labels[y][order][1:] != labels[y][order][:-1])
-            x, y, near = x[order[first]], y[order[first]], near[order[first]]
-        else:
-            once = ids[x] < ids[y]
-            x, y, near = x[once], y[once], near[once]
-        return list(zip(np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist(), near.astype(float).tolist()))
-
-    def frame(found):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.float64())], names=["x", "y", "near"])
-
-    def run(batches):
-        now, rows = None, []
-        for batch in batches:
-            found = []
-            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high"))), zip(*(batch.column(c).to_pylist() for c in ("id", "label", "regs", "n_shingles", "most")))):
-                if key != now:
-                    found += solve(rows)
-                    now, rows = key, []
-                rows.append(row)
-            yield frame(found)
-        yield frame(solve(rows))
-
-    return run
+def _groups(batches, keys: list[str], values: list[str]):
+    """For each batch the runs of equal keys that end in it: lists of value tuples, rows being sorted by key."""
+    now, rows = None, []
+    for batch in batches:
+        ended = []
+        for key, row in zip(zip(*(batch.column(c).to_pylist() for c in keys)), zip(*(batch.column(c).to_pylist() for c in values))):
+            if key != now:
+                ended.append(rows)
+                now, rows = key, []
+            rows.append(row)
+        yield ended
+    yield [rows]
+
+
+_TILE_KEY = ["key", "low", "high"]
+
+
+def open_members(batches):
+    """Arrow kernel over tiles: members with a pair of another component whose estimate is ``CLOSE`` or more and whose sizes allow a link."""
+    for groups in _groups(batches, _TILE_KEY, ["id", "label", "regs", "n_shingles", "most"]):
+        found = [np.zeros(0, np.int64)]
+        for rows in groups:
+            labels = np.array([r[1] for r in rows])
+            if len(rows) > 1 and (labels != labels[0]).any():
+                sizes, most = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+                near = likenesses(np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1), sizes)
+                fits = (near >= CLOSE) & (labels[:, None] != labels[None, :])
+                fits &= 7 * np.minimum(most[:, None], most[None, :]) >= 3 * (sizes[:, None] + sizes[None, :])
+                found.append(np.array([r[0] for r in rows])[fits.any(axis=1)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["id"])
+
+
+def prefixes(batches):
+    """Arrow kernel over rows (digest, size, n, shingle), sorted: the places of a set's shared shingles from rare to frequent,
+    up to the last that a link can depend on."""
+    for groups in _groups(batches, ["digest"], ["digest", "size", "shingle"]):
+        out = []
+        for rows in filter(None, groups):
+            size = rows[0][1]
+            alone = size - len(rows)  # these come first, and nobody shares them
+            last = size - -(-3 * size // 4)
+            out += [(digest, alone + k, size, shingle) for k, (digest, _, shingle) in enumerate(rows[: max(0, last - alone + 1)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["digest", "place", "size", "shingle"])
+
+
+def prefix_pairs(batches):
+    """Arrow kernel over tiles: pairs (x, y, near) of different components that share a shingle inside both prefixes."""
+    for groups in _groups(batches, _TILE_KEY, ["id", "label", "place", "size"]):
+        found = [np.zeros((0, 2), np.int64)]
+        for rows in groups:
+            if len(rows) > 1:
+                ids, labels, place, size = np.array(rows).T
+                overlap = -(-3 * (size[:, None] + size[None, :]) // 7)
+                fits = (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :]) & (place[:, None] <= size[:, None] - overlap) & (place[None, :] <= size[None, :] - overlap)
+                x, y = np.nonzero(fits)
+                found.append(np.stack((ids[x], ids[y]), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs)))], names=["x", "y", "near"])
 
 
 def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,7 +259,10 @@ def _choice(pairs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, digest, shingles) of the documents in ``nodes`` (one column of ids)."""
     body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).where("body IS NOT NULL")
-    body = body.join(nodes.toDF("node"), F.col("id") == F.col("node"), "left_semi")
+    nodes = nodes.toDF("node")
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    body = body.join(nodes, F.col("id") == F.col("node"), "left_semi")
     return body.mapInArrow(shingle_sets, "id long, digest binary, shingles binary").dropDuplicates(["id", "digest"])
 
 
@@ -248,7 +271,7 @@ def _settle(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     pairs = written(_named(pairs, labels), "pairs")
     if pairs.isEmpty():
         return labels
-    sets = written(_sets(docs, pairs.select("x").union(pairs.select("y")).distinct()).drop("digest"), "sets")
+    sets = written(_sets(docs, written(pairs.select("x").union(pairs.select("y")).distinct(), "nodes")).drop("digest"), "sets")
     side = lambda end: sets.select(F.col("id").alias(f"id_{end}"), F.col("shingles").alias(f"s{end}"))
     for k in range(CHOICE_ROUNDS + 1):
         chosen = written(_choice(pairs), "choice") if k < CHOICE_ROUNDS else pairs
@@ -265,14 +288,41 @@ def _settle(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
-def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the band values with several components, by tiles: id, band, label, low, high."""
-    named = members.select("id", "band").join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "band", "label")
-    several = named.groupBy(F.col("band").alias("key")).agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("key", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
-    split = written(named.join(several, F.col("band") == F.col("key")).select("id", "band", "label", "tiles"), "split")
-    split = split.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
+def _tiles(rows: DataFrame) -> DataFrame:
+    """(key, id, label, ...) of the keys with several components, dealt out by tiles (key, low, high) and sorted by them."""
+    rows = written(rows, "rows")
+    several = rows.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("least"), F.max("label").alias("last"), F.count(F.lit(1)).alias("n")).where("least < last").select("of", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"))
+    split = rows.join(several, F.col("key") == F.col("of")).drop("of").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
     others = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("own")))
-    return split.select("id", "band", "label", "own", F.explode(others).alias("other")).select("id", "band", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    tiled = split.withColumn("other", F.explode(others)).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other", "tiles")
+    return tiled.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_TILE_KEY).sortWithinPartitions(*_TILE_KEY)
+
+
+def _open(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Ids of the open members; ``reps``: of, regs, n_shingles, most."""
+    rows = members.select("id", F.col("band").alias("key")).join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("key", "id", "label")
+    rows = rows.join(reps, F.col("id") == F.col("of")).drop("of")
+    return written(_tiles(rows).mapInArrow(open_members, "id long").distinct(), "open")
+
+
+def _rest(docs: DataFrame, rep: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (x, y, near) that step 6 leaves for verification."""
+    reps = rep.select(F.col("doc_id").alias("of"), "regs", "n_shingles", F.col("n_shingles").alias("most"))
+    sets = written(_sets(docs, _open(members, labels, reps)), "sets")
+    singles = lambda s: s.select("digest", "shingles").mapInArrow(single_shingles, "digest binary, size long, shingle long")
+    alone = singles(sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("only")).where("n = 1").groupBy("only").agg(F.count(F.lit(1)).alias("n_alone"))
+    known = rep.join(sets.select(F.col("digest").alias("there")), F.col("digest") == F.col("there"), "left_semi").join(alone, F.col("digest") == F.col("only"), "left")
+    known = written(known.select(F.col("doc_id").alias("of"), "regs", "n_shingles", (F.col("n_shingles") - F.coalesce("n_alone", F.lit(0))).alias("most")), "bounds")
+    opened = _open(members, labels, known).withColumnRenamed("id", "node")
+
+    few = written(sets.join(opened, F.col("id") == F.col("node"), "left_semi"), "sets")
+    often = singles(few).groupBy(F.col("shingle").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = singles(few).join(often, F.col("shingle") == F.col("of")).select("digest", "size", "n", "shingle")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prefix = shared.repartition(parts, "digest").sortWithinPartitions("digest", "n", "shingle").mapInArrow(prefixes, "digest binary, place long, size long, shingle long")
+    named = few.select(F.col("digest").alias("of"), "id").join(labels.withColumnRenamed("id", "node"), F.col("id") == F.col("node"))
+    rows = prefix.join(named, F.col("digest") == F.col("of")).select(F.col("shingle").alias("key"), "id", "label", "place", "size")
+    return _tiles(rows).mapInArrow(prefix_pairs, "x long, y long, near double").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -292,27 +342,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = lambda k: rep.select(F.col("doc_id").alias(f"id_{k}"), F.col("regs").alias(f"regs_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     judged = pairs.join(side("x"), F.col("x") == F.col("id_x")).select("x", "y", "regs_x", "n_x").join(side("y"), F.col("y") == F.col("id_y"))
     similar = F.pandas_udf(_estimate, T.DoubleType())
-    close = judged.select("x", "y", similar("regs_x", "regs_y", "n_x", "n_y").alias("near")).where(F.col("near") >= CLOSE).groupBy("x", "y").agg(F.max("near").alias("near"))
-    close = written(close, "close")
+    close = judged.select("x", "y", similar("regs_x", "regs_y", "n_x", "n_y").alias("near")).where(F.col("near") >= CLOSE)
     labels = _settle(docs, close, written(members.select("id", F.col("id").alias("label")).distinct(), "components"))
 
-    most = rep.select(F.col("doc_id").alias("of"), "regs", "n_shingles", F.col("n_shingles").alias("most"))
-    for mode in ("open", "best", "all"):
-        split = _split(members, labels)
-        tiled = split.join(most, F.col("id") == F.col("of")).drop("of")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = tiled.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_across(mode), "x long, y long, near double").groupBy("x", "y").agg(F.max("near").alias("near"))
-        if mode == "open":
-            opened = written(found.select("x"), "open")
-            alone = _sets(docs, opened).select("digest", "shingles").mapInArrow(single_shingles, "digest binary, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("only"))
-            alone = written(alone.where("n = 1").groupBy("only").agg(F.count(F.lit(1)).alias("n_alone")), "alone")
-            reps = rep.join(opened, F.col("doc_id") == F.col("x"), "left_semi").join(alone, F.col("digest") == F.col("only"), "left")
-            most = written(reps.select(F.col("doc_id").alias("of"), "regs", "n_shingles", (F.col("n_shingles") - F.coalesce("n_alone", F.lit(0))).alias("most")), "bounds")
-        else:
-            fresh = found.join(close.select(F.col("x").alias("p"), F.col("y").alias("q")), (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
-            fresh = written(fresh, "fresh")
-            labels = _settle(docs, fresh, labels)
-            close = close.unionByName(fresh)
+    labels = _settle(docs, _rest(docs, rep, members, labels), labels)
 
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("of"), F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component"))
     out = all_rows.join(named, (F.col("digest") == F.col("of")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
