@@ -1,16 +1,20 @@
 """Operator 3, quality rules: word rules of single texts and the frequency of lines across documents.
 
 Lines are normalised (ASCII lower case, one space between words) and hashed to
-64 bits.  For each host (column ``source``) the *different* texts with a line
-are counted, so exact copies of one document count once.  A line found in more
-than ``max_docs`` of them is removed everywhere but in the document with the
-smallest id that has it, so one instance of every passage stays.  A document
-is rejected if what is left of it has fewer than ``min_words`` words or less
-than ``min_share`` of its words (depleted), or if a base rule fails.
+64 bits.  For each host (column ``source``) the distinct documents (doc_id) with
+a line are counted.  A line found in more than ``max_docs`` of them is removed
+from all of them.  A document is rejected if it is depleted, that is if what is
+left has fewer than ``min_words`` words (five: no shingle would be left for the
+later stages) or less than ``min_share`` of its words, or if a base rule fails.
+Of more than ``max_docs`` copies of one document in one host nothing is left: to
+this rule they are boilerplate.
 
 Edge cases: null text is an empty text (no words, base_failed); null source is
-a host of its own; a null doc_id counts as the largest id; repeated rows are
-judged one by one; an empty table gives no rows; other columns are ignored.
+a host of its own; rows sharing a doc_id count as one document when lines are
+counted and are judged one by one, null doc_ids are one document; texts and
+lines of any length are hashed whole; a line in exactly ``max_docs`` documents
+stays; an empty table gives no rows; other columns are ignored by ``judge`` and
+pass through ``apply`` whatever their names.
 """
 
 from __future__ import annotations
@@ -111,9 +115,8 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS,
     seen = written(docs.select("doc_id", "text", "source").mapInArrow(statistics, _SCHEMA), "lines")
     seen = seen.withColumn("host", F.coalesce("source", F.lit(""))).withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     single = seen.select("host", "key", "digest", F.explode(F.array_distinct("line_hash")).alias("h"))
-    texts = single.groupBy("host", "h", "digest").agg(F.min("key").alias("key"))
-    frequent = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("holder")).where(F.col("n") > max_docs).select(F.col("host").alias("at"), F.col("h").alias("hash"), "holder")
-    hit = single.join(frequent, (single.host == frequent["at"]) & (single.h == frequent.hash) & (single.key != frequent.holder))
+    frequent = single.groupBy("host", "h").agg(F.count_distinct("key").alias("n")).where(F.col("n") > max_docs).select(F.col("host").alias("at"), F.col("h").alias("hash"))
+    hit = single.join(frequent, (single.host == frequent["at"]) & (single.h == frequent.hash))
     drop = hit.groupBy(F.col("key").alias("of"), F.col("digest").alias("text_digest"), F.col("host").alias("of_host")).agg(F.collect_set("hash").alias("removed"))
     on = (seen.key == drop.of) & (seen.digest == drop.text_digest) & (seen.host == drop.of_host)
     left = F.aggregate(F.zip_with("line_hash", "line_words", lambda h, n: F.when(F.array_contains("removed", h), F.lit(0)).otherwise(n)), F.lit(0).cast("long"), lambda a, x: a + x)
