@@ -8,13 +8,14 @@ constant if lines with it there stand in ``min_docs`` documents or more, else
 it is ``<*>`` as well.  (Support does not depend on the order of lines, as the
 usual running comparison with earlier templates would.)  A template with at
 least half of its fields constant that is found in ``min_docs`` different
-documents or more is recurring: its lines are dropped from all documents but
-the one with the smallest doc_id among them, so one instance stays.
+documents or more is recurring: its lines are dropped from all of them.
 
 Edge cases: null text has no lines and stays null; lines without words stay;
-a null doc_id counts as the largest; rows sharing a doc_id are one document
-with several texts, repeated rows are treated alike; an empty table gives no
-rows; other columns pass through ``apply``.
+null doc_ids are one document; rows sharing a doc_id are one document with
+several texts, repeated rows are treated alike; patterns take time in proportion
+to a line, however long; a template in exactly ``min_docs`` documents is
+dropped; an empty table gives no rows; other columns pass through ``apply``
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from motley.llm.shared import GAP, WORD, written
 MIN_DOCS, DEPTH, SHARE = 10, 3, 0.5
 BROADCAST_LEAVES = 1 << 18
 FIELD = "<*>"
-_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
-_EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"  # tried once a word, as is _EDGE once a gap
+_EDGE = r"^[\x20\x09-\x0D]++|(?<![\x20\x09-\x0D])[\x20\x09-\x0D]++\z"
 _LAST = (1 << 63) - 1
 
 
@@ -73,9 +74,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -
     parsed = written(parsed, "templates")
 
     found = written(skinny.join(parsed, (F.col("leaf") == F.col("l")) & (F.col("sig") == F.col("s"))).select("doc", "content", "pos", "template"), "found")
-    often = found.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("holder")).where(F.col("n") >= min_docs)
-    often = _few(written(often.select(F.col("template").alias("t"), "holder"), "often"))
-    drop = found.join(often, (F.col("template") == F.col("t")) & (F.col("doc") > F.col("holder"))).select("doc", "content", "pos")
+    often = found.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    often = _few(written(often.select(F.col("template").alias("t")), "often"))
+    drop = found.join(often, F.col("template") == F.col("t"), "left_semi").select("doc", "content", "pos")
     return skinny, drop
 
 
@@ -125,8 +126,8 @@ WITH lines AS (
   SELECT leaf, norm, string_agg(word, ' ' ORDER BY place) AS template FROM marked GROUP BY leaf, norm
   HAVING count(*) FILTER (word <> '<*>') >= 0.5 * count(*)
 ), found AS (SELECT doc, content, pos, leaf, template FROM keyed JOIN parsed USING (leaf, norm)
-), often AS (SELECT leaf, template, min(doc) AS holder FROM found GROUP BY ALL HAVING count(DISTINCT doc) >= 10
-), gone AS (SELECT DISTINCT doc, content, pos FROM found JOIN often USING (leaf, template) WHERE doc > holder
+), often AS (SELECT leaf, template FROM found GROUP BY ALL HAVING count(DISTINCT doc) >= 10
+), gone AS (SELECT DISTINCT doc, content, pos FROM found JOIN often USING (leaf, template)
 ), every_line AS (
   SELECT doc, content, pos, line, (doc, content, pos) IN (SELECT (doc, content, pos) FROM gone) AS dropped FROM (SELECT DISTINCT * FROM lines)
 ), rebuilt AS (
