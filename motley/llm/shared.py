@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,18 +19,26 @@ def table(sf_dir: str, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one."""
+    """The folder in spark.checkpoint.dir.  Where that is unset a temporary one, on one machine only (tests): executors
+    elsewhere would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         if context.getCheckpointDir():
             return context.getCheckpointDir()
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="motley-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, longer if ``df`` has a column of that name (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -1,15 +1,18 @@
 """Operator 5, token counts with a digest cache, and the encoders that operator 6 uses too.
 
-The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens).
-Contents are normalised (null: empty) and digested by SHA-256, tokenizers by
-the SHA-256 of their file.  Contents that the cache lacks are encoded once
+The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens) that
+outlives the query: by default it lies in the shared folder under a name made
+from the tokenizer's digest.  Contents are normalised (null: empty; nothing else
+leaves the count of every tokenizer as it is) and digested by SHA-256, tokenizers
+by the SHA-256 of their file.  Contents that the cache lacks are encoded once
 each, however many documents hold them, and appended; then counts are joined
-back by digest.
+back by digest.  Writers may append at the same time: files are committed whole,
+and a content added twice is read once.
 
 Edge cases: null text counts as empty (0 tokens, 0 bytes); special strings in
 a text become special tokens, the library's default; repeated rows are counted
 one by one; an empty table gives no rows and appends nothing; other columns are
-ignored.
+ignored.  Texts of any length are encoded whole, without truncation.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import uuid
 from functools import lru_cache
 from pathlib import Path
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motley.llm import textbytes as tb
-from motley.llm.shared import shared_dir, written
+from motley.llm.shared import exists, shared_dir, written
 from motley.session import ship
 
 LIMIT = 2048
@@ -41,6 +43,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Texts on which encoding by runs is held against the library before it is used.
+_PROBES = ["Ab. ab, AB it's IT'S Don't 3.5 12. x² ß. É, ...a !!a", "word  Word.word, (word) a-b a_b <|x|> 1,000.50", "naïve Ñandú. co-op O'Neil. e.g., U.S.A. 1st 2nd,"]
+
+
 class Encoder:
     """Whole texts to little-endian uint32 ids, equal to the library's.
 
@@ -82,6 +88,9 @@ class Encoder:
             if suffix:
                 self.closing[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
             self.marks = dict(zip((".", ",", ""), self.whole([".", ",", ""])))
+            self.lower = any(x.get("type") == "Lowercase" for x in parts)
+            if self.encode(_PROBES) != self.whole(_PROBES):  # some rule of this tokenizer reaches past a run
+                self.mark = None
 
     def _library(self, words: list[str]) -> None:
         """Encodes words in one call, parted by a special token, which no word may hold."""
@@ -119,7 +128,7 @@ class Encoder:
         for w in words:
             stem, end = w, ""
             if "<|" not in w and (w.isascii() or max(w) < "\u0100"):
-                stem = w.lower()
+                stem = w.lower() if self.lower else w
                 if (w[-1] == "." or w[-1] == ",") and w[-2:-1].isalpha():
                     stem, end = stem[:-1], w[-1]
             derived.append((w, stem, end))
@@ -178,23 +187,25 @@ def _encode(path: str, version: str):
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit.  ``cache``: folder of the cache table; by default a new one in the shared folder."""
+    """doc_id, n_bytes, n_tokens, over_limit.  ``cache``: folder of the cache table; by default one for each tokenizer in the shared folder."""
     spark = docs.sparkSession
     ship(spark)
     tokenizer = tokenizer or vocabulary()
     version = tokenizer_digest(tokenizer)
-    cache = cache or f"{shared_dir(spark).rstrip('/')}/motley/token-counts-{uuid.uuid4().hex}"
+    cache = cache or f"{shared_dir(spark).rstrip('/')}/motley/token-counts/{version}"
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body")).withColumn("content_digest", F.sha2("body", 256))
     seen = written(text.select("doc_id", "content_digest", F.octet_length("body").cast("long").alias("n_bytes")), "digests")
 
-    spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache)  # so that a new cache can be read
-    stored = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("known"))
-    distinct = seen.groupBy(F.col("content_digest").alias("digest")).agg(F.min("doc_id").alias("rep"))
-    missing = written(distinct.join(stored, F.col("digest") == F.col("known"), "left_anti"), "misses")
-    one = text.join(missing, (F.col("content_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    fresh = one.select("content_digest", "body").mapInArrow(_encode(tokenizer, version), _CACHE)
-    fresh.dropDuplicates(["content_digest"]).write.mode("append").parquet(cache)
-
-    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
-    counts = counts.groupBy(F.col("content_digest").alias("digest")).agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have added one content
+    if not exists(spark, cache):
+        spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache)
+    stored = lambda: spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
+    distinct = written(seen.groupBy(F.col("content_digest").alias("digest")).agg(F.min("doc_id").alias("rep")), "contents")
+    missing = written(distinct.join(stored().select(F.col("content_digest").alias("known")), F.col("digest") == F.col("known"), "left_anti"), "misses")
+    if not missing.isEmpty():
+        one = text.join(missing, (F.col("content_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        fresh = one.select("content_digest", "body").mapInArrow(_encode(tokenizer, version), _CACHE)
+        fresh.dropDuplicates(["content_digest"]).write.mode("append").parquet(cache)
+
+    counts = stored().select(F.col("content_digest").alias("of"), F.col("n_tokens").alias("count")).join(distinct, F.col("of") == F.col("digest"), "left_semi")
+    counts = written(counts.groupBy(F.col("of").alias("digest")).agg(F.max("count").alias("n_tokens")), "counts")  # written: the join below can split copies of one text
     return seen.join(counts, F.col("content_digest") == F.col("digest")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
