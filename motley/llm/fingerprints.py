@@ -7,16 +7,18 @@ from the same hashes.  Likeness is the Jaccard index of two fingerprints.
 
 The edited text of a document takes its second half from the beginning of the
 next document in descending doc_id.  Neighbours meet in one window: documents
-are dealt by doc_id / ``SPAN``, and the head of every such group (greatest id)
-is sent along to the next higher group that has documents, the highest head to
-the lowest group.  Group heads are linked in two levels, so the last window,
-over one row for SPAN * SPAN ids, stays small.
+are dealt by range of doc_id / ``SPAN``, and the head of every such group
+(greatest id) is sent along to the next higher group that has documents, the
+highest head to the lowest group.  Group heads are linked in the same way, by
+ranges, so no window holds more than a range's share of them.  Texts move once,
+and sketches are made after that.
 
 Edge cases: null text is empty; texts of one to four words are one shingle;
-equal fingerprints without any hash have likeness 1 if the texts are equal,
-else 0; a null doc_id comes last in descending order; rows sharing a doc_id
-follow one another by text, each the next of the one before; a single document
-is its own next; an empty table gives no rows; other columns are ignored.
+texts of any length are sketched whole; equal fingerprints without any hash have
+likeness 1 if the texts are equal, else 0; a null doc_id comes last in descending
+order; rows sharing a doc_id follow one another by text, each the next of the
+one before; a single document is its own next; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from motley.llm.shared import GAP, written
 
-FRACTION, WIDTH, SPAN = 0.25, 5, 1024
-BROADCAST_HEADS = 1 << 17
+FRACTION, WIDTH, SPAN = 0.25, 5, 64
+BROADCAST_HEADS = 1 << 20  # rows of 16 bytes
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,14 +69,16 @@ def as_text(hashes: Column) -> Column:
 
 def _following(groups: DataFrame) -> DataFrame:
     """(g, head) to (target, head): the head of each group goes to the next higher group, the highest to the lowest."""
-    high = F.floor(F.col("g") / SPAN).cast("long")
-    inside = Window.partitionBy("block").orderBy("g")
-    linked = written(groups.withColumn("block", high).withColumn("target", F.lead("g").over(inside)), "heads")
-    blocks = linked.groupBy("block").agg(F.min("g").alias("lowest"))
-    across = Window.orderBy("block")
+    dealt = written(groups.repartitionByRange(_parts(groups), "g").select("g", "head", F.spark_partition_id().alias("part")), "heads")
+    linked = dealt.withColumn("target", F.lead("g").over(Window.partitionBy("part").orderBy("g")))
+    lowest = dealt.groupBy("part").agg(F.min("g").alias("lowest"))  # one row for a partition
     first = F.min("lowest").over(Window.partitionBy(F.lit(0)))
-    blocks = blocks.select(F.col("block").alias("b"), F.coalesce(F.lead("lowest").over(across), first).alias("over"))
-    return linked.join(blocks, F.col("block") == F.col("b")).select(F.coalesce("target", "over").alias("target"), "head")
+    over = lowest.select(F.col("part").alias("p"), F.coalesce(F.lead("lowest").over(Window.orderBy("part")), first).alias("over"))
+    return linked.join(over, F.col("part") == F.col("p")).select(F.coalesce("target", "over").alias("target"), "head")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def neighbours(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
@@ -84,10 +88,11 @@ def neighbours(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     group = F.floor(F.col("id") / SPAN).cast("long")
     heads = written(_following(rows.groupBy(group.alias("g")).agg(F.max("id").alias("head"))), "guests")
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads
-    rows = rows.withColumn("fp", fingerprint(F.col("text"), fraction)).join(heads, F.col("id") == F.col("head"), "left")
+    rows = rows.join(heads, F.col("id") == F.col("head"), "left")
     home = F.struct(group.alias("g"), F.lit(False).alias("guest"))
     places = F.when(F.col("target").isNull(), F.array(home)).otherwise(F.array(home, F.struct(F.col("target").alias("g"), F.lit(True).alias("guest"))))
-    rows = rows.select("doc_id", "id", "text", "fp", F.explode(places).alias("place")).select("doc_id", "id", "text", "fp", "place.g", "place.guest")
+    rows = rows.select("doc_id", "id", "text", F.explode(places).alias("place")).select("doc_id", "id", "text", "place.g", "place.guest")
+    rows = rows.repartitionByRange(_parts(rows), "g").withColumn("fp", fingerprint(F.col("text"), fraction))
     line = Window.partitionBy("g").orderBy(F.col("guest"), F.col("id").desc(), F.col("text"))
     return rows.withColumn("next", F.lead(F.struct("text", "fp")).over(line)).where(~F.col("guest")).select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
 
