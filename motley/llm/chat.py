@@ -1,13 +1,13 @@
 """Operator 1, chat formatting by minimum-cost role repair.
 
 A legal conversation is an optional system turn, then user and assistant turns
-in alternation.  Each turn may be kept, given another role, merged into the
+in alternation; tool turns may follow an assistant's, which then speaks again.  Each turn may be kept, given another role, merged into the
 turn before it, or preceded by an inserted empty turn; dynamic programming over
 the automaton of turns finds the cheapest repair, ties going to the smallest
-state (start, system, user, assistant), then to keeping, merging, inserting.
+state (start, system, user, assistant, tool), then to keeping, merging, inserting.
 
 A conversation of any length is handled in parts of ``PART`` turn numbers: the
-least costs from each entry state to each exit state of a part are a 4 x 4
+least costs from each entry state to each exit state of a part are a 5 x 5
 matrix, matrices of one conversation are chained (one row per part), and then
 every part is repaired between its own entry and exit state.  Only roles take
 part in this; texts meet their repaired roles in one join at the end.
@@ -18,8 +18,10 @@ conversation is never one string.
 
 Edge cases: roles are trimmed, lower-cased and mapped by ``ALIASES``; null or
 unknown roles are free to take any role at cost ``UNKNOWN``; null text is empty;
-turns are ordered by (turn, role, hash of the text), nulls first; repeated rows
-are turns of their own; rows with a null conv_id form one conversation; an
+turns are ordered by (turn, role, hash of the text); those without a number come
+first, in the order of the leading bits of their hash, by which they are dealt
+into parts; texts and conversations of any length are rendered whole; repeated
+rows are turns of their own; rows with a null conv_id form one conversation; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 from motley.llm.shared import written
 from motley.session import ship
 
-STATES = ("start", "system", "user", "assistant")
-START, SYSTEM, USER, ASSISTANT = range(4)
-ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "prompter": USER, "assistant": ASSISTANT, "bot": ASSISTANT, "gpt": ASSISTANT, "model": ASSISTANT, "ai": ASSISTANT}
-LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
+STATES = ("start", "system", "user", "assistant", "tool")
+START, SYSTEM, USER, ASSISTANT, TOOL = range(5)
+ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "prompter": USER, "assistant": ASSISTANT, "bot": ASSISTANT, "gpt": ASSISTANT, "model": ASSISTANT, "ai": ASSISTANT, "tool": TOOL, "function": TOOL, "observation": TOOL}
+LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER, TOOL), TOOL: (ASSISTANT, TOOL)}
 RELABEL, UNKNOWN, MERGE, INSERT, PART = 10, 4, 6, 15, 1024
 NEVER = 1 << 40
 ACTIONS = ("keep", "merge", "insert")
@@ -44,12 +46,12 @@ ACTIONS = ("keep", "merge", "insert")
 def _steps() -> list[list[tuple[int, int, int, int]]]:
     """For each state after a turn: (state before, action, inserted state or 0, cost without relabelling), best first."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in STATES]
-    for s in range(4):
+    for s in range(len(STATES)):
         for t in LEGAL[s]:
             out[t].append((s, 0, 0, 0))
         if s != START:
             out[s].append((s, 1, 0, MERGE))
-        for y in LEGAL[s]:
+        for y in set(LEGAL[s]) - {TOOL}:
             for t in LEGAL[y]:
                 out[t].append((s, 2, y, INSERT))
     return [sorted(steps) for steps in out]
@@ -59,13 +61,15 @@ STEPS = _steps()
 
 
 def relabel(code: int, state: int) -> int:
-    return UNKNOWN if code == 0 else 0 if code == state else RELABEL
+    """Cost of giving a turn with a role's code a state; nothing else becomes a tool's output lightly."""
+    cost = UNKNOWN if code == 0 else 0 if code == state else RELABEL
+    return cost + RELABEL if state == TOOL != code else cost
 
 
 def advance(costs: list[int], code: int) -> tuple[list[int], list[int]]:
     """Costs after one turn and, for each state, the index of the step taken."""
     after, taken = [NEVER], [0]
-    for t in (SYSTEM, USER, ASSISTANT):
+    for t in range(1, len(STATES)):
         best, at, extra = NEVER, 0, relabel(code, t)
         for k, (s, _, _, cost) in enumerate(STEPS[t]):
             total = costs[s] + cost + extra
@@ -113,7 +117,7 @@ def _matrices(batches):
                 if (conv, part) != now:
                     if now is not None:
                         yield {"conv": now[0], "part": now[1], "matrix": [c for v in vectors for c in v]}
-                    now, vectors = (conv, part), [[0 if s == t else NEVER for t in range(4)] for s in range(4)]
+                    now, vectors = (conv, part), [[0 if s == t else NEVER for t in range(len(STATES))] for s in range(len(STATES))]
                 vectors = [advance(v, code)[0] for v in vectors]
         if now is not None:
             yield {"conv": now[0], "part": now[1], "matrix": [c for v in vectors for c in v]}
@@ -121,14 +125,20 @@ def _matrices(batches):
     return _chunks(run(), _MATRIX)
 
 
+def _ends(costs: list[int]) -> list[int]:
+    """Costs with what it takes to end: a lone system turn needs an inserted user turn."""
+    return [NEVER, costs[SYSTEM] + INSERT, *costs[USER:]]
+
+
 def chain(matrices: list[list[int]]) -> list[tuple[int, int]]:
-    """Entry and exit state of each part on the cheapest way from the start to a legal end (user or assistant)."""
-    costs, back = [0, NEVER, NEVER, NEVER], []
+    """Entry and exit state of each part on the cheapest way from the start to a legal end (any but the start and a system turn)."""
+    size = len(STATES)
+    costs, back = [0] + [NEVER] * (size - 1), []
     for m in matrices:
-        options = [[(costs[s] + m[4 * s + t], s) for s in range(4)] for t in range(4)]
+        options = [[(costs[s] + m[size * s + t], s) for s in range(size)] for t in range(size)]
         best = [min(o) for o in options]
         costs, back = [min(c, NEVER) for c, _ in best], [*back, [s for _, s in best]]
-    end = [NEVER, costs[SYSTEM] + INSERT, costs[USER], costs[ASSISTANT]]
+    end = _ends(costs)
     state, out = end.index(min(end)), []
     for before in reversed(back):
         out.append((before[state], state))
@@ -147,12 +157,12 @@ def _paths(batches):
 
 def repair(codes: list[int], entry: int = START, leave: int | None = None) -> list[tuple[int, int, int]]:
     """(action, state, inserted state) of each turn on the cheapest way; ``leave``: the state to end in."""
-    costs, taken = [0 if s == entry else NEVER for s in range(4)], []
+    costs, taken = [0 if s == entry else NEVER for s in range(len(STATES))], []
     for code in codes:
         costs, step = advance(costs, code)
         taken.append(bytes(step))
     if leave is None:
-        end = [NEVER, costs[SYSTEM] + INSERT, costs[USER], costs[ASSISTANT]]
+        end = _ends(costs)
         leave = end.index(min(end))
     out, state = [], leave
     for step in reversed(taken):
@@ -186,7 +196,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    part = F.coalesce(F.floor(F.col("turn") / PART).cast("long"), F.lit(-(1 << 62)))
+    part = F.coalesce(F.floor(F.col("turn") / PART).cast("long"), F.lit(-(1 << 62)) + F.shiftright("hash", 54))
     slim = written(rows.select("conv", "turn", "role", "hash", part.alias("part"), _code(F.col("role")).alias("code")), "turns")
     order = [F.col(c).asc_nulls_first() for c in ("conv", "part", "turn", "role", "hash")]
     dealt = slim.repartition(parts, "conv", "part").sortWithinPartitions(*order)
