@@ -25,11 +25,10 @@ def shingles(text, width=5):
 def quality(rows, max_docs=20, min_words=5, min_share=0.2):
     """rows: (doc_id, source, text)."""
     norm = lambda line: " ".join(x.translate(LOWER) for x in words(line))
-    texts, holder = defaultdict(set), {}
+    documents = defaultdict(set)
     for i, host, text in rows:
-        for line in {norm(x) for x in (text or "").split("\n")} - {""}:
-            texts[host or "", line].add(text)
-            holder[host or "", line] = min(i, holder.get((host or "", line), i))
+        for line in (text or "").split("\n"):
+            documents[host or "", norm(line)].add(i)
     out = {}
     for i, host, text in rows:
         w = words(text)
@@ -37,7 +36,7 @@ def quality(rows, max_docs=20, min_words=5, min_share=0.2):
         windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         marked = {k + d for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for d in range(8)}
         failed = len(w) < 20 or 100 * len(marked) > 30 * len(w)
-        left = sum(len(words(x)) for x in lines if len(texts[host or "", norm(x)]) <= max_docs or holder[host or "", norm(x)] == i)
+        left = sum(len(words(x)) for x in lines if len(documents[host or "", norm(x)]) <= max_docs)
         kept = not failed and left >= min_words and left >= min_share * len(w)
         out[i] = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(marked), failed, kept)
     return out
@@ -91,3 +90,43 @@ def base_spans(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sketch(text, fraction, width=5):
+    """The threshold-scaled sketch with the engine's own 64-bit hash, seed 42 chained over a shingle's word hashes."""
+    import struct
+
+    import xxhash
+
+    hashes = [signed(xxhash.xxh64_intdigest(w.translate(LOWER).encode(), 42)) for w in words(text)]
+    limit, out = -(1 << 63) + int(fraction * (1 << 64)), set()
+    for group in [hashes[k : k + width] for k in range(len(hashes) - width + 1)] if len(hashes) >= width else [hashes] if hashes else []:
+        seed = 42
+        for h in group:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+        out.add(signed(seed))
+    return sorted(h for h in out if h < limit)
+
+
+def graph(occurrences, support, accept):
+    """occurrences: (value, seed, patterns); the accepted values."""
+    of, seeds = defaultdict(set), set()
+    for value, seed, patterns in occurrences:
+        seeds |= {value} if seed else set()
+        for p in patterns:
+            of[p].add(value)
+    accepted = set(seeds)
+    while True:
+        doubt = defaultdict(lambda: 1.0)
+        for p, values in of.items():
+            if len(values & accepted) >= support:
+                for v in values - accepted:
+                    doubt[v] *= max(1e-12, 1 - len(values & accepted) / len(values))
+        fresh = {v for v, d in doubt.items() if round(1 - d, 9) >= accept}
+        if not fresh:
+            return accepted
+        accepted |= fresh

@@ -45,6 +45,55 @@ def test_minimum_cut_is_least():
     assert cost(html.cut(values, parents)) == pytest.approx(min(map(cost, product([False, True], repeat=6))))
 
 
+def test_cut_equals_max_flow():
+    """Deciding certain blocks first changes no label."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randint(1, 14)
+        values, parents = [rng.uniform(-3, 3) for _ in range(n)], [rng.randint(1, 4) for _ in range(n)]
+        edges, latest = [], {}
+        for k, p in enumerate(parents):
+            edges += [(k - 1, k, html.ADJACENT)] if k else []
+            edges += [(latest[p], k, html.SIBLING / (k - latest[p]))] if p in latest else []
+            latest[p] = k
+
+        def cost(labels):
+            return sum(abs(v) * (keep != (v > 0)) for v, keep in zip(values, labels)) + sum(w * (labels[a] != labels[b]) for a, b, w in edges)
+
+        labels = html.cut(values, parents)
+        assert labels == html.max_flow(values, edges)
+        assert cost(labels) == pytest.approx(min(map(cost, product([False, True], repeat=n)))) if n <= 10 else True
+
+
+def test_classifier_and_cut_on_unseen_pages():
+    w, wrong, flipped, count = html.weights(), 0, 0, 0
+    for page, labels in html.generated(150, 5):
+        found = html.labelled(page, w)
+        assert len(found) == len(labels)
+        count += len(labels)
+        wrong += sum(keep != label for (_, _, keep), label in zip(found, labels))
+        flipped += sum((odds > 0) != keep for _, odds, keep in found)
+    assert flipped > 0 and wrong < 0.02 * count
+
+
+def test_marks_and_raw_elements():
+    assert html.main_text("<p>First one is a paragraph of prose.</p><script>if(a<b){x()} // it's</script><p>Second one, which isn't short at all.</p><p>Third one is prose too.</p>").count("\n") == 2
+    assert html.main_text('<div class="main-content post meta"><p>A real paragraph with a good number of words in it, so there.</p></div>').startswith("A real")
+    assert html.main_text('<article><div class="author-meta"><h1>The headline</h1></div><p>A real paragraph with a good number of words in it.</p></article>').startswith("The headline")
+    assert html.main_text("<article><p>Before the list.</p><select><p>After something that is never closed.</p></article>").endswith("closed.")
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    page = "<article>" + "".join(f"<p>Paragraph {k} has a few words of its own.</p>" + "<div>short</div>" * (k % 3) for k in range(50_000)) + "</article>"
+    began = time.perf_counter()
+    text = html.main_text(page)
+    assert text.count("\n") >= 49_999 and time.perf_counter() - began < 60
+
+
 def test_pages_query(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = html.extract(pages).collect()
@@ -54,7 +103,7 @@ def test_pages_query(spark, sf_dir):
 
 def cheapest(codes):
     best = None
-    steps = [(t, k) for t in (1, 2, 3) for k in range(len(chat.STEPS[t]))]
+    steps = [(t, k) for t in (1, 2, 3, 4) for k in range(len(chat.STEPS[t]))]
     for way in product(steps, repeat=len(codes)):
         state, cost = 0, 0
         for (t, k), code in zip(way, codes):
@@ -68,7 +117,7 @@ def cheapest(codes):
     return best
 
 
-@pytest.mark.parametrize("codes", [[1, 2, 3], [2, 2, 3], [3, 3], [1], [0, 0], [2, 1, 3], [3, 2], [1, 1, 2]])
+@pytest.mark.parametrize("codes", [[1, 2, 3], [2, 2, 3], [3, 3], [1], [0, 0], [2, 1, 3], [3, 2], [1, 1, 2], [2, 3, 4, 3], [4, 2]])
 def test_repair_is_cheapest(codes):
     state, cost = 0, 0
     for (action, after, inserted), code in zip(chat.repair(codes), codes):
@@ -77,7 +126,7 @@ def test_repair_is_cheapest(codes):
     assert cost + chat.INSERT * (state == chat.SYSTEM) == cheapest(codes)
 
 
-ROLES = ["system", "user", "human", "assistant", None, "bot", "narrator", "assistant", "user", "user", "system"]
+ROLES = ["system", "user", "human", "assistant", None, "bot", "narrator", "assistant", "tool", "user", "user", "system"]
 
 
 def rendered(rows):
@@ -92,7 +141,7 @@ def test_parts_do_not_change_repairs(spark, monkeypatch):
     for c in range(6):
         a, b = [r for r in whole if r["conv_id"] == c], [r for r in parts if r["conv_id"] == c]
         assert len(a) == len(b) == 25
-        assert rendered(a).count("<|end|>") == rendered(a).count("<|user|>") + rendered(a).count("<|assistant|>") + rendered(a).count("<|system|>")
+        assert rendered(a).count("<|end|>") == rendered(a).count("<|user|>") + rendered(a).count("<|assistant|>") + rendered(a).count("<|system|>") + rendered(a).count("<|tool|>")
 
         def cost(rows):
             total = 0
