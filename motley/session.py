@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,10 +23,13 @@ def builder(name: str = "motley", master: str | None = None) -> SparkSession.Bui
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """Makes sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Makes sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or on one machine a temporary one where it is unset."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="motley-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="motley-"))
     return context.getCheckpointDir()
 
 
