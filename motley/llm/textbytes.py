@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # some fifteen arrays of eight bytes for each byte of a slice live at once
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
