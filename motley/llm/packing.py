@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from motley.llm import textbytes as tb
 from motley.llm.shared import written
-from motley.llm.tokens import encoder, vocabulary
+from motley.llm.tokens import ENCODE_BYTES, encoder, vocabulary
 from motley.session import ship
 
 SIZE = 2048
@@ -50,7 +50,7 @@ def _cut(path: str, size: int):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column("doc_id").cast(pa.int64()), tb.strings(batch.column("text"))
-            for i, j in tb.slices(tb.utf8(texts)[1]):
+            for i, j in tb.slices(tb.utf8(texts)[1], ENCODE_BYTES):
                 owner, piece, start, length, crc = [], [], [], [], []
                 for k, data in enumerate(encoder(path).encode(texts.slice(i, j - i).to_pylist()), i):
                     data += end

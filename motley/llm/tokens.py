@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from functools import lru_cache
 from pathlib import Path
 
@@ -33,7 +34,8 @@ from motley.llm.shared import exists, shared_dir, written
 from motley.session import ship
 
 LIMIT = 2048
-CACHED_WORDS, CACHED_STEMS = 250_000, 600_000
+CACHED_WORDS, CACHED_STEMS, ENCODE_BYTES = 250_000, 600_000, 1 << 20
+_WIDE = re.compile("[^\x00-\xff]|<\\|")
 _CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
 
 
@@ -122,27 +124,29 @@ class Encoder:
         That holds for letters below U+0100 (there lower case and NFC do not
         interfere), with the mark right after a letter: then it is a piece of its own.
         """
-        known, derived, letters, others, odd = self.stems, [], set(), set(), []
+        known, put, marks = self.stems, self.words, self.marks
         if len(known) > CACHED_STEMS:
             known.clear()
-        for w in words:
-            stem, end = w, ""
-            if "<|" not in w and (w.isascii() or max(w) < "\u0100"):
-                stem = w.lower() if self.lower else w
-                if (w[-1] == "." or w[-1] == ",") and w[-2:-1].isalpha():
-                    stem, end = stem[:-1], w[-1]
-            derived.append((w, stem, end))
-            if stem not in known:
-                if any(s in stem for s in self.specials) if "<|" in stem else False:
-                    odd.append(stem)
-                else:
-                    (letters if stem.isalpha() and max(stem) < "\u0100" else others).add(stem)
-        known.update(zip(odd, self.whole(odd) if odd else ()))
-        self._letters(list(letters))
-        self._library(list(others))
-        put, marks = self.words, self.marks
-        for w, stem, end in derived:
-            put[w] = known[stem] + marks[end] if end else known[stem]
+        joined = "\n".join(words)  # words hold no white space
+        odd = [w for w in words if _WIDE.search(w)] if _WIDE.search(joined) else []
+        if odd:
+            special = [w for w in odd if any(x in w for x in self.specials)]
+            fresh = set(odd).difference(known, special)
+            known.update(zip(special, self.whole(special) if special else ()))
+            self._library(list(fresh))
+            put.update((w, known[w]) for w in odd)
+            words = [w for w in words if not _WIDE.search(w)]
+            joined = "\n".join(words)
+        if not words:
+            return
+        stems = (joined.lower() if self.lower else joined).split("\n")
+        ends = [x[-1] if x[-1] in ".," and x[-2:-1].isalpha() else "" for x in stems]
+        stems = [x[:-1] if end else x for x, end in zip(stems, ends)]
+        fresh = set(stems).difference(known)
+        letters = [x for x in fresh if x.isalpha()]
+        self._letters(letters)
+        self._library(list(fresh.difference(letters)))
+        put.update((w, known[x] + marks[end] if end else known[x]) for w, x, end in zip(words, stems, ends))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mark is None:
@@ -179,7 +183,7 @@ def _encode(path: str, version: str):
     def run(batches):
         for batch in batches:
             texts = tb.strings(batch.column("body"))
-            for i, j in tb.slices(tb.utf8(texts)[1]):
+            for i, j in tb.slices(tb.utf8(texts)[1], ENCODE_BYTES):
                 counts = [len(x) // 4 for x in encoder(path).encode(texts.slice(i, j - i).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("content_digest").slice(i, j - i), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
