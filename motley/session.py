@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_ROWS = 1000
+
+
 def builder(name: str = "motley", master: str | None = None) -> SparkSession.Builder:
     """A session with adaptive execution, UTC times and Arrow; a cluster's own settings win over these."""
     made = SparkSession.builder.appName(name)
@@ -34,8 +37,14 @@ def checkpoints(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per context, for clusters where only the driver can import it."""
+    """Sends this package to the Python workers once per context, for clusters where only the driver can import it.
+
+    Where the size of Arrow batches stands at its default it is lowered as well: a row may be a text of megabytes,
+    and each running task holds a batch on both sides of the pipe.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_motley_shipped", False):
         return
     root = Path(__file__).resolve().parent
