@@ -45,11 +45,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from motley.llm import textbytes as tb
 from motley.llm.shared import components, unused, written
@@ -93,15 +91,20 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 0.72 / (1 << MANTISSA) * n * m / np.maximum(n + m, 1.0) ** 2
 
 
-def estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> np.ndarray:
-    left = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1)
-    right = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), -1)
-    by_chance = chance(n.to_numpy(float), m.to_numpy(float))
+def estimate(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Similarities of pairs by their registers, less what chance makes equal."""
+    left, right = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), BANDS * ROWS) for x in (a, b))
+    by_chance = chance(n.astype(float), m.astype(float))
     return ((left == right).mean(axis=1) - by_chance) / (1 - by_chance)
 
 
-def _estimate(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series(estimate(a, b, n, m)) if len(a) else pd.Series([], dtype=float)
+def close_pairs(batches):
+    """Arrow kernel: pairs (x, y) with registers and sizes to those with an estimate of ``CLOSE`` or more."""
+    for batch in batches:
+        regs, sizes = ([batch.column(f"{c}_{end}") for end in "xy"] for c in ("regs", "n"))
+        near = estimate(*(r.to_pylist() for r in regs), *(n.to_numpy() for n in sizes))
+        keep = pa.array(near >= CLOSE)
+        yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep), pa.array(near[near >= CLOSE])], names=["x", "y", "near"])
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -341,8 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
     side = lambda k: rep.select(F.col("doc_id").alias(f"id_{k}"), F.col("regs").alias(f"regs_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     judged = pairs.join(side("x"), F.col("x") == F.col("id_x")).select("x", "y", "regs_x", "n_x").join(side("y"), F.col("y") == F.col("id_y"))
-    similar = F.pandas_udf(_estimate, T.DoubleType())
-    close = judged.select("x", "y", similar("regs_x", "regs_y", "n_x", "n_y").alias("near")).where(F.col("near") >= CLOSE)
+    close = judged.select("x", "y", "regs_x", "regs_y", "n_x", "n_y").mapInArrow(close_pairs, "x long, y long, near double")
     labels = _settle(docs, close, written(members.select("id", F.col("id").alias("label")).distinct(), "components"))
 
     labels = _settle(docs, _rest(docs, rep, members, labels), labels)

@@ -91,9 +91,7 @@ def test_hyperminhash_estimates():
     for share in (0.2, 0.5, 0.9):
         k = int(4000 * 2 * share / (1 + share))
         b = np.concatenate((a[:k], rng.integers(0, 1 << 63, 4000 - k, dtype=np.uint64)))
-        import pandas as pd
-
-        found = neardup.estimate(pd.Series([neardup.registers(a).tobytes()]), pd.Series([neardup.registers(b).tobytes()]), pd.Series([4000]), pd.Series([4000]))[0]
+        found = neardup.estimate([neardup.registers(a).tobytes()], [neardup.registers(b).tobytes()], np.array([4000]), np.array([4000]))[0]
         assert abs(found - share) < 0.2
 
 
