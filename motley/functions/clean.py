@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motley.functions.tokens import bind, cased_tokens, quality_tokens, space_tokens
 
@@ -95,14 +99,21 @@ def language_share(text: Column, lang: str) -> Column:
     return bind(kept, lambda k: F.when(k != "", F.char_length(F.regexp_replace(k, f"[^{SCRIPTS.get(lang, SCRIPTS['en'])}]", "")) / F.char_length(k)))
 
 
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _most_frequent(texts: pd.Series) -> pd.Series:
+    """How often the most frequent word of a text occurs, words in lower case."""
+    return pd.Series([max(Counter(_WORD.findall(t.lower())).values(), default=0) if t else 0 for t in texts], dtype="int32")
+
+
 def quality_score(text: Column) -> Column:
     """Mean of six heuristics: word count, type-token ratio, letters, word length, closing mark, repetition."""
 
-    def score(words: Column) -> Column:
+    def score(s: Column) -> Column:
+        words, top = s["words"], s["top"]
         n = F.size(words)
         lower = F.transform(words, lambda w: F.lower(w))
-        # the longest run of equal words after sorting is the greatest frequency
-        top = F.aggregate(F.array_sort(lower), F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best")), lambda a, w: F.struct(w.alias("word"), F.when(w == a["word"], a["run"] + 1).otherwise(F.lit(1)).alias("run"), F.greatest(a["best"], F.when(w == a["word"], a["run"] + 1).otherwise(F.lit(1))).alias("best")), lambda a: a["best"])
         length = F.aggregate(words, F.lit(0), lambda a, w: a + F.char_length(w)) / n
         letters = F.char_length(F.regexp_replace(text, r"\P{L}", "")) / F.char_length(F.regexp_replace(text, r"(?U)\s", ""))
         parts = [
@@ -115,7 +126,7 @@ def quality_score(text: Column) -> Column:
         ]
         return F.when(n > 0, sum(parts[1:], parts[0]) / 6).otherwise(0.0)
 
-    return bind(cased_tokens(text), score)
+    return bind(F.struct(cased_tokens(text).alias("words"), F.pandas_udf(_most_frequent, T.IntegerType())(text).alias("top")), score)
 
 
 def syllables(word: Column) -> Column:
@@ -157,11 +168,12 @@ def ngram_fingerprint(text: Column, n: int = 3) -> Column:
     """md5 of the sorted distinct character n-grams, its last 32 bits."""
     low = F.lower(F.trim(text))
 
-    def digest(s: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
-        return F.when(F.char_length(s) < n, F.md5(s)).otherwise(F.md5(F.array_join(F.array_sort(F.array_distinct(parts)), "|")))
+    def digest(chars: Column) -> Column:
+        # by place in an array: a substring of a string costs its distance from the start
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.size(chars) < n, F.md5(F.array_join(chars, ""))).otherwise(F.md5(F.array_join(F.array_sort(F.array_distinct(parts)), "|")))
 
-    return mod_hash(bind(low, digest))
+    return mod_hash(bind(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), digest))
 
 
 def simhash(text: Column) -> Column:

@@ -83,7 +83,10 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Character n-grams; a shorter non-empty text is one gram by itself."""
-    return bind(text, lambda s: F.when(F.char_length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))).when(F.char_length(s) > 0, F.array(s)).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    join = lambda c, i: F.concat(*[F.get(c, i + k) for k in range(n)])
+    full = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: join(c, i))
+    return bind(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(F.size(c) >= n, full(c)).when(F.size(c) > 0, F.array(F.array_join(c, ""))).otherwise(none))
 
 
 def sentences(text: Column) -> Column:

@@ -113,24 +113,23 @@ def self_bleu(texts: DataFrame, max_n: int = 4, tokenizer: str = "space", epsilo
     """Mean leave-one-out BLEU of each group, without brevity penalty.
 
     The reference count of a gram for one text is the greatest count in any
-    other: the group's greatest, or the second greatest for the text that holds
-    it.  So two maxima for each (group, gram) replace all pairs of texts.
+    other: the group's greatest, or the next below for the only text that has the
+    greatest.  So the different counts of each (group, gram), with how many texts
+    have them, replace all pairs of texts.  All orders go in one pass; grams move
+    as 64-bit hashes, and those that a single text has are not joined back.
     """
-    parts = []
-    for n in range(1, max_n + 1):
-        own = counts(texts, n, tokenizer, ("g", "id"))
-        # two maxima without collecting a gram's holders: the greatest, how many hold it, and the greatest below it
-        best = own.groupBy("g", "gram").agg(F.max("c").alias("first"))
-        seen = own.join(best, ["g", "gram"])
-        second = seen.groupBy("g", "gram").agg(F.first("first").alias("first"), F.count_if(F.col("c") == F.col("first")).alias("holders"), F.max(F.when(F.col("c") < F.col("first"), F.col("c"))).alias("below"))
-        other = F.when((F.col("c") == F.col("first")) & (F.col("holders") == 1), F.coalesce("below", F.lit(0))).otherwise(F.col("first"))
-        clipped = own.join(second, ["g", "gram"]).groupBy("g", "id").agg(F.sum(F.least("c", other)).alias("clip"), F.sum("c").alias("total"))
-        parts.append(clipped.select("g", "id", F.lit(n).alias("n"), F.log((F.col("clip") + epsilon) / (F.col("total") + epsilon)).alias("precision")))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+    tokens = texts.select("g", "id", TOKENIZERS[tokenizer](F.col("text")).alias("t"))
+    hashed = lambda n: F.transform(ngrams(F.col("t"), n), lambda x: F.struct(F.lit(n).alias("n"), F.xxhash64(x).alias("h")))
+    own = tokens.select("g", "id", F.explode(F.concat(*map(hashed, range(1, max_n + 1)))).alias("x")).groupBy("g", "id", "x.n", "x.h").agg(F.count(F.lit(1)).alias("c"))
+    kinds = own.groupBy("g", "n", "h", "c").agg(F.count(F.lit(1)).alias("holders"))
+    top = F.sort_array(F.collect_list(F.struct("c", "holders")), asc=False)
+    shared = kinds.groupBy("g", "n", "h").agg(top.alias("top")).where((F.size("top") > 1) | (F.col("top")[0]["holders"] > 1))
+    shared = shared.select(F.col("g").alias("_g"), F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("top")[0]["c"].alias("first"), F.col("top")[0]["holders"].alias("holders"), F.coalesce(F.get(F.col("top"), F.lit(1))["c"], F.lit(0)).alias("below"))
+    joined = own.join(shared, F.col("g").eqNullSafe(F.col("_g")) & (F.col("n") == F.col("_n")) & (F.col("h") == F.col("_h")), "left")
+    other = F.when(F.col("first").isNull(), 0).when((F.col("c") == F.col("first")) & (F.col("holders") == 1), F.col("below")).otherwise(F.col("first"))
+    parts = joined.groupBy("g", "id", "n").agg(F.log((F.sum(F.least("c", other)) + epsilon) / (F.sum("c") + epsilon)).alias("precision"))
     floor = F.log(F.lit(epsilon))
-    score = merged.groupBy("g", "id").agg(((F.sum(F.greatest("precision", floor)) + (max_n - F.count(F.lit(1))) * floor) / max_n).alias("mean"))
+    score = parts.groupBy("g", "id").agg(((F.sum(F.greatest("precision", floor)) + (max_n - F.count(F.lit(1))) * floor) / max_n).alias("mean"))
     sizes = texts.groupBy("g").agg(F.count(F.lit(1)).alias("n_texts"))
     return score.groupBy("g").agg(F.sum(F.exp("mean")).alias("sum")).join(sizes, "g").select("g", F.when(F.col("n_texts") < 2, 1.0).otherwise(F.col("sum") / F.col("n_texts")).alias("value"))
 

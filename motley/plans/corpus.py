@@ -66,14 +66,14 @@ def normalize_marks(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(cl.plain_dashes(cl.straight_quotes(F.col("text")))).alias("digest"))
 
 
-@R.add("normalize_numbers", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(\d),(\d{3})', '\1\2', 'g'), '(\d),(\d{3})', '\1\2', 'g'), '(\d),(\d{3})', '\1\2', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[0-9]([sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])')")
-def normalize_numbers(spark, sf_dir):
-    return docs(spark, sf_dir).where("NOT text RLIKE '[0-9]([sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])'").select("doc_id", F.md5(cl.plain_numbers(F.col("text"))).alias("digest"))
+_COMMAS = r"regexp_replace({}, '(\d),(\d{{3}})', '\1\2', 'g')"
+_NUMBERS = _COMMAS.format(_COMMAS.format(_COMMAS.format("translate(text, '０１２３４５６７８９', '0123456789')")))
+for _suffix in ("st", "nd", "rd", "th"):
+    _NUMBERS = rf"regexp_replace({_NUMBERS}, '\b(\d+){_suffix}\b', '\1{_suffix}', 'gi')"
 
 
-@R.add("normalize_numbers_whole")
-def normalize_numbers_whole(spark, sf_dir):
-    """Of all texts, those with ordinals too, which the SQL of ``normalize_numbers`` leaves out."""
+@R.add("normalize_numbers", f"SELECT doc_id, md5({_NUMBERS}) AS digest FROM documents")
+def normalize_numbers(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(cl.plain_numbers(F.col("text"))).alias("digest"))
 
 
@@ -129,17 +129,12 @@ def dedup_exact(spark, sf_dir):
     return dedup.exact(docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), F.lower(F.trim("text"))).select(F.col("id").alias("doc_id"))
 
 
-@R.add("ngram_fingerprint", "SELECT doc_id, ('0x' || right(md5(array_to_string(list_sort(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))), '|')), 8))::BIGINT AS fingerprint FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))".replace("\\\\", "\\"))
+@R.add("ngram_fingerprint", "SELECT doc_id, ('0x' || right(CASE WHEN length(t) < 3 THEN md5(t) ELSE md5(array_to_string(list_sort(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))), '|')) END, 8))::BIGINT AS fingerprint FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents)")
 def ngram_fingerprint(spark, sf_dir):
-    return docs(spark, sf_dir).where(r"text RLIKE '^[\\x00-\\x7F]*$'").select("doc_id", cl.ngram_fingerprint(F.col("text")).alias("fingerprint"))
-
-
-@R.add("ngram_fingerprint_whole")
-def ngram_fingerprint_whole(spark, sf_dir):
-    """Of all texts, those beyond ASCII too, which the SQL of ``ngram_fingerprint`` leaves out."""
     return docs(spark, sf_dir).select("doc_id", cl.ngram_fingerprint(F.col("text")).alias("fingerprint"))
 
 
+
 @R.add(
     "simhash",
     f"""WITH w AS (SELECT doc_id, unnest({T["space"]}) AS w FROM documents), h AS (SELECT doc_id, ('0x' || right(md5(w), 16))::UBIGINT AS h FROM w),

@@ -128,42 +128,19 @@ def bootstrap(spark, sf_dir):
 
 @R.add(
     "item_novelty",
-    """WITH v AS (SELECT vec_id % 10 AS u, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT * FROM v WHERE id % 3 = 0), i AS (SELECT * FROM v WHERE id % 3 = 1),
-    c AS (SELECT u, list(m ORDER BY k) AS c FROM (SELECT u, k, avg(x) AS m FROM (SELECT u, unnest(v) AS x, unnest(range(len(v))) AS k FROM h) GROUP BY ALL) GROUP BY u)
-    SELECT i.u, i.id, round(any_value(list_distance(i.v, c.c)), 5) AS surprise, round(min(list_distance(i.v, h.v)), 5) AS novelty FROM i JOIN c USING (u) JOIN h USING (u) GROUP BY i.u, i.id""",
-)
-def item_novelty(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("u"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return _rounded(ev.novelty_of_items(v.where("id % 3 = 1"), v.where("id % 3 = 0").select("u", "v")), "surprise", "novelty", digits=5)
-
-
-@R.add(
-    "item_novelty_whole",
     """WITH v AS (SELECT vec_id % 10 AS u, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT * FROM v WHERE id % 3 <> 1), i AS (SELECT * FROM v WHERE id % 3 = 1),
     c AS (SELECT u, list(m ORDER BY k) AS c FROM (SELECT u, k, avg(x) AS m FROM (SELECT u, unnest(v) AS x, unnest(range(len(v))) AS k FROM h) GROUP BY ALL) GROUP BY u)
     SELECT i.u, i.id, round(any_value(list_distance(i.v, c.c)), 5) AS surprise, round(min(list_distance(i.v, h.v)), 5) AS novelty FROM i JOIN c USING (u) JOIN h USING (u) GROUP BY i.u, i.id""",
 )
-def item_novelty_whole(spark, sf_dir):
-    """Every embedding is an item or in a history; ``item_novelty`` leaves a third out, as its SQL does."""
+def item_novelty(spark, sf_dir):
+    """Every embedding is an item or in a history."""
     v = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("u"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return _rounded(ev.novelty_of_items(v.where("id % 3 = 1"), v.where("id % 3 <> 1").select("u", "v")), "surprise", "novelty", digits=5)
 
 
-@R.add(
-    "sequence_distances",
-    f"""WITH p AS (SELECT a.doc_id AS id, left(a.text, 200) AS a, left(b.text, 200) AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), t AS (SELECT id, a, b, {T["space"].replace("text", "a")} AS x, {T["space"].replace("text", "b")} AS y FROM p)
-    SELECT id, round(list_sum(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: (x[i] IS DISTINCT FROM y[i])::INT)) / greatest(len(x), len(y), 1), 6) AS hamming,
-    round(1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard, round(levenshtein(a, b) / greatest(length(a), length(b), 1), 3) AS edit FROM t WHERE regexp_matches(a || b, '^[\\x00-\\x7F]*$')""",
-)
+@R.add("sequence_distances")
 def distances(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    p = d.select(F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("a")).join(d.select((F.col("doc_id") - 1).alias("id"), F.left("text", F.lit(200)).alias("b")), "id")
-    return _rounded(_rounded(ev.sequence_distances(p.where(r"concat(a, b) RLIKE '^[\\x00-\\x7F]*$'")), "hamming", "jaccard"), "edit", digits=3)
-
-
-@R.add("sequence_distances_whole")
-def distances_whole(spark, sf_dir):
-    """Of whole texts and all neighbours; ``sequence_distances`` sees what its SQL does: ASCII heads of 200 characters."""
+    """Of whole texts and all neighbours; no SQL, since DuckDB's Levenshtein counts bytes."""
     d = docs(spark, sf_dir)
     p = d.select(F.col("doc_id").alias("id"), F.col("text").alias("a")).join(d.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("b")), "id")
     return _rounded(_rounded(ev.sequence_distances(p), "hamming", "jaccard"), "edit", digits=3)

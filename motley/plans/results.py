@@ -178,14 +178,7 @@ def merge_experiments(spark, sf_dir):
     return merged.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("algorithm").alias("algorithms"))
 
 
-@R.add("pareto_front", f"{VIEWS}, p AS (SELECT algorithm, run_id AS id, elapsed AS quality, -extract(epoch FROM started)::DOUBLE AS early FROM runs WHERE experiment_id = 3) SELECT algorithm, id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.algorithm = p.algorithm AND q.quality >= p.quality AND q.early >= p.early AND (q.quality > p.quality OR q.early > p.early))")
+@R.add("pareto_front", f"{VIEWS}, p AS (SELECT experiment_id, algorithm, run_id AS id, elapsed AS quality, -extract(epoch FROM started)::DOUBLE AS early FROM runs) SELECT experiment_id, algorithm, id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.experiment_id = p.experiment_id AND q.algorithm = p.algorithm AND q.quality >= p.quality AND q.early >= p.early AND (q.quality > p.quality OR q.early > p.early))")
 def pareto_front(spark, sf_dir):
-    points = runs(spark, sf_dir).where("experiment_id = 3").select("algorithm", F.col("run_id").alias("id"), F.col("elapsed").alias("quality"), (-F.unix_timestamp("started").cast("double")).alias("early"))
-    return rs.pareto_front(points, ["quality", "early"], ["algorithm"]).select("algorithm", "id")
-
-
-@R.add("pareto_front_by_experiment", f"{VIEWS}, p AS (SELECT experiment_id, algorithm, run_id AS id, elapsed AS quality, -extract(epoch FROM started)::DOUBLE AS early FROM runs) SELECT experiment_id, algorithm, id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.experiment_id = p.experiment_id AND q.algorithm = p.algorithm AND q.quality >= p.quality AND q.early >= p.early AND (q.quality > p.quality OR q.early > p.early))")
-def pareto_front_by_experiment(spark, sf_dir):
-    """Of all runs; ``pareto_front`` sees one experiment, as its SQL does."""
     points = runs(spark, sf_dir).select("experiment_id", "algorithm", F.col("run_id").alias("id"), F.col("elapsed").alias("quality"), (-F.unix_timestamp("started").cast("double")).alias("early"))
     return rs.pareto_front(points, ["quality", "early"], ["experiment_id", "algorithm"]).select("experiment_id", "algorithm", "id")

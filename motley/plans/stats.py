@@ -214,10 +214,13 @@ def hypervolume(spark, sf_dir):
     "crowding_distance",
     f"""WITH {FRONT}, w AS (SELECT g, id, count(*) OVER (PARTITION BY g) AS n, max(x) OVER (PARTITION BY g) - min(x) OVER (PARTITION BY g) AS rx, max(y) OVER (PARTITION BY g) - min(y) OVER (PARTITION BY g) AS ry,
     lead(x) OVER (PARTITION BY g ORDER BY x, id) - lag(x) OVER (PARTITION BY g ORDER BY x, id) AS gx, lead(y) OVER (PARTITION BY g ORDER BY y, id) - lag(y) OVER (PARTITION BY g ORDER BY y, id) AS gy FROM front)
-    SELECT g, id, round(gx / rx + gy / ry, 6) AS crowding FROM w WHERE n > 2 AND gx IS NOT NULL AND gy IS NOT NULL AND rx > 0 AND ry > 0""",
+    SELECT g, id, n > 2 AND (rx <= 0 OR gx IS NOT NULL) AND (ry <= 0 OR gy IS NOT NULL) AS inner_point, CASE WHEN inner_point THEN round(CASE WHEN rx > 0 THEN gx / rx ELSE 0 END + CASE WHEN ry > 0 THEN gy / ry ELSE 0 END, 6) END AS crowding FROM w""",
 )
 def crowding(spark, sf_dir):
-    return _rounded(st.crowding_distance(pareto_front(_points(spark, sf_dir), ["x", "y"], ["g"]), ["g"], ["x", "y"]).where("crowding < double('infinity')"), "crowding")
+    """All points of the fronts; where the distance is infinite, at the ends, it is null and ``inner_point`` false."""
+    found = st.crowding_distance(pareto_front(_points(spark, sf_dir), ["x", "y"], ["g"]), ["g"], ["x", "y"])
+    inner = F.col("crowding") < float("inf")
+    return found.select("g", "id", inner.alias("inner_point"), F.when(inner, F.round("crowding", 6)).alias("crowding"))
 
 
 @R.add(

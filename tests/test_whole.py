@@ -27,7 +27,7 @@ def test_sequence_distances_of_whole_texts(spark, tables):
         assert char_distance(a, b) == edit_distance(list(a), list(b)), (a, b)
     head = "same words " * 30  # 330 characters
     texts = {1: head + "one tail", 2: head + "another tail é", 3: "", 4: "日本 語", 6: "no neighbour below"}
-    got = {r["id"]: r for r in registry.QUERIES["sequence_distances_whole"](spark, tables(documents=(list(texts.items()), "doc_id long, text string"))).collect()}
+    got = {r["id"]: r for r in registry.QUERIES["sequence_distances"](spark, tables(documents=(list(texts.items()), "doc_id long, text string"))).collect()}
     assert set(got) == {1, 2, 3}
     for k in got:
         a, b = texts[k], texts[k + 1]

@@ -18,7 +18,7 @@ def test_fingerprints_of_all_texts(spark, tmp_path):
         t = text.strip(" ").lower()
         return int(md5("|".join(sorted({t[i : i + 3] for i in range(len(t) - 2)})).encode()).hexdigest()[-8:], 16)
 
-    rows = registry.QUERIES["ngram_fingerprint_whole"](spark, _folder(spark, tmp_path)).collect()
+    rows = registry.QUERIES["ngram_fingerprint"](spark, _folder(spark, tmp_path)).collect()
     assert {r["doc_id"]: r["fingerprint"] for r in rows} == {k: slow(t) for k, t in TEXTS.items()}
 
 
@@ -29,6 +29,6 @@ def test_numbers_of_all_texts(spark, tmp_path):
             t = re.sub(r"(\d),(\d{3})", r"\1\2", t)
         return re.sub(r"\b(\d+)(st|nd|rd|th)\b", lambda m: m[1] + m[2].lower(), t, flags=re.I)
 
-    rows = registry.QUERIES["normalize_numbers_whole"](spark, _folder(spark, tmp_path)).collect()
+    rows = registry.QUERIES["normalize_numbers"](spark, _folder(spark, tmp_path)).collect()
     assert slow(TEXTS[3]) == "the 1st, 22nd and 1234567th of 12345"
     assert {r["doc_id"]: r["digest"] for r in rows} == {k: md5(slow(t).encode()).hexdigest() for k, t in TEXTS.items()}
