@@ -3,6 +3,10 @@
 Input: a DataFrame with a group, an id and a text column.  Every metric is one
 pass over (group, gram) counts, which combine on the map side; only metrics over
 text pairs need more, and those come in closed form where one exists.
+
+Where a gram itself is not asked for it moves as the 64-bit hash of its words'
+hashes: fixed-width rows that generated code makes and aggregates.  Two of 10**9
+different grams share one with a chance of 3 %.
 """
 
 from __future__ import annotations
@@ -18,6 +22,22 @@ def grams(texts: DataFrame, n: int, tokenizer: str, keep: tuple[str, ...] = ("g"
     return texts.select(*keep, F.explode(ngrams(TOKENIZERS[tokenizer](F.col("text")), n)).alias("gram"))
 
 
+def hashed(texts: DataFrame, orders, tokenizer: str, keep: tuple[str, ...] = ("g",)) -> DataFrame:
+    """(keep..., n, gram) with one row per occurrence of an n-gram of each order, ``gram`` a hash."""
+    orders = list(orders)
+    words = texts.select(*keep, F.transform(TOKENIZERS[tokenizer](F.col("text")), lambda w: F.xxhash64(w)).alias("_words"))
+    placed = words.select(*keep, "_words", F.posexplode("_words").alias("_at", "_word"))
+    gram = lambda n: F.when(F.col("_at") + n <= F.size("_words"), F.xxhash64(*[F.get("_words", F.col("_at") + k) for k in range(n)]))
+    if len(orders) == 1:
+        return placed.select(*keep, F.lit(orders[0]).alias("n"), gram(orders[0]).alias("gram")).where("gram IS NOT NULL")
+    every = F.array(*[F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in orders])
+    return placed.select(*keep, F.explode(every).alias("_x")).select(*keep, "_x.n", "_x.gram").where("gram IS NOT NULL")
+
+
+def hashed_counts(texts: DataFrame, n: int, tokenizer: str, keep: tuple[str, ...] = ("g",)) -> DataFrame:
+    return hashed(texts, [n], tokenizer, keep).groupBy(*keep, "gram").agg(F.count(F.lit(1)).alias("c"))
+
+
 def counts(texts: DataFrame, n: int, tokenizer: str, keep: tuple[str, ...] = ("g",)) -> DataFrame:
     return grams(texts, n, tokenizer, keep).groupBy(*keep, "gram").agg(F.count(F.lit(1)).alias("c"))
 
@@ -29,11 +49,11 @@ def _entropy() -> Column:
 
 def distinct_n(texts: DataFrame, n: int, tokenizer: str = "punct") -> DataFrame:
     """(g, n, n_grams, n_distinct, value): different n-grams per n-gram, pooled over a group's texts."""
-    return counts(texts, n, tokenizer).groupBy("g").agg(F.lit(n).cast("long").alias("n"), F.sum("c").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"), (F.count(F.lit(1)) / F.sum("c")).alias("value"))
+    return hashed_counts(texts, n, tokenizer).groupBy("g").agg(F.lit(n).cast("long").alias("n"), F.sum("c").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"), (F.count(F.lit(1)) / F.sum("c")).alias("value"))
 
 
 def ngram_entropy(texts: DataFrame, n: int, tokenizer: str = "punct") -> DataFrame:
-    return counts(texts, n, tokenizer).groupBy("g").agg(_entropy().alias("entropy"), F.count(F.lit(1)).alias("support"), F.sum("c").alias("total"))
+    return hashed_counts(texts, n, tokenizer).groupBy("g").agg(_entropy().alias("entropy"), F.count(F.lit(1)).alias("support"), F.sum("c").alias("total"))
 
 
 def conditional_entropy(texts: DataFrame, n: int, tokenizer: str = "punct") -> DataFrame:
@@ -48,7 +68,7 @@ def corrected_entropy(texts: DataFrame, n: int, tokenizer: str = "word") -> Data
     The delete-one jackknife needs only the counts of counts: removing one of
     the c occurrences of a gram changes the sum of c log2 c by a known amount.
     """
-    pairs = counts(texts, n, tokenizer).groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
+    pairs = hashed_counts(texts, n, tokenizer).groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
     totals = pairs.groupBy("g").agg(F.sum(F.col("m") * F.col("c")).alias("total"), F.sum("m").alias("support"), F.sum(F.col("m") * F.col("c") * F.log2("c")).alias("s"))
     c, m, total = F.col("c").cast("double"), F.col("m"), F.col("total").cast("double")
     less = F.when(c > 1, (c - 1) * F.log2(F.greatest(c - 1, F.lit(1.0)))).otherwise(0.0)
@@ -90,7 +110,7 @@ def smoothed_kl(texts: DataFrame, against: DataFrame, tokenizer: str = "word", a
 
 
 def type_token_ratio(texts: DataFrame, tokenizer: str = "word") -> DataFrame:
-    return counts(texts, 1, tokenizer).groupBy("g").agg((F.count(F.lit(1)) / F.sum("c")).alias("value"))
+    return hashed_counts(texts, 1, tokenizer).groupBy("g").agg((F.count(F.lit(1)) / F.sum("c")).alias("value"))
 
 
 def unique_text_ratio(texts: DataFrame) -> DataFrame:
@@ -99,7 +119,7 @@ def unique_text_ratio(texts: DataFrame) -> DataFrame:
 
 def vocabulary_profile(texts: DataFrame, tokenizer: str = "space") -> DataFrame:
     """Hapax share, Yule's K, unigram entropy from frequencies of frequencies."""
-    f = counts(texts, 1, tokenizer)
+    f = hashed_counts(texts, 1, tokenizer)
     n, c = F.sum("c").cast("double"), F.col("c").cast("double")
     return f.groupBy("g").agg(F.sum("c").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"), (F.count_if(F.col("c") == 1) / F.count(F.lit(1))).alias("hapax"), (1e4 * (F.sum(c * c) - n) / (n * n)).alias("yule_k"), _entropy().alias("entropy"))
 
@@ -118,9 +138,7 @@ def self_bleu(texts: DataFrame, max_n: int = 4, tokenizer: str = "space", epsilo
     have them, replace all pairs of texts.  All orders go in one pass; grams move
     as 64-bit hashes, and those that a single text has are not joined back.
     """
-    tokens = texts.select("g", "id", TOKENIZERS[tokenizer](F.col("text")).alias("t"))
-    hashed = lambda n: F.transform(ngrams(F.col("t"), n), lambda x: F.struct(F.lit(n).alias("n"), F.xxhash64(x).alias("h")))
-    own = tokens.select("g", "id", F.explode(F.concat(*map(hashed, range(1, max_n + 1)))).alias("x")).groupBy("g", "id", "x.n", "x.h").agg(F.count(F.lit(1)).alias("c"))
+    own = hashed(texts.repartition("g", "id"), range(1, max_n + 1), tokenizer, ("g", "id")).withColumnRenamed("gram", "h").groupBy("g", "id", "n", "h").agg(F.count(F.lit(1)).alias("c"))
     kinds = own.groupBy("g", "n", "h", "c").agg(F.count(F.lit(1)).alias("holders"))
     top = F.sort_array(F.collect_list(F.struct("c", "holders")), asc=False)
     shared = kinds.groupBy("g", "n", "h").agg(top.alias("top")).where((F.size("top") > 1) | (F.col("top")[0]["holders"] > 1))
@@ -140,41 +158,44 @@ def mean_cosine_distance(texts: DataFrame, tokenizer: str = "space") -> DataFram
     With unit vectors v the sum over pairs of 1 - cos is n(n-1)/2 - (|sum v|^2 - m)/2,
     m the number of non-zero vectors: one sum per (group, term), no pairs.
     """
-    tf = counts(texts, 1, tokenizer, ("g", "id")).withColumn("len", F.sum("c").over(Window.partitionBy("g", "id")))
+    # texts are dealt out by (g, id) before they are words, so their own counts and lengths need no shuffle
+    tf = hashed_counts(texts.repartition("g", "id"), 1, tokenizer, ("g", "id")).withColumn("len", F.sum("c").over(Window.partitionBy("g", "id")))
     df = tf.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("df"))
     sizes = texts.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     w = tf.join(df, ["g", "gram"]).join(sizes, "g").select("g", "id", "gram", (F.col("c") / F.col("len") * F.log(F.col("n") / F.col("df"))).alias("w"))
     w = w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("g", "id")))).where("norm > 0")
     total = w.groupBy("g", "gram").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
-    filled = w.select("g", "id").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    filled = w.groupBy("g").agg(F.countDistinct("id").alias("m"))
     n = F.col("n").cast("double")
     return sizes.join(total, "g", "left").join(filled, "g", "left").select("g", F.when(n < 2, 0.0).otherwise(1 - (F.coalesce("square", F.lit(0.0)) - F.coalesce("m", F.lit(0))) / (n * (n - 1))).alias("value"))
 
 
-def mean_jaccard_distance(texts: DataFrame, n: int = 1, tokenizer: str = "space", empty: float = 0.0, most: int = 5000) -> DataFrame:
+def mean_jaccard_distance(texts: DataFrame, n: int = 1, tokenizer: str = "space", empty: float = 0.0) -> DataFrame:
     """Mean Jaccard distance over all pairs of a group's texts.
 
     Intersections come from an equi-join on grams; pairs without a shared gram
-    are counted, not built.  It is quadratic in a group by definition, so a
-    group of more than ``most`` texts raises instead of being sampled.
+    are counted, not built.  Equal sets of a group are one class with a weight,
+    so copies are not joined with each other; different texts are quadratic in a
+    group by definition, and no group is too large or sampled.
     """
     sizes = texts.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("n", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("group too large for all pairs: "), F.col("g"))).cast("long")).otherwise(F.col("n")))
-    sets = grams(texts, n, tokenizer, ("g", "id")).distinct()
-    size = sets.groupBy("g", "id").agg(F.count(F.lit(1)).alias("size"))
-    a = sets.select("g", "gram", F.col("id").alias("a"))
-    shared = a.join(a.withColumnRenamed("a", "b"), ["g", "gram"]).where("a < b").groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("k"))
-    full = shared.join(size.select("g", F.col("id").alias("a"), F.col("size").alias("na")), ["g", "a"]).join(size.select("g", F.col("id").alias("b"), F.col("size").alias("nb")), ["g", "b"])
-    alike = full.groupBy("g").agg(F.sum(F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("alike"))
-    filled = size.groupBy("g").agg(F.count(F.lit(1)).alias("filled"))
+    words = texts.select("g", "id", TOKENIZERS[tokenizer](F.col("text")).alias("_t"))
+    sets = words.select("g", "id", F.array_sort(F.array_distinct(F.transform(ngrams(F.col("_t"), n), lambda x: F.xxhash64(x)))).alias("set")).where(F.size("set") > 0)
+    kinds = sets.groupBy("g", "set").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("weight"))
+    grams = kinds.select("g", "id", F.size("set").alias("size"), "weight", F.explode("set").alias("gram"))
+    side = lambda k: grams.select("g", "gram", F.col("id").alias(k), F.col("size").alias(f"n{k}"), F.col("weight").alias(f"w{k}"))
+    shared = side("a").join(side("b"), ["g", "gram"]).where("a < b").groupBy("g", "a", "b", "na", "nb", "wa", "wb").agg(F.count(F.lit(1)).alias("k"))
+    alike = shared.groupBy("g").agg(F.sum(F.col("wa") * F.col("wb") * F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("alike"))
+    filled = kinds.groupBy("g").agg(F.sum("weight").alias("filled"), F.sum(F.col("weight") * (F.col("weight") - 1) / 2).alias("copies"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    blank = F.col("n") - F.coalesce("filled", F.lit(0))
+    blank = F.col("n") - F.coalesce("filled", F.lit(0.0))
     both_blank = blank * (blank - 1) / 2
-    return sizes.join(alike, "g", "left").join(filled, "g", "left").select("g", F.when(F.col("n") < 2, 0.0).otherwise((pairs - both_blank * (1 - empty) - F.coalesce("alike", F.lit(0.0))) / pairs).alias("value"))
+    same = F.coalesce("alike", F.lit(0.0)) + F.coalesce("copies", F.lit(0.0))
+    return sizes.join(alike, "g", "left").join(filled, "g", "left").select("g", F.when(F.col("n") < 2, 0.0).otherwise((pairs - both_blank * (1 - empty) - same) / pairs).alias("value"))
 
 
 def novelty_per_text(texts: DataFrame, n: int = 2, tokenizer: str = "word") -> DataFrame:
     """Share of a text's distinct n-grams that no other text of its group has."""
-    sets = grams(texts, n, tokenizer, ("g", "id")).distinct()
+    sets = hashed(texts, [n], tokenizer, ("g", "id")).drop("n").distinct()
     df = sets.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("df"))
     return sets.join(df, ["g", "gram"]).groupBy("g", "id").agg((F.count_if(F.col("df") == 1) / F.count(F.lit(1))).alias("novelty"))

@@ -28,5 +28,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Tables up to this size may be one row group, hence one task's; they are dealt out to all cores.
+SMALL_BYTES = 256 << 20
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    df = read(spark, sf_dir, "documents")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df

@@ -49,8 +49,8 @@ def _texts(spark, sf_dir):
 )
 def text_metrics_by_group(spark, sf_dir):
     texts = _texts(spark, sf_dir)
-    two = lx.counts(texts, 2, "word").groupBy("g").agg(F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("distinct_2"), F.round(lx._entropy(), 6).alias("entropy_2"))
-    one = lx.counts(texts, 1, "word").groupBy("g").agg(F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("ttr"), F.sum("c").alias("n_tokens"))
+    two = lx.hashed_counts(texts, 2, "word").groupBy("g").agg(F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("distinct_2"), F.round(lx._entropy(), 6).alias("entropy_2"))
+    one = lx.hashed_counts(texts, 1, "word").groupBy("g").agg(F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("ttr"), F.sum("c").alias("n_tokens"))
     return two.join(one, "g")
 
 
