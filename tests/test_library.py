@@ -67,9 +67,18 @@ def test_lexical_metrics(spark):
     assert all(abs(r["kl"]) < 1e-6 for r in kl)
 
 
-def test_all_pairs_guard(spark):
-    with pytest.raises(Exception, match="too large"):
-        lexical.mean_jaccard_distance(groups(spark, g=[f"w{k}" for k in range(12)]), most=10).collect()
+def test_jaccard_counts_copies_once_and_all_pairs(spark):
+    from itertools import combinations
+
+    from motley.operators import lexical as lx
+
+    texts = ["a b c"] * 30 + ["a b d"] * 20 + ["x y", "", "", "a"]
+    df = spark.createDataFrame([("g", k, t) for k, t in enumerate(texts)], "g string, id long, text string")
+    sets = [set(t.split()) for t in texts]
+    for empty in (0.0, 1.0):
+        want = [1 - len(a & b) / len(a | b) if a | b else empty for a, b in combinations(sets, 2)]
+        assert abs(lx.mean_jaccard_distance(df, 1, "space", empty).first()["value"] - sum(want) / len(want)) < 1e-9
+
 
 
 def test_cleaning(spark):
