@@ -62,6 +62,14 @@ def conditional_entropy(texts: DataFrame, n: int, tokenizer: str = "punct") -> D
     return high.join(low, "g").select("g", F.greatest(F.col("h") - F.col("l"), F.lit(0.0)).alias("value"))
 
 
+def entropy_rate(texts: DataFrame, max_n: int = 5, tokenizer: str = "punct") -> DataFrame:
+    """(g, n, entropy, rate): H_n and max(H_n - H_(n-1), 0), H_1 for n = 1, all orders from one pass over the tokens."""
+    c = hashed(texts, range(1, max_n + 1), tokenizer).groupBy("g", "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+    h = c.groupBy("g", "n").agg(_entropy().alias("entropy"))
+    before = F.lag("entropy").over(Window.partitionBy("g").orderBy("n"))
+    return h.select("g", F.col("n").cast("long").alias("n"), "entropy", F.when(before.isNull(), F.col("entropy")).otherwise(F.greatest(F.col("entropy") - before, F.lit(0.0))).alias("rate"))
+
+
 def corrected_entropy(texts: DataFrame, n: int, tokenizer: str = "word") -> DataFrame:
     """Maximum likelihood, Miller-Madow and jackknife entropy in bits.
 

@@ -316,4 +316,4 @@ def stratified(rows: DataFrame, budget: int, seed: int) -> DataFrame:
     groups = rows.select("g").distinct()
     places = groups.withColumn("_p", F.row_number().over(Window.orderBy("g")) - 1).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     quota = places.select("g", (F.floor(F.lit(budget) / F.col("_k")) + (F.col("_p") < F.lit(budget) % F.col("_k")).cast("long")).alias("_quota"))
-    return rows.join(F.broadcast(quota), "g").withColumn("_r", F.row_number().over(order)).where("_r <= _quota").drop("_r", "_quota")
+    return rows.join(quota, "g").withColumn("_r", F.row_number().over(order)).where("_r <= _quota").drop("_r", "_quota")

@@ -2,18 +2,22 @@
 
 Means over pairs come from moments where an identity exists; other pair
 measures join inside a group, which raises beyond ``most`` rows.  Spectral
-measures sum d x d Gram matrices on the executors; only those d * d numbers
-reach the driver.
+measures sum d x d Gram matrices on the executors, where their eigenvalues are
+taken too.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST = 5000
 
+#: Groups whose d x d sums a task holds before it writes them out.
+MOST_SUMS = 256
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -101,31 +105,56 @@ def neighbours(vectors: DataFrame, k: int, distance=euclidean) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def gram(vectors: DataFrame) -> dict:
-    """For each group the sum of v v^T over unit vectors, and the number of vectors, as numpy arrays.
-
-    Upper triangles are summed as (i, j, x) rows with map-side combine; d (d + 1) / 2 numbers for each group arrive.
-    """
-    unit = vectors.withColumn("l", norm(F.col("v"))).where("l > 0").select("g", "id", F.transform("v", lambda x: x / F.col("l")).alias("u"))
-    cells = unit.select("g", "u", F.posexplode("u").alias("i", "x")).select("g", "i", "x", F.posexplode("u").alias("j", "y")).where("i <= j").groupBy("g", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    sizes = {r["g"]: r["n"] for r in vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out: dict = {}
-    for g, i, j, s in cells.collect():
-        d = out.setdefault(g, {})
-        d[i, j] = s
-    found = {}
-    for g, d in out.items():
-        size = 1 + max(i for i, _ in d)
-        m = np.zeros((size, size))
-        for (i, j), s in d.items():
-            m[i, j] = m[j, i] = s
-        found[g] = (m, sizes[g])
-    return found
+def _partial_grams(batches):
+    """Sums of q u u^T and of q over a partition, by group; written out early where there are many groups."""
+    sums, kind = {}, None
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["g", "m"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.schema.field("g").type
+        q = batch.column("q").to_numpy(zero_copy_only=False)
+        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        length = np.sqrt((x * x).sum(axis=1))
+        u = x / np.where(length > 0, length, 1.0)[:, None]
+        keys = np.array(batch.column("g").to_pylist(), dtype=object)
+        for g in set(keys.tolist()):
+            mine = keys == g
+            cells = np.append((u[mine].T @ (u[mine] * q[mine, None])).ravel(), q[mine].sum())
+            sums[g] = cells if g not in sums else sums[g] + cells
+        if len(sums) > MOST_SUMS:
+            yield out()
+            sums.clear()
+    if sums:
+        yield out()
+
+
+def gram(vectors: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(g, m): the d * d cells of the sum of q u u^T over unit vectors u, and behind them the sum of q (1 without ``weight``).
+
+    A partition's sums are made in Arrow batches, d * d + 1 numbers for each of its groups are shuffled.  A vector without
+    length counts only in the sum of q; rows without a vector are left out."""
+    rows = vectors.where("v IS NOT NULL").select("g", (F.lit(1.0) if weight is None else weight.cast("double")).alias("q"), "v")
+    parts = rows.mapInArrow(_partial_grams, f"g {rows.schema['g'].dataType.simpleString()}, m array<double>")
+    cells = parts.select("g", F.posexplode("m").alias("k", "x")).groupBy("g", "k").agg(F.sum("x").alias("x"))
+    return cells.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]).alias("m"))
+
+
+def _spectrum(cells: np.ndarray) -> np.ndarray:
+    """Eigenvalues of a row of ``gram``, over its sum of q, in descending order."""
+    d = int(round((len(cells) - 1) ** 0.5))
+    values = np.linalg.eigvalsh(cells[:-1].reshape(d, d) / max(cells[-1], 1e-300))
+    return np.sort(np.maximum(values, 0))[::-1]
 
 
 def entropy_of(values: np.ndarray, alpha: float = 1.0) -> float:
     """exp of the Renyi entropy (Shannon for alpha 1) of eigenvalues that sum to one."""
     p = values[values > 1e-10]
+    if not len(p):
+        return 1.0
     p = p / p.sum()
     if alpha == 1.0:
         return float(np.exp(-(p * np.log(p)).sum()))
@@ -134,14 +163,39 @@ def entropy_of(values: np.ndarray, alpha: float = 1.0) -> float:
     return float((p**alpha).sum() ** (1 / (1 - alpha)))
 
 
-def vendi(vectors: DataFrame, alpha: float = 1.0, top: int | None = None) -> DataFrame:
-    """Vendi score with the cosine kernel, from the dual d x d matrix; ``top``: only so many eigenvalues, renormalised."""
-    rows = []
-    for g, (m, n) in gram(vectors).items():
-        values = np.sort(np.maximum(np.linalg.eigvalsh(m / n), 0))[::-1]
-        rows.append((g, int(n), entropy_of(values[:top], alpha)))
-    kind = vectors.schema["g"].dataType.simpleString()
-    return vectors.sparkSession.createDataFrame(rows, f"g {kind}, n long, vendi double")
+def vendi(vectors: DataFrame, alpha: float = 1.0, top: int | None = None, weight: Column | None = None) -> DataFrame:
+    """(g, n, vendi) with the cosine kernel, from the dual d x d matrix; ``top``: only so many eigenvalues, renormalised;
+    ``weight``: the kernel is multiplied by the roots of both rows' weights, and n is their sum."""
+    sums = gram(vectors, weight)
+
+    def score(batches):
+        for batch in batches:
+            cells = [np.array(m) for m in batch.column("m").to_pylist()]
+            found = [pa.array([float(c[-1]) for c in cells], pa.float64()), pa.array([entropy_of(_spectrum(c)[:top], alpha) for c in cells], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("g"), *found], ["g", "n", "vendi"])
+
+    out = sums.mapInArrow(score, f"g {sums.schema['g'].dataType.simpleString()}, n double, vendi double")
+    return out if weight is not None else out.withColumn("n", F.round("n").cast("long"))
+
+
+def vendi_of_sets(vectors: DataFrame, pairs_: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """pairs_ (a, b) of groups to their Vendi scores, that of their union, what each adds, synergy and redundancy.
+
+    The union's matrix is the sum of both, so vectors are read once however many pairs are asked for."""
+    sums = gram(vectors)
+    both = pairs_.join(sums.select(F.col("g").alias("a"), F.col("m").alias("ma")), "a").join(sums.select(F.col("g").alias("b"), F.col("m").alias("mb")), "b").select("a", "b", "ma", "mb")
+
+    def score(batches):
+        for batch in batches:
+            ma, mb = ([np.array(m) for m in batch.column(c).to_pylist()] for c in ("ma", "mb"))
+            found = [pa.array([entropy_of(_spectrum(c), alpha) for c in side], pa.float64()) for side in (ma, mb, [x + y for x, y in zip(ma, mb)])]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *found], ["a", "b", "vendi_a", "vendi_b", "vendi_union"])
+
+    kind = sums.schema["g"].dataType.simpleString()
+    scored = both.mapInArrow(score, f"a {kind}, b {kind}, vendi_a double, vendi_b double, vendi_union double")
+    va, vb, u = F.col("vendi_a"), F.col("vendi_b"), F.col("vendi_union")
+    redundancy = F.when(va + vb > 0, F.greatest(F.least(1 - u / (va + vb), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+    return scored.select("a", "b", va, vb, u, (u - va).alias("b_adds"), (u - vb).alias("a_adds"), (u - va - vb + F.least(va, vb)).alias("synergy"), redundancy.alias("redundancy"))
 
 
 def principal_axes(vectors: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

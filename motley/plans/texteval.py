@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from motley.operators import lexical as lx
 from motley.operators import texteval as tx
 from motley.operators.query import Query
 from motley.plans.common import Registry, docs, read
 from motley.plans.evaluate import PAIRS, _pairs
-from motley.plans.text import T, _texts, count_sql, gram_sql
+from motley.plans.text import ENTROPY, T, _texts, count_sql, gram_sql
 
 R = Registry()
 
@@ -108,3 +109,62 @@ def generation_statistics(spark, sf_dir):
     words = F.when(F.col("text").rlike(r"(?U)^\s*$"), 0).otherwise(words)
     d = docs(spark, sf_dir).select(F.col("source").alias("g"), "text", words.alias("w"))
     return d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.md5("text")).alias("n_texts"), F.round(F.avg(F.char_length("text")), 4).alias("mean_chars"), F.min("w").alias("least_words"), F.max("w").alias("most_words"), F.round(F.avg("w"), 4).alias("mean_words"), F.count_if(F.trim("text") == "").alias("n_empty"))
+
+
+def _f(beta2: str = "1") -> str:
+    return f"CASE WHEN p + q > 0 THEN (1 + {beta2}) * p * q / ({beta2} * p + q) ELSE 0 END"
+
+
+def _bag_sql(bag) -> str:
+    """h, r and m (id, n, k, h, r) from ``bag(column)``, SELECT (id, n, x)."""
+    side = lambda c, name: f"{name} AS (SELECT id, n, x, count(*) AS {name} FROM ({bag(c)}) GROUP BY ALL)"
+    return f"{side('text', 'h')}, {side('reference', 'r')}, m AS (SELECT id, n, sum(least(coalesce(h, 0), coalesce(r, 0))) AS k, coalesce(sum(h), 0) AS h, coalesce(sum(r), 0) AS r FROM h FULL JOIN r USING (id, n, x) GROUP BY ALL)"
+
+
+_CHARS = r"regexp_extract_all(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '(?s).')"
+
+
+def _char_bag(c: str) -> str:
+    leads = ", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in range(1, 6))
+    grams = " UNION ALL ".join(f"SELECT id, {n} AS n, concat({', '.join(['c', *[f'c{k}' for k in range(1, n)]])}) AS x FROM l WHERE i + {n - 1} <= size OR (i = 1 AND size < {n})" for n in range(1, 7))
+    return f"WITH t AS (SELECT id, {_CHARS.format(c=c)} AS t FROM pairs), u AS (SELECT id, len(t) AS size, unnest(t) AS c, unnest(range(1, len(t) + 1)) AS i FROM t), l AS (SELECT *, {leads} FROM u WINDOW w AS (PARTITION BY id ORDER BY i)) {grams}"
+
+
+@R.add("chrf", f"WITH {PAIRS}, {_bag_sql(_char_bag)}, s AS (SELECT id, avg(k / h) AS p, avg(k / r) AS q FROM m WHERE h > 0 AND r > 0 GROUP BY id) SELECT id, round(coalesce({_f('4')}, 0), 6) AS chrf FROM pairs LEFT JOIN s USING (id)")
+def chrf(spark, sf_dir):
+    return _rounded(tx.chrf(_pairs(spark, sf_dir)))
+
+
+@R.add(
+    "rouge_s",
+    "WITH " + PAIRS + ", " + _bag_sql(lambda c: f"SELECT id, 0 AS n, unnest(list_transform(range(1, len(t) - d + 1), lambda i: t[i] || ' ' || t[i + d])) AS x FROM (SELECT id, {T['spaced'].replace('text', c)} AS t FROM pairs), range(1, 6) g(d) WHERE len(t) > d")
+    + f", s AS (SELECT id, CASE WHEN h > 0 THEN k / h ELSE 0 END AS p, CASE WHEN r > 0 THEN k / r ELSE 0 END AS q FROM m) SELECT id, round(coalesce(p, 0), 6) AS precision, round(coalesce(q, 0), 6) AS recall, round(coalesce({_f()}, 0), 6) AS f FROM pairs LEFT JOIN s USING (id)",
+)
+def rouge_s(spark, sf_dir):
+    return _rounded(tx.rouge_s(_pairs(spark, sf_dir)))
+
+
+_ANSWER = r"list_filter(string_split_regex(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"
+
+
+@R.add(
+    "answer_scores",
+    "WITH " + PAIRS + ", " + _bag_sql(lambda c: f"SELECT id, 0 AS n, unnest({_ANSWER.format(c=c)}) AS x FROM pairs")
+    + f", e AS (SELECT id, {_ANSWER.format(c='text')} = {_ANSWER.format(c='reference')} AS exact FROM pairs) SELECT id, exact, round(coalesce(2 * k / (h + r), exact::INT), 6) AS f FROM e LEFT JOIN m USING (id)",
+)
+def answer_scores(spark, sf_dir):
+    return _rounded(tx.answer_scores(_pairs(spark, sf_dir)))
+
+
+@R.add("alignment_scores")
+def alignment_scores(spark, sf_dir):
+    return _rounded(tx.alignment_scores(_pairs(spark, sf_dir)))
+
+
+@R.add(
+    "entropy_rate",
+    "WITH " + ", ".join(f"e{n} AS (SELECT g, {n} AS n, {ENTROPY} AS e FROM ({count_sql(n, 'punct')}) GROUP BY g)" for n in range(1, 6))
+    + ", e AS (" + " UNION ALL ".join(f"SELECT * FROM e{n}" for n in range(1, 6)) + ") SELECT g, n, round(e, 5) AS entropy, round(CASE WHEN n = 1 THEN e ELSE greatest(e - lag(e) OVER (PARTITION BY g ORDER BY n), 0) END, 5) AS rate FROM e",
+)
+def entropy_rate(spark, sf_dir):
+    return _rounded(lx.entropy_rate(_texts(spark, sf_dir)), 5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from motley.operators import blocks as bl
 from motley.operators import ranking as rk
 from motley.operators import rerank as rr
 from motley.operators import vectors as vc
@@ -88,11 +89,70 @@ def vendi(spark, sf_dir):
     return _rounded(vc.vendi(_vectors(spark, sf_dir)), "vendi")
 
 
-@R.add("vendi_order_2")
+_SQUARES = "c AS (SELECT a.g, b.g AS h, a.id % 4 + 1 AS qa, b.id % 4 + 1 AS qb, list_cosine_similarity(a.v, b.v) ** 2 AS c FROM v a JOIN v b ON {on})"
+
+
+@R.add("vendi_order_2", f"WITH {VECTORS}, {_SQUARES.format(on='a.g = b.g')} SELECT g, sqrt(count(*))::BIGINT AS n, round(count(*) / sum(c), 5) AS vendi FROM c GROUP BY g")
 def vendi_2(spark, sf_dir):
     return _rounded(vc.vendi(_vectors(spark, sf_dir), 2.0), "vendi")
 
 
+@R.add("vendi_weighted", f"WITH {VECTORS}, {_SQUARES.format(on='a.g = b.g')}, q AS (SELECT g, sum(id % 4 + 1)::DOUBLE AS n FROM v GROUP BY g) SELECT g, n, round(n * n / sum(qa * qb * c), 5) AS vendi FROM c JOIN q USING (g) GROUP BY g, n")
+def vendi_weighted(spark, sf_dir):
+    return _rounded(vc.vendi(_vectors(spark, sf_dir), 2.0, weight=F.col("id") % 4 + 1), "vendi")
+
+
+@R.add(
+    "vendi_of_sets",
+    f"""WITH {VECTORS}, {_SQUARES.format(on='b.g BETWEEN a.g - 1 AND a.g + 1')}, s AS (SELECT g AS a, h AS b, sum(c) AS s, count(*) AS k FROM c GROUP BY ALL), n AS (SELECT g, count(*) AS n FROM v GROUP BY g),
+    x AS (SELECT p.a, p.b, na.n ** 2 / sa.s AS va, nb.n ** 2 / sb.s AS vb, (na.n + nb.n) ** 2 / (sa.s + sb.s + 2 * p.s) AS u FROM s p JOIN s sa ON sa.a = p.a AND sa.b = p.a JOIN s sb ON sb.a = p.b AND sb.b = p.b JOIN n na ON na.g = p.a JOIN n nb ON nb.g = p.b WHERE p.b = p.a + 1)
+    SELECT a, b, round(va, 5) AS vendi_a, round(vb, 5) AS vendi_b, round(u, 5) AS vendi_union, round(u - va, 5) AS b_adds, round(u - vb, 5) AS a_adds, round(u - va - vb + least(va, vb), 5) AS synergy, round(greatest(1 - u / (va + vb), 0), 5) AS redundancy FROM x""",
+)
+def vendi_of_sets(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    follow = v.select(F.col("g").alias("a"), (F.col("g") + 1).alias("b")).distinct()
+    out = vc.vendi_of_sets(v, follow, 2.0)
+    return _rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
+
+
+@R.add(
+    "similarity_scores",
+    f"""WITH {VECTORS}, c AS (SELECT a.g, a.id, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id), n AS (SELECT g, count(*) AS n FROM v GROUP BY g), l AS (SELECT g, id, max(c) AS m, list_reverse_sort(list_append(list(c), 0)) AS l FROM c GROUP BY ALL)
+    SELECT v.g, v.id, round(coalesce(greatest(least(1 - m, 1), 0), 0), 5) AS novelty, coalesce(m >= 0.9, false) AS redundant, round(CASE WHEN n > 1 THEN list_avg(l[1:least(3, n - 1)]) ELSE 0 END, 5) AS redundancy FROM v JOIN n USING (g) LEFT JOIN l ON l.g = v.g AND l.id = v.id""",
+)
+def similarity_scores(spark, sf_dir):
+    return _rounded(bl.similarity_scores(_vectors(spark, sf_dir)), "novelty", "redundancy")
+
+
+@R.add("neighbour_uniformity", f"WITH {VECTORS}, d AS (SELECT a.g, a.id, min(list_distance(a.v, b.v)) AS d FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id GROUP BY ALL) SELECT g, round(avg(d), 5) AS mean, round(stddev_pop(d), 5) AS deviation, round(stddev_pop(d) / greatest(avg(d), 1e-12), 5) AS cv FROM d GROUP BY g")
+def neighbour_uniformity(spark, sf_dir):
+    return _rounded(bl.neighbour_uniformity(_vectors(spark, sf_dir)), "mean", "deviation", "cv")
+
+
+_KERNELS = {"rbf": "exp(-sq / (2 * h * h + 1e-12))", "imq": "1 / sqrt(1 + sq / (h * h + 1e-12))", "laplacian": "exp(-l1 / (h + 1e-12))", "cosine": "c", "polynomial": "(dot + 1) ** 2"}
+
+
+@R.add(
+    "kernel_sensitivity",
+    f"""WITH {VECTORS}, p AS (SELECT a.g, list_distance(a.v, b.v) ** 2 AS sq, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS l1, list_inner_product(a.v, b.v) AS dot, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.g = b.g AND a.id < b.id), w AS (SELECT p.*, h FROM p, (VALUES (0.5::DOUBLE), (1.0), (2.0)) t(h))
+    """
+    + " UNION ALL ".join(f"SELECT g, '{name}' AS kernel, h AS bandwidth, round(1 - avg({sql}), 4) AS epd FROM w GROUP BY g, h" for name, sql in _KERNELS.items()),
+)
+def kernel_sensitivity(spark, sf_dir):
+    return _rounded(bl.kernel_distances(_vectors(spark, sf_dir)), "epd", digits=4)
+
+
+@R.add(
+    "coverage_precision_recall",
+    f"""WITH {VECTORS}, d AS (SELECT a.g, a.id, min(list_distance(a.v, b.v)) AS d FROM v a JOIN v b ON a.g = b.g AND a.id % 2 <> b.id % 2 GROUP BY ALL), s AS (SELECT g, r AS radius, avg((d <= r)::INT) FILTER (id % 2 = 0) AS p, avg((d <= r)::INT) FILTER (id % 2 = 1) AS c FROM d, (VALUES (0.5::DOUBLE), (1.0), (1.25)) t(r) GROUP BY ALL)
+    SELECT g, radius, round(p, 6) AS precision, round(c, 6) AS recall, round(CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0 END, 6) AS f FROM s""",
+)
+def coverage_precision_recall(spark, sf_dir):
+    """Even ids are the selected rows, odd ids the reference."""
+    v = _vectors(spark, sf_dir)
+    return _rounded(bl.coverage(v.where("id % 2 = 0"), v.where("id % 2 = 1"), (0.5, 1.0, 1.25)), "precision", "recall", "f", digits=6)
+
+
 @R.add("mean_pooling", "SELECT doc_group AS g, k, round(avg(x), 5) AS mean, round(max(x), 5) AS high, round(min(x), 5) AS low FROM (SELECT vec_id % 16 AS doc_group, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY ALL")
 def pooling(spark, sf_dir):
     x = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 16).alias("g"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x"))
