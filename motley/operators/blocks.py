@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motley.session import checkpoints
+
 #: Rows of a block, and how many of them that are compared at a time.
 BLOCK = 512
 STEP = 32
@@ -123,3 +125,120 @@ def coverage(selected: DataFrame, reference: DataFrame, radii) -> DataFrame:
     both = share(selected, reference, "precision").join(share(reference, selected, "recall"), ["g", "radius"])
     p, r = F.col("precision"), F.col("recall")
     return both.select("g", "radius", p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
+
+
+def _euclidean(x, y):
+    return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+
+
+def _cosine(x, y):
+    return 1 - _unit(x) @ _unit(y).T
+
+
+DISTANCES = {
+    "euclidean": _euclidean,
+    "manhattan": lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).sum(axis=2),
+    "chebyshev": lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).max(axis=2),
+    "cosine": _cosine,
+}
+
+#: Bins of a pass over the distances, and passes that narrow a rank down: to 2 ** -36 of the range.
+BINS = 4096
+PASSES = 3
+
+
+def _each(ids, x, others, y, distance):
+    """Distances of the pairs with the lesser id on the left, some rows at a time."""
+    for s in _steps(x):
+        yield distance(x[s], y)[ids[s][:, None] < others[None, :]]
+
+
+def distance_sums(vectors: DataFrame, distance: str = "euclidean") -> DataFrame:
+    """(g, n_pairs, total, squares, low, high) over all pairs of a group; groups of one row have none."""
+    d = DISTANCES[distance]
+
+    def sums(ids, x, others, y):
+        n, s, ss, low, high = 0, 0.0, 0.0, np.inf, -np.inf
+        for v in _each(ids, x, others, y, d):
+            if len(v):
+                n, s, ss, low, high = n + len(v), s + float(v.sum()), ss + float((v * v).sum()), min(low, float(v.min())), max(high, float(v.max()))
+        return {k: [v] if n else [] for k, v in zip(("n", "s", "ss", "low", "high"), (n, s, ss, low, high))}
+
+    parts = blocked(vectors, vectors, sums, "n long, s double, ss double, low double, high double")
+    return parts.groupBy("g").agg(F.sum("n").alias("n_pairs"), F.sum("s").alias("total"), F.sum("ss").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def distance_bins(vectors: DataFrame, limits: DataFrame, distance: str = "euclidean", bins: int = BINS) -> DataFrame:
+    """limits (g, spans array<struct<low, width, high>>) to (g, span, bin, c): how many distances of pairs fall into which of ``bins``
+    bins of that width from ``low``.  A distance of ``high`` belongs to the last bin; at width 0 all equal ``low`` to bin 0."""
+    d = DISTANCES[distance]
+    spans = F.flatten(F.transform("spans", lambda s: F.array(s["low"], s["width"], s["high"])))
+    # the limits ride behind the vectors of the left side, so that a task has those of its group
+    left = vectors.where("v IS NOT NULL").join(limits, "g").select("g", "id", F.concat("v", spans, F.array(F.size("spans").cast("double"))).alias("v"))
+
+    def count(ids, x, others, y):
+        k = int(x[0, -1])
+        at, x, found = x[0, -1 - 3 * k : -1].reshape(k, 3), x[:, : -1 - 3 * k], np.zeros((k, bins), np.int64)
+        for v in _each(ids, x, others, y, d):
+            for j, (low, width, high) in enumerate(at):
+                place = np.floor((v - low) / width) if width > 0 else np.where(v == low, 0.0, -1.0)
+                place = np.where((place >= bins) & (v <= high), bins - 1, place)
+                found[j] += np.bincount(place[(place >= 0) & (place < bins)].astype(np.int64), minlength=bins)
+        span, place = np.nonzero(found)
+        return {"span": span, "bin": place, "c": found[span, place]}
+
+    return blocked(left, vectors, count, "span long, bin long, c long").groupBy("g", "span", "bin").agg(F.sum("c").alias("c"))
+
+
+def distance_summary(vectors: DataFrame, distance: str = "euclidean") -> DataFrame:
+    """(g, n_pairs, mean, median, spread, diameter, variance, total) over all pairs.  The two middle distances are narrowed down
+    by passes of bin counts, to the 2 ** -36th part of the range."""
+    sums = distance_sums(vectors, distance).transform(_kept)
+    state = sums.select("g", *[F.array(*[F.struct(F.lit(j).cast("long").alias("span"), F.col("low").alias("low"), ((F.col("high") - F.col("low")) / BINS).alias("width"), F.col("high").alias("high"), rank.cast("long").alias("rank")) for j, rank in enumerate((F.floor((F.col("n_pairs") - 1) / 2), F.floor(F.col("n_pairs") / 2)))]).alias("s")]).select("g", F.inline("s"))
+    for step in range(PASSES):
+        limits = state.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("span", "low", "width", "high"))), lambda s: F.struct(s["low"].alias("low"), s["width"].alias("width"), s["high"].alias("high"))).alias("spans"))
+        order = Window.partitionBy("g", "span").orderBy("bin")
+        below = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+        found = distance_bins(vectors, limits, distance).withColumn("below", below).join(state, ["g", "span"]).where("below <= rank")
+        # the last bin that starts at or below the rank
+        best = found.groupBy("g", "span").agg(F.max_by(F.struct((F.col("low") + F.col("bin") * F.col("width")).alias("low"), F.col("width").alias("width"), (F.col("rank") - F.col("below")).alias("rank")), "bin").alias("b"))
+        state = best.select("g", "span", "b.low", (F.col("b.width") / BINS).alias("width"), (F.col("b.low") + F.col("b.width")).alias("high"), "b.rank").transform(_kept)
+    # the middle of the last bin
+    median = state.groupBy("g").agg(F.avg(F.col("low") + F.col("width") * BINS / 2).alias("median"))
+    mean = F.col("total") / F.col("n_pairs")
+    return sums.join(median, "g").select("g", "n_pairs", mean.alias("mean"), "median", F.col("low").alias("spread"), F.col("high").alias("diameter"), F.greatest(F.col("squares") / F.col("n_pairs") - mean * mean, F.lit(0.0)).alias("variance"), "total")
+
+
+def distance_entropy(vectors: DataFrame, distance: str = "euclidean", bins: int = 30) -> DataFrame:
+    """(g, entropy) of the distances in equal bins of their range, over ln(bins); 0 where all are equal."""
+    sums = distance_sums(vectors, distance)
+    limits = sums.select("g", F.array(F.struct("low", ((F.col("high") - F.col("low")) / bins).alias("width"), "high")).alias("spans"))
+    c = distance_bins(vectors, limits, distance, bins).withColumn("c", F.col("c").cast("double"))
+    h = (F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")) / float(np.log(bins))
+    return c.groupBy("g").agg(F.greatest(h, F.lit(0.0)).alias("entropy"))  # rounding may leave less than 0
+
+
+def fairness_ratio(vectors: DataFrame) -> DataFrame:
+    """One row: the mean distance of pairs within a group over that of pairs across groups; null if there are none of a kind."""
+    number = vectors.select("g").distinct().select("g", F.xxhash64("g").alias("_h"))
+    # the halves of the group's hash ride behind the vector, exact as doubles
+    marks = F.array(F.shiftright("_h", 32).cast("double"), F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"))
+    rows = vectors.where("v IS NOT NULL").join(number, "g").select(F.lit(0).alias("g"), "id", F.concat("v", marks).alias("v"))
+
+    def sums(ids, x, others, y):
+        total = np.zeros((2, 2))
+        for s in _steps(x):
+            d, less = _euclidean(x[s, :-2], y[:, :-2]), ids[s][:, None] < others[None, :]
+            same = (x[s, None, -2:] == y[None, :, -2:]).all(axis=2)
+            for k, where in enumerate((same & less, ~same & less)):
+                total[k] += d[where].sum(), where.sum()
+        return {"same": [total[0, 0]], "n_same": [int(total[0, 1])], "across": [total[1, 0]], "n_across": [int(total[1, 1])]}
+
+    t = blocked(rows, rows, sums, "same double, n_same long, across double, n_across long").agg(*[F.sum(c).alias(c) for c in ("same", "n_same", "across", "n_across")])
+    return t.select(F.when((F.col("n_same") > 0) & (F.col("n_across") > 0) & (F.col("across") > 0), F.col("same") / F.col("n_same") / (F.col("across") / F.col("n_across"))).alias("ratio"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A few numbers for each group, kept so that the next pass does not compare all pairs again for them."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motley.functions.tokens import TOKENIZERS
+from motley.operators.vectors import pairs
 
 
 def lcs(a: list, b: list) -> int:
@@ -105,14 +106,11 @@ def tags(words: Column) -> Column:
     return F.transform(words, tag)
 
 
-def tag_sequence_diversity(texts: DataFrame, most: int = 500) -> DataFrame:
-    """Mean edit distance of tag sequences over the longer length, over all pairs of a group; a larger group raises."""
-    n = texts.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    sized = texts.join(n, "g").where(F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("group too large for all pairs: "), F.col("g"))).cast("boolean")).otherwise(True))
-    s = sized.select("g", "id", tags(TOKENIZERS["cased"](F.col("text"))).alias("t"))
-    pairs = s.join(s.select("g", F.col("id").alias("other"), F.col("t").alias("u")), "g").where("id < other")
-    d = _pairwise(edit_distance, "int64")("t", "u") / F.greatest(F.size("t"), F.size("u"), F.lit(1))
-    return pairs.groupBy("g").agg(F.avg(d).alias("value"))
+def tag_sequence_diversity(texts: DataFrame) -> DataFrame:
+    """Mean edit distance of tag sequences over the longer length, over all pairs of a group, made block by block."""
+    s = texts.select("g", "id", tags(TOKENIZERS["cased"](F.col("text"))).alias("v"))
+    d = lambda t, u: _pairwise(edit_distance, "int64")(t, u) / F.greatest(F.size(t), F.size(u), F.lit(1))
+    return pairs(s, d).groupBy("g").agg(F.avg("d").alias("value"))
 
 
 def pacf(values: np.ndarray, lags: int) -> list[float]:

@@ -1,7 +1,7 @@
 """Diversity of vectors: rows (g, id, v array<double>).
 
-Means over pairs come from moments where an identity exists; other pair
-measures join inside a group, which raises beyond ``most`` rows.  Spectral
+Means over pairs come from moments where an identity exists; other sums over
+pairs are in ``blocks``, results that are pairs come from joins of blocks.  Spectral
 measures sum d x d Gram matrices on the executors, where their eigenvalues are
 taken too.
 """
@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST = 5000
-
 #: Groups whose d x d sums a task holds before it writes them out.
 MOST_SUMS = 256
 
@@ -71,11 +69,10 @@ def mean_cosine_distance(vectors: DataFrame) -> DataFrame:
     return n.join(s, "g", "left").select("g", F.when(F.col("n") < 2, 0.0).otherwise(1 - (F.coalesce("square", F.lit(0.0)) - F.col("m")) / (F.col("n") * (F.col("n") - 1))).alias("value"))
 
 
-def pairs(vectors: DataFrame, distance=euclidean, most: int | None = MOST, block: int = 1000) -> DataFrame:
-    """(g, a, b, d) over all pairs of a group; above ``most`` rows, if given, it raises.  A group is cut into blocks, and
-    each pair of blocks is a join key of its own."""
-    size = F.col("n") if most is None else F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("group too large for all pairs: "), F.col("g").cast("string"))).cast("long")).otherwise(F.col("n"))
-    n = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", size.alias("_n"))
+def pairs(vectors: DataFrame, distance=euclidean, block: int = 1000) -> DataFrame:
+    """(g, a, b, d) over all pairs of a group, for results that are pairs (sums over pairs: ``blocks``).  A group is cut into
+    blocks, and each pair of blocks is a join key of its own."""
+    n = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
     sized = vectors.join(n, "g").where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("long"))
     own = sized.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
@@ -84,22 +81,9 @@ def pairs(vectors: DataFrame, distance=euclidean, most: int | None = MOST, block
     return a.join(b, ["g", "_x", "_y"]).where("a < b").select("g", "a", "b", distance(F.col("va"), F.col("vb")).alias("d"))
 
 
-def pair_summary(pairs_: DataFrame) -> DataFrame:
-    return pairs_.groupBy("g").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.min("d").alias("spread"), F.max("d").alias("diameter"), F.var_pop("d").alias("variance"), F.sum("d").alias("total"))
-
-
-def distance_entropy(pairs_: DataFrame, bins: int = 30) -> DataFrame:
-    """Entropy of the distances in equal bins of their range, over ln(bins)."""
-    by = Window.partitionBy("g")
-    width = (F.max("d").over(by) - F.min("d").over(by)) / bins
-    b = pairs_.withColumn("bin", F.when(width > 0, F.least(F.floor((F.col("d") - F.min("d").over(by)) / width), F.lit(bins - 1))).otherwise(0))
-    c = b.groupBy("g", "bin").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    return c.groupBy("g").agg(((F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")) / float(np.log(bins))).alias("entropy"))
-
-
 def neighbours(vectors: DataFrame, k: int, distance=euclidean) -> DataFrame:
     """(g, id, neighbour, d, rank) of the k nearest others in the group."""
-    p = pairs(vectors, distance, None)
+    p = pairs(vectors, distance)
     both = p.select("g", F.col("a").alias("id"), F.col("b").alias("neighbour"), "d").union(p.select("g", "b", "a", "d"))
     order = Window.partitionBy("g", "id").orderBy(F.round("d", 9), "neighbour")
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

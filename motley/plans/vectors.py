@@ -40,24 +40,24 @@ def mean_cosine(spark, sf_dir):
     return _rounded(vc.mean_cosine_distance(_vectors(spark, sf_dir)), "value")
 
 
-_DISTANCES = {"euclidean": (vc.euclidean, "list_distance(a.v, b.v)"), "manhattan": (vc.manhattan, "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))"), "chebyshev": (vc.chebyshev, "list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))"), "cosine": (lambda a, b: 1 - vc.cosine(a, b), "1 - list_cosine_similarity(a.v, b.v)")}
+_DISTANCES = {"euclidean": "list_distance(a.v, b.v)", "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))", "chebyshev": "list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))", "cosine": "1 - list_cosine_similarity(a.v, b.v)"}
 
 
 def pairs_sql(expression: str) -> str:
     return f"pairs AS (SELECT a.g, a.id AS a, b.id AS b, {expression} AS d FROM v a JOIN v b ON a.g = b.g AND a.id < b.id)"
 
 
-for _name, (_distance, _sql) in _DISTANCES.items():
+for _name, _sql in _DISTANCES.items():
 
-    def _pairs(spark, sf_dir, distance=_distance):
-        return _rounded(vc.pair_summary(vc.pairs(_vectors(spark, sf_dir), distance)), "mean", "median", "spread", "diameter", "variance", "total", digits=4)
+    def _pairs(spark, sf_dir, distance=_name):
+        return _rounded(bl.distance_summary(_vectors(spark, sf_dir), distance), "mean", "median", "spread", "diameter", "variance", "total", digits=4)
 
     R.add(f"pairwise_{_name}", f"WITH {VECTORS}, {pairs_sql(_sql)} SELECT g, count(*) AS n_pairs, round(avg(d), 4) AS mean, round(median(d), 4) AS median, round(min(d), 4) AS spread, round(max(d), 4) AS diameter, round(var_pop(d), 4) AS variance, round(sum(d), 4) AS total FROM pairs GROUP BY g")(_pairs)
 
 
 @R.add("distance_entropy", f"WITH {VECTORS}, {pairs_sql('list_distance(a.v, b.v)')}, l AS (SELECT g, min(d) AS low, (max(d) - min(d)) / 30 AS w FROM pairs GROUP BY g), c AS (SELECT g, least(floor((d - low) / w), 29) AS bin, count(*)::DOUBLE AS c FROM pairs JOIN l USING (g) GROUP BY ALL) SELECT g, round((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(30), 4) AS entropy FROM c GROUP BY g")
 def distance_entropy(spark, sf_dir):
-    return _rounded(vc.distance_entropy(vc.pairs(_vectors(spark, sf_dir))), "entropy", digits=4)
+    return _rounded(bl.distance_entropy(_vectors(spark, sf_dir)), "entropy", digits=4)
 
 
 @R.add("nearest_neighbours", f"WITH {VECTORS}, n AS (SELECT a.g, a.id, b.id AS neighbour, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY round(d, 9), neighbour) AS rank FROM n) SELECT g, id, neighbour, round(d, 5) AS d, rank FROM r WHERE rank <= 3")
@@ -68,20 +68,18 @@ def neighbours(spark, sf_dir):
 @R.add("certified_upper_bound", f"WITH {VECTORS}, {pairs_sql('list_distance(a.v, b.v)')}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d DESC, a, b) AS r FROM pairs) SELECT g, round(sum(d), 4) AS sum_bound, round(min(d), 5) AS spread_bound FROM r WHERE r <= 10 GROUP BY g")
 def upper_bound(spark, sf_dir):
     order = Window.partitionBy("g").orderBy(F.desc("d"), "a", "b")
-    top = vc.pairs(_vectors(spark, sf_dir), most=None).withColumn("_r", F.row_number().over(order)).where("_r <= 10")
+    top = vc.pairs(_vectors(spark, sf_dir)).withColumn("_r", F.row_number().over(order)).where("_r <= 10")
     return top.groupBy("g").agg(F.round(F.sum("d"), 4).alias("sum_bound"), F.round(F.min("d"), 5).alias("spread_bound"))
 
 
 @R.add("threshold_dedup_edges", f"WITH {VECTORS}, {pairs_sql('list_cosine_similarity(a.v, b.v)')} SELECT g, a, b, round(d, 5) AS similarity FROM pairs WHERE d >= 0.3")
 def dedup_edges(spark, sf_dir):
-    return vc.pairs(_vectors(spark, sf_dir), vc.cosine, None).where("d >= 0.3").select("g", "a", "b", F.round("d", 5).alias("similarity"))
+    return vc.pairs(_vectors(spark, sf_dir), vc.cosine).where("d >= 0.3").select("g", "a", "b", F.round("d", 5).alias("similarity"))
 
 
 @R.add("individual_fairness", f"WITH {VECTORS}, p AS (SELECT list_distance(a.v, b.v) AS d, a.g = b.g AS same FROM v a JOIN v b ON a.id < b.id) SELECT round(avg(d) FILTER (same) / avg(d) FILTER (NOT same), 5) AS ratio FROM p")
 def individual_fairness(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    p = vc.pairs(v.select(F.lit(0).alias("g"), "id", F.concat("v", F.array(F.col("g").cast("double"))).alias("v")), lambda a, b: F.struct(vc.euclidean(F.slice(a, 1, F.size(a) - 1), F.slice(b, 1, F.size(b) - 1)).alias("d"), (F.element_at(a, -1) == F.element_at(b, -1)).alias("same")), None)
-    return p.agg(F.round(F.avg(F.when(F.col("d.same"), F.col("d.d"))) / F.avg(F.when(~F.col("d.same"), F.col("d.d"))), 5).alias("ratio"))
+    return _rounded(bl.fairness_ratio(_vectors(spark, sf_dir)), "ratio")
 
 
 @R.add("vendi_score")

@@ -144,3 +144,25 @@ def test_pair_scores(spark):
     assert e[3] == e[6] == (True, 1.0) and e[4] == (False, 0.0) and e[1] == (True, 1.0)
     s = {r["id"]: r["f"] for r in tx.rouge_s(df).collect()}
     assert s[1] == pytest.approx(1) and s[2] == s[3] == s[4] == 0
+
+
+def test_distance_summary(spark, points, monkeypatch):
+    monkeypatch.setattr(bl, "BLOCK", 5)
+    df = frame(spark, points)
+    got = {r["g"]: r for r in bl.distance_summary(df, "manhattan").collect()}
+    spread = {r["g"]: r["entropy"] for r in bl.distance_entropy(df, "manhattan", 6).collect()}
+    assert set(got) == {"a", "b"}
+    for g in got:
+        d = np.array([np.abs(x - y).sum() for (_, x), (_, y) in itertools.combinations(groups(points)[g], 2)])
+        r = got[g]
+        assert (r["n_pairs"], r["spread"], r["diameter"]) == (len(d), pytest.approx(d.min()), pytest.approx(d.max()))
+        assert (r["mean"], r["median"], r["variance"]) == pytest.approx((d.mean(), np.median(d), d.var()), abs=1e-8)
+        c = np.histogram(d, 6, (d.min(), d.max()))[0] / len(d)
+        assert spread[g] == pytest.approx(-(c[c > 0] * np.log(c[c > 0])).sum() / np.log(6), abs=1e-9)
+
+
+def test_equal_distances(spark):
+    df = spark.createDataFrame([("a", k, [1.0, 2.0]) for k in range(4)] + [("z", 9, [0.0, 1.0])], "g string, id long, v array<double>")
+    r = bl.distance_summary(df).collect()
+    assert [(x["g"], x["n_pairs"], x["median"], x["diameter"], x["variance"]) for x in r] == [("a", 6, 0.0, 0.0, 0.0)]
+    assert [tuple(x) for x in bl.distance_entropy(df).collect()] == [("a", 0.0)]
