@@ -203,3 +203,81 @@ def nearest_distances(a: DataFrame, b: DataFrame, by: list[str], columns: list[s
     right = b.select(*by, F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in columns])
     square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns[1:]), (F.col(columns[0]) - F.col(f"_{columns[0]}")) ** 2)
     return a.join(right, by).where(F.col("id") != F.col("_id")).groupBy(*by, "id").agg(F.sqrt(F.min(square)).alias("distance"))
+
+
+def selection_fairness(rows: DataFrame, selected: Column) -> DataFrame:
+    """rows (g, ...) to one row: the greatest difference between a group's share of the selected rows and of all rows, the least
+    ratio of both shares, the least and greatest share of the selected and their gap.  Nothing selected: all 0."""
+    g = rows.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(selected).cast("double").alias("k"))
+    total = g.agg(F.sum("n").alias("all"), F.sum("k").alias("chosen"))  # one row is broadcast
+    share, ratio = F.col("k") / F.col("chosen"), F.col("n") / F.col("all")
+    parts = g.crossJoin(F.broadcast(total)).where("chosen > 0")
+    of = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    return parts.agg(of(F.max(F.abs(share - ratio)), "parity_gap"), of(F.min(share / ratio), "least_ratio"), of(F.min(share), "least_share"), of(F.max(share), "greatest_share"), of(F.max(share) - F.min(share), "share_gap"))
+
+
+def intersections(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n, score): how many rows each combination of the values of two columns has, absent ones too; the score is half of
+    the count over an equal share, at most 1 (4 digits).  Rows without one of the values are left out.  Every value of ``a`` meets
+    every value of ``b``: the columns are axes of few values."""
+    c = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    grid = c.select(a).distinct().withColumn("_one", F.lit(1)).join(c.select(b).distinct().withColumn("_one", F.lit(1)), "_one")
+    total = c.agg(F.sum("n").alias("_rows"), (F.countDistinct(a) * F.countDistinct(b)).alias("_cells"))
+    n = F.coalesce("n", F.lit(0))
+    return grid.join(c, [a, b], "left").crossJoin(F.broadcast(total)).select(a, b, n.alias("n"), F.round(F.least(n / (F.col("_rows") / F.col("_cells")), F.lit(2.0)) / 2, 4).alias("score"))
+
+
+def intersection_evenness(cells: DataFrame) -> DataFrame:
+    """One row: the entropy of the counts of ``intersections`` over the logarithm of their number; 1 for one cell."""
+    n = F.col("n").cast("double")
+    h = F.log(F.sum(n)) - F.sum(F.when(n > 0, n * F.log(n)).otherwise(0.0)) / F.sum(n)
+    return cells.agg(F.when(F.count(F.lit(1)) > 1, h / F.log(F.count(F.lit(1)))).otherwise(1.0).alias("evenness"))
+
+
+def hypervolume_3d(points: DataFrame, by: list[str], columns: list[str], ref: tuple[float, float, float]) -> DataFrame:
+    """Dominated volume of points to be minimised: between two values of the third objective, the area of the staircase of all
+    points up to the lower one.  Points that are not better than ``ref`` in every objective, or not numbers, count nothing.  The work is the square of the points: give a front."""
+    x, y, z = columns
+    inside = points.where((F.col(x) < ref[0]) & (F.col(y) < ref[1]) & (F.col(z) < ref[2]))
+    best = inside.groupBy(*by, x, y).agg(F.min(z).alias(z))
+    levels = best.select(*by, F.col(z).alias("_z")).distinct().withColumn("_height", F.coalesce(F.lead("_z").over(Window.partitionBy(*by).orderBy("_z")), F.lit(ref[2])) - F.col("_z"))
+    slabs = levels.join(best, by).where(F.col(z) <= F.col("_z"))
+    area = hypervolume_2d(slabs, [*by, "_z", "_height"], x, y, (ref[0], ref[1]))
+    return area.groupBy(*by).agg(F.sum(F.col("hypervolume") * F.col("_height")).alias("hypervolume"))
+
+
+def latin_hypercube(spark, n: int, names: list[str], seed: int = 42) -> DataFrame:
+    """(id, names...) of n points in the unit cube, one in every n-th of each axis: an axis orders the points by a seeded hash
+    and places each inside its part by another one."""
+    out = spark.range(n).select("id")
+    of = lambda what, name: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{what}:{name}"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double")
+    for name in names:
+        place = F.row_number().over(Window.orderBy(of("order", name), "id")) - 1
+        out = out.withColumn(name, (place + of("place", name) / float(1 << 32)) / n)
+    return out
+
+
+def _places(rows: DataFrame, score: str) -> DataFrame:
+    """``_place`` from 1 in descending order of the score, ties by id: buckets between 200 quantiles are numbered by themselves,
+    behind the counts of the buckets before them."""
+    cuts = rows.agg(F.percentile_approx(score, [k / 200 for k in range(1, 200)], 10000).alias("_cuts"))  # one row is broadcast
+    b = rows.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))  # 200 rows
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(score), "id"))
+    return b.withColumn("_place", place).join(F.broadcast(before), "_b").withColumn("_place", F.col("_place") + F.col("_before")).drop("_b", "_before")
+
+
+def successive_halving(scores: DataFrame, keep: int = 2) -> DataFrame:
+    """scores (id, rung, score) to (rung, id, score, rank, survives): a rung ranks those that survived all before it, and the best
+    1 / keep of them, at least one, go on (greater is better, ties to the lesser id).  One pass for every rung."""
+    rungs = [r[0] for r in scores.select("rung").distinct().orderBy("rung").collect()]  # a few budgets
+    alive, out = scores.select("id").distinct(), None
+    for rung in rungs:
+        mine = scores.where(F.col("rung") == rung).join(alive, "id")
+        n = mine.agg(F.greatest(F.floor(F.count(F.lit(1)) / keep), F.lit(1)).alias("_most"))
+        ranked = _places(mine, "score").withColumn("rank", F.col("_place").cast("long")).crossJoin(F.broadcast(n))
+        ranked = ranked.select("rung", "id", "score", "rank", (F.col("rank") <= F.col("_most")).alias("survives"))
+        alive = ranked.where("survives").select("id")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out if out is not None else scores.select("rung", "id", "score", F.lit(0).cast("long").alias("rank"), F.lit(False).alias("survives"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from motley.operators import stats as st
 from motley.operators.results import pareto_front
-from motley.plans.common import Registry, read
+from motley.plans.common import Registry, docs, read
 
 R = Registry()
 
@@ -241,3 +241,71 @@ def generational(spark, sf_dir):
     p = _points(spark, sf_dir)
     d = st.nearest_distances(p.where("id % 2 = 1"), p.where("id % 2 = 0"), ["g"], ["x", "y"])
     return d.groupBy("g").agg(F.round(F.sqrt(F.sum(F.col("distance") * F.col("distance")) / F.count(F.lit(1))), 6).alias("gd"), F.round(F.avg("distance"), 6).alias("igd"))
+
+
+@R.add(
+    "selection_fairness",
+    """WITH g AS (SELECT source AS g, count(*)::DOUBLE AS n, count(*) FILTER (lang = 'en')::DOUBLE AS k FROM documents GROUP BY 1), s AS (SELECT k / sum(k) OVER () AS s, n / sum(n) OVER () AS r FROM g)
+    SELECT round(max(abs(s - r)), 6) AS parity_gap, round(min(s / r), 6) AS least_ratio, round(min(s), 6) AS least_share, round(max(s), 6) AS greatest_share, round(max(s) - min(s), 6) AS share_gap FROM s""",
+)
+def selection_fairness(spark, sf_dir):
+    """The English documents are the selected ones."""
+    out = st.selection_fairness(docs(spark, sf_dir).select(F.col("source").alias("g"), "lang"), F.col("lang") == "en")
+    return _rounded(out, *out.columns)
+
+
+_CELLS = "c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY ALL), cells AS (SELECT x.a, y.b, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT JOIN c ON c.a = x.a AND c.b = y.b)"
+
+
+def _cells(spark, sf_dir):
+    return st.intersections(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b")), "a", "b")
+
+
+@R.add("intersections", f"WITH {_CELLS} SELECT a, b, n, round(least(n / (sum(n) OVER () / count(*) OVER ()), 2) / 2, 4) AS score FROM cells")
+def intersections(spark, sf_dir):
+    return _cells(spark, sf_dir)
+
+
+@R.add("intersection_evenness", f"WITH {_CELLS} SELECT round((ln(sum(n)) - sum(CASE WHEN n > 0 THEN n * ln(n) ELSE 0 END) / sum(n)) / ln(count(*)), 6) AS evenness FROM cells")
+def intersection_evenness(spark, sf_dir):
+    return _rounded(st.intersection_evenness(_cells(spark, sf_dir)), "evenness")
+
+
+@R.add(
+    "hypervolume_3d",
+    """WITH p AS (SELECT p_brand AS g, p_retailprice / 2000 AS x, p_size / 50 AS y, (p_partkey % 97) / 97 AS z FROM part), b AS (SELECT g, x, y, min(z) AS z FROM p WHERE x < 1.2 AND y < 1.2 AND z < 1.2 GROUP BY ALL),
+    xs AS (SELECT g, x, coalesce(lead(x) OVER (PARTITION BY g ORDER BY x), 1.2) - x AS w FROM (SELECT DISTINCT g, x FROM b)), ys AS (SELECT g, y, coalesce(lead(y) OVER (PARTITION BY g ORDER BY y), 1.2) - y AS h FROM (SELECT DISTINCT g, y FROM b)),
+    c AS (SELECT xs.g, xs.x, ys.y, any_value(w * h) AS a, min(z) AS z FROM xs JOIN ys USING (g) JOIN b ON b.g = xs.g AND b.x <= xs.x AND b.y <= ys.y GROUP BY ALL) SELECT g, round(sum(a * (1.2 - z)), 6) AS hypervolume FROM c GROUP BY g""",
+)
+def hypervolume_3d(spark, sf_dir):
+    points = _points(spark, sf_dir).withColumn("z", F.col("id") % 97 / 97).withColumns({f"less_{c}": -F.col(c) if c != "z" else -(F.col("id") % 97 / 97) for c in "xyz"})
+    front = pareto_front(points, ["less_x", "less_y", "less_z"], ["g"])
+    return _rounded(st.hypervolume_3d(front, ["g"], ["x", "y", "z"], (1.2, 1.2, 1.2)), "hypervolume")
+
+
+def _axis(name: str) -> str:
+    of = lambda what: f"('0x' || left(md5('42:{what}:{name}:' || id), 8))::BIGINT"
+    return f"round((row_number() OVER (ORDER BY {of('order')}, id) - 1 + {of('place')} / 4294967296) / 200, 9) AS {name}"
+
+
+@R.add("latin_hypercube", f"SELECT id, {_axis('temperature')}, {_axis('top_p')}, {_axis('penalty')} FROM range(200) r(id)")
+def latin_hypercube(spark, sf_dir):
+    names = ["temperature", "top_p", "penalty"]
+    return _rounded(st.latin_hypercube(spark, 200, names), *names, digits=9)
+
+
+_RUNGS = "s AS (SELECT user_id AS id, month(ts)::BIGINT % 3 AS rung, round(sum(value), 4) AS score FROM events GROUP BY ALL)"
+
+
+def _halving_sql() -> str:
+    out, alive = [], "SELECT DISTINCT id FROM s"
+    for k in range(3):
+        out.append(f"m{k} AS (SELECT s.rung, s.id, s.score, row_number() OVER (ORDER BY s.score DESC, s.id) AS rank, row_number() OVER (ORDER BY s.score DESC, s.id) <= greatest(floor(count(*) OVER () / 2), 1) AS survives FROM s JOIN ({alive}) a ON a.id = s.id WHERE s.rung = (SELECT DISTINCT rung FROM s ORDER BY rung LIMIT 1 OFFSET {k}))")
+        alive = f"SELECT id FROM m{k} WHERE survives"
+    return f"WITH {_RUNGS}, {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(3))
+
+
+@R.add("successive_halving", _halving_sql())
+def successive_halving(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), (F.month("ts").cast("long") % 3).alias("rung")).agg(F.round(F.sum("value"), 4).alias("score"))
+    return st.successive_halving(e)
