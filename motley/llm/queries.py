@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motley.llm import chat, fingerprints, html, linededup, mixing, neardup, packing, pii, quality, tokens
+from motley.llm import centroids, chat, fim, fingerprints, html, linededup, mixing, neardup, packing, pii, quality, tokens, urls
 from motley.llm.shared import table
 
 
@@ -52,5 +53,18 @@ def op10_pii(spark, sf_dir):
     return pii.find(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing, op7_mix_sources, op8_fingerprints, op9_line_dedup, op10_pii)}
-ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE, "op9_line_dedup": linededup.ORACLE}
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.cluster(spark.read.parquet(table(sf_dir, "embeddings")))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    done = fim.restore(fim.transform(_documents(spark, sf_dir).select("doc_id", "text")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_url_filter(spark, sf_dir):
+    return urls.judge(spark.read.parquet(table(sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_html_extract, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_best_fit_packing, op7_mix_sources, op8_fingerprints, op9_line_dedup, op10_pii, op11_centroid_clustering, op12_fill_in_middle, op13_url_filter)}
+ORACLES: dict[str, str] = {"op7_mix_sources": mixing.ORACLE, "op9_line_dedup": linededup.ORACLE, "op11_centroid_clustering": centroids.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_url_filter": urls.ORACLE}
