@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motley.session import checkpoints
+from motley.session import kept
 
 #: Rows of a block, and how many of them that are compared at a time.
 BLOCK = 512
@@ -31,7 +31,7 @@ def blocked(left: DataFrame, right: DataFrame, kernel, schema: str, block: int |
     b = fresh(own(right, "_ny").select("g", "id", "v", every("_nx").alias("_x"), F.col("_own").alias("_y")))
     kind = a.schema["g"].dataType.simpleString()
     fields = [f.strip().split(" ", 1) for f in schema.split(",")]
-    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
 
     def matrix(t: pa.Table) -> np.ndarray:
         return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
@@ -193,7 +193,7 @@ def distance_bins(vectors: DataFrame, limits: DataFrame, distance: str = "euclid
 def distance_summary(vectors: DataFrame, distance: str = "euclidean") -> DataFrame:
     """(g, n_pairs, mean, median, spread, diameter, variance, total) over all pairs.  The two middle distances are narrowed down
     by passes of bin counts, to the 2 ** -36th part of the range."""
-    sums = distance_sums(vectors, distance).transform(_kept)
+    sums = distance_sums(vectors, distance).transform(kept)
     state = sums.select("g", *[F.array(*[F.struct(F.lit(j).cast("long").alias("span"), F.col("low").alias("low"), ((F.col("high") - F.col("low")) / BINS).alias("width"), F.col("high").alias("high"), rank.cast("long").alias("rank")) for j, rank in enumerate((F.floor((F.col("n_pairs") - 1) / 2), F.floor(F.col("n_pairs") / 2)))]).alias("s")]).select("g", F.inline("s"))
     for step in range(PASSES):
         limits = state.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("span", "low", "width", "high"))), lambda s: F.struct(s["low"].alias("low"), s["width"].alias("width"), s["high"].alias("high"))).alias("spans"))
@@ -202,7 +202,7 @@ def distance_summary(vectors: DataFrame, distance: str = "euclidean") -> DataFra
         found = distance_bins(vectors, limits, distance).withColumn("below", below).join(state, ["g", "span"]).where("below <= rank")
         # the last bin that starts at or below the rank
         best = found.groupBy("g", "span").agg(F.max_by(F.struct((F.col("low") + F.col("bin") * F.col("width")).alias("low"), F.col("width").alias("width"), (F.col("rank") - F.col("below")).alias("rank")), "bin").alias("b"))
-        state = best.select("g", "span", "b.low", (F.col("b.width") / BINS).alias("width"), (F.col("b.low") + F.col("b.width")).alias("high"), "b.rank").transform(_kept)
+        state = best.select("g", "span", "b.low", (F.col("b.width") / BINS).alias("width"), (F.col("b.low") + F.col("b.width")).alias("high"), "b.rank").transform(kept)
     # the middle of the last bin
     median = state.groupBy("g").agg(F.avg(F.col("low") + F.col("width") * BINS / 2).alias("median"))
     mean = F.col("total") / F.col("n_pairs")
@@ -236,9 +236,3 @@ def fairness_ratio(vectors: DataFrame) -> DataFrame:
 
     t = blocked(rows, rows, sums, "same double, n_same long, across double, n_across long").agg(*[F.sum(c).alias(c) for c in ("same", "n_same", "across", "n_across")])
     return t.select(F.when((F.col("n_same") > 0) & (F.col("n_across") > 0) & (F.col("across") > 0), F.col("same") / F.col("n_same") / (F.col("across") / F.col("n_across"))).alias("ratio"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """A few numbers for each group, kept so that the next pass does not compare all pairs again for them."""
-    checkpoints(df.sparkSession)
-    return df.checkpoint()

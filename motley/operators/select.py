@@ -1,12 +1,8 @@
 """Diverse subset selection.
 
-Kernels are numpy over one bounded candidate set.  ``select`` runs one per
-group.  Of a group above ``bound`` rows, mmr and fair choose by passes over all
-rows.  For the other methods it is first cut down: salted parts each keep their
-farthest-point coreset (as many rows as the bound allows for all parts
-together).  That preserves max-min spread up to a constant factor and gives dpp,
-facility, max_sum and k_medoids no guarantee: they need all pairs, and their
-results on such groups are those of the coreset.
+Kernels are numpy over one bounded candidate set.  ``select`` runs one per group
+up to ``bound`` rows; in larger groups ``greedy`` makes the same choices by
+passes over all rows.  Nothing is left out at any size.
 """
 
 from __future__ import annotations
@@ -19,14 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motley.operators.vectors import dot, euclidean
+from motley.operators import blocks, greedy
 
 BOUND = 4000
 
 
 def distances(x: np.ndarray) -> np.ndarray:
     square = (x * x).sum(1)
-    return np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
+    d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 0)
+    return d
 
 
 def farthest_point(x: np.ndarray, k: int, start: int = 0) -> list[int]:
@@ -112,6 +110,7 @@ def max_sum(x: np.ndarray, k: int) -> list[int]:
 
 
 def k_medoids(x: np.ndarray, k: int) -> list[int]:
+    """Greedy medoids, then the best swap while one lowers the sum of distances."""
     d = distances(x)
     chosen = [int(d.sum(0).argmin())]
     while len(chosen) < min(k, len(x)):
@@ -119,17 +118,18 @@ def k_medoids(x: np.ndarray, k: int) -> list[int]:
         gain = np.maximum(near[:, None] - d, 0).sum(0)
         gain[chosen] = -1
         chosen.append(int(gain.argmax()))
-    improved = True
-    while improved:
-        improved, cost = False, d[:, chosen].min(1).sum()
-        for slot in range(len(chosen)):
-            rest = chosen[:slot] + chosen[slot + 1 :]
-            base = d[:, rest].min(1) if rest else np.full(len(d), np.inf)
-            costs = np.minimum(base[:, None], d).sum(0)
-            costs[rest] = np.inf
-            swap = int(costs.argmin())
-            if costs[swap] < cost - 1e-12:
-                chosen[slot], cost, improved = swap, costs[swap], True
+    for _ in range(len(x) * k):
+        inside = d[:, chosen]
+        place, first = inside.argmin(1), inside.min(1)
+        second = np.partition(inside, 1, axis=1)[:, 1] if len(chosen) > 1 else np.full(len(d), np.inf)
+        common = np.minimum(d - first[:, None], 0)
+        moved = np.minimum(d, second[:, None]) - first[:, None] - common
+        change = common.sum(0)[None, :] + (place[None, :] == np.arange(len(chosen))[:, None]).astype(float) @ moved
+        change[:, chosen] = np.inf
+        slot, swap = np.unravel_index(change.argmin(), change.shape)
+        if -change[slot, swap] <= greedy.ROOM * max(1.0, first.sum()):
+            break
+        chosen[slot] = int(swap)
     return chosen
 
 
@@ -214,8 +214,6 @@ def certified(x: np.ndarray, k: int, exact_up_to: int = 24) -> tuple[list[int],
 
 
 METHODS = ("farthest", "mmr", "dpp", "facility", "max_sum", "k_medoids", "fair")
-#: Methods that run over all rows of a group above the bound; the others see a coreset of it.
-STEPWISE = ("mmr", "fair")
 
 
 def run(method: str, x: np.ndarray, k: int, relevance: np.ndarray, labels: np.ndarray) -> list[int]:
@@ -237,53 +235,8 @@ def run(method: str, x: np.ndarray, k: int, relevance: np.ndarray, labels: np.nd
     raise ValueError(f"unknown method {method!r}; one of {METHODS}")
 
 
-def coreset(vectors: DataFrame, keep: int, bound: int = BOUND) -> DataFrame:
-    """Groups above ``bound`` rows cut down to about ``bound``, the others whole."""
-    sizes = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / bound).cast("long"))
-    salted = vectors.join(sizes, "g").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_parts")))
-    shape = T.StructType([*vectors.schema.fields])
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, parts = pdf.sort_values("id").reset_index(drop=True), int(pdf["_parts"].iloc[0])
-        if parts > 1:
-            pdf = pdf.iloc[sorted(farthest_point(np.array(pdf["v"].tolist()), max(keep, bound // parts)))]
-        return pdf[shape.names]
-
-    return salted.groupBy("g", "_salt").applyInPandas(cut, shape)
-
-
-def _quota_plan(vectors: DataFrame, k: int) -> dict:
-    """By group, the label that each step takes from, as ``fair`` does; steps after the last may take any."""
-    counts: dict = {}
-    for r in vectors.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault(r["g"], {})[r["label"]] = r["n"]
-    return {g: [label for label in sorted(n) for _ in range(min(k // len(n), n[label]))][:k] for g, n in counts.items()}
-
-
-def stepwise(vectors: DataFrame, k: int, method: str, trade: float = 0.5) -> list:
-    """Rows (g, id, step) as ``mmr`` and ``fair`` choose them over all rows of every group: a pass over the rows for each
-    step, with the rows chosen before broadcast."""
-    spark, fields = vectors.sparkSession, vectors.schema
-    chosen: dict = {r["g"]: [] for r in vectors.select("g").distinct().collect()}
-    plan = _quota_plan(vectors, k) if method == "fair" else {}
-    shape = T.StructType([fields["g"], T.StructField("_ids", T.ArrayType(fields["id"].dataType)), T.StructField("_taken", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("_want", fields["label"].dataType)])
-    length = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    for step in range(k):
-        now = [(g, [r["id"] for r in rows], [r["v"] for r in rows], plan[g][step] if step < len(plan.get(g, [])) else None) for g, rows in chosen.items()]
-        open_ = vectors.join(F.broadcast(spark.createDataFrame(now, shape)), "g").where(~F.array_contains("_ids", F.col("id")) & (F.col("_want").isNull() | (F.col("label") == F.col("_want"))))
-        if method == "mmr":
-            close = F.array_max(F.transform("_taken", lambda w: dot(F.col("v"), w) / (length(F.col("v")) * length(w))))
-            gain = trade * F.col("relevance") - (1 - trade) * F.coalesce(close, F.lit(0.0))
-        else:
-            gain = F.coalesce(F.array_min(F.transform("_taken", lambda w: euclidean(F.col("v"), w))), F.lit(0.0))
-        best = open_.groupBy("g").agg(F.min_by(F.struct("id", "v"), F.struct(-gain, F.col("id"))).alias("best"))
-        for r in best.collect():
-            chosen[r["g"]].append(r["best"])
-    return [(g, r["id"], step) for g, rows in chosen.items() for step, r in enumerate(rows)]
-
-
 def select(vectors: DataFrame, k: int, method: str = "farthest", bound: int = BOUND) -> DataFrame:
-    """(g, id, step): k rows of every group in the order chosen.  Optional columns: relevance double, label."""
+    """(g, id, step): k rows of every group in the order chosen; ids are unique in a group.  Optional columns: relevance double, label."""
     columns = vectors.columns
     full = vectors.withColumn("relevance", F.col("relevance") if "relevance" in columns else F.lit(0.0)).withColumn("label", F.col("label") if "label" in columns else F.lit(0))
     shape = T.StructType([vectors.schema["g"], vectors.schema["id"], T.StructField("step", T.LongType())])
@@ -293,14 +246,12 @@ def select(vectors: DataFrame, k: int, method: str = "farthest", bound: int = BO
         found = run(method, np.array(pdf["v"].tolist(), dtype=float), k, pdf["relevance"].to_numpy(float), pdf["label"].to_numpy())
         return pdf.iloc[found][["g", "id"]].assign(step=np.arange(len(found), dtype="int64"))
 
-    if method in STEPWISE:
-        large = full.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select("g").collect()
-        if large:
-            of = F.broadcast(vectors.sparkSession.createDataFrame(large, T.StructType([vectors.schema["g"]])))
-            found = vectors.sparkSession.createDataFrame(stepwise(full.join(of, "g", "left_semi"), k, method), shape)
-            return full.join(of, "g", "left_anti").groupBy("g").applyInPandas(choose, shape).union(found)
+    sizes = full.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    large = blocks.kept(sizes.where(F.col("_n") > bound).select("g"))
+    if large.isEmpty():
         return full.groupBy("g").applyInPandas(choose, shape)
-    return coreset(full, k, bound).groupBy("g").applyInPandas(choose, shape)
+    found = greedy.METHODS[method](full.join(large, "g", "left_semi"), k)
+    return full.join(large, "g", "left_anti").groupBy("g").applyInPandas(choose, shape).union(found)
 
 
 def random_sample(rows: DataFrame, k: int, seed: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_ROWS = 1000
@@ -36,6 +37,15 @@ def checkpoints(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the checkpoint folder: the next pass does not make it again, and neither lineage
+    nor what the optimizer has inferred about the columns grows with the passes (checkpoint() keeps the latter)."""
+    spark = df.sparkSession
+    path = f"{checkpoints(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per context, for clusters where only the driver can import it.
 

@@ -171,14 +171,6 @@ def test_certified_is_exact_on_small_sets():
     assert bound >= value_ == pytest.approx(spread(big, chosen)) and value_ >= spread(big, select.farthest_point(big, 6)) - 1e-12
 
 
-def test_coreset_selection_holds_spread(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(600, 4))
-    df = spark.createDataFrame([("g", k, [float(a) for a in v]) for k, v in enumerate(x)], "g string, id long, v array<double>")
-    found = [r["id"] for r in select.select(df, 8, bound=100).collect()]
-    assert len(set(found)) == 8 and spread(x, found) >= 0.5 * spread(x, select.farthest_point(x, 8))
-
-
 def test_series(spark):
     v = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
     df = spark.createDataFrame([("a", k, x) for k, x in enumerate(v)], "g string, t long, v double")
