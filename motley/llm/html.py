@@ -98,8 +98,24 @@ def _marks(tag: str, rest: str) -> tuple[int, int, int]:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with the marks of the elements around them."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # tag, number, bad, good, header
+    # tag, number, bad, good, header, place of the nearest element that is not inline
+    stack: list[tuple[str, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0)]
+    places: dict[str, list[int]] = {}  # of open elements by tag
     number, links, fresh, at = 0, 0, True, 0
+
+    def last(tags) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(place: int) -> bool:
+        """Closes the element at ``place`` and all inside it; whether a link was among them."""
+        linked = False
+        while len(stack) > place:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            linked |= tag == "a"
+        return linked
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -107,8 +123,8 @@ def blocks(page: str) -> list[Block]:
         if text is not None:
             if text.strip():
                 if fresh:
-                    home = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in _INLINE)
-                    around = next((k for k in range(home - 1, -1, -1) if stack[k][0] not in _INLINE), 0)
+                    home = stack[-1][5]
+                    around = stack[home - 1][5] if home else 0
                     out.append(Block(stack[home][0], stack[around][1], stack[-1][2], stack[-1][3], stack[-1][4]))
                     fresh = False
                 if links:
@@ -119,19 +135,16 @@ def blocks(page: str) -> list[Block]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
-        if tag not in _INLINE:
-            fresh = True
-        elif tag == "br" and not fresh:
+        if tag == "br" and not fresh:
             out[-1].parts.append(" ")
+        elif tag not in _INLINE and tag not in _RAW:  # a raw element is left out of the block around it
+            fresh = True
         if m["close"]:
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE and (tag in _INLINE or tag == "p"):
-                    break
+            place = last((tag,))
+            if place and (place >= stack[-1][5] or not (tag in _INLINE or tag == "p")):
+                close(place)
             continue
         if tag in _RAW and not m["rest"].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -141,27 +154,20 @@ def blocks(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    links = 0 if any(x[0] == "a" for x in stack[k:]) else links
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
+            place = last(("p",))
+            if place and place >= stack[-1][5] and close(place):
+                links = 0
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            twins = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in twins:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "tr", "menu", "div", "section", "article", "select"):
-                    break
+            place = last({"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,)))
+            if place > last(("ul", "ol", "dl", "table", "menu", "div", "section", "article", "select") if tag == "tr" else ("ul", "ol", "dl", "table", "tr", "menu", "div", "section", "article", "select")):
+                close(place)
         links += tag == "a"
         number += 1
         bad, good, header = _marks(tag, m["rest"])
-        _, _, was_bad, was_good, was_header = stack[-1]
+        _, _, was_bad, was_good, was_header, home = stack[-1]
         inside = 0 if bad & (SURE | TAGGED) and tag not in ("article", "main") else was_good | good
-        stack.append((tag, number, was_bad | bad, inside, was_header | header))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, number, was_bad | bad, inside, was_header | header, home if tag in _INLINE else len(stack)))
     return out
 
 

@@ -1,5 +1,6 @@
 """HTML extraction on hand-written pages, role repair against all repairs."""
 
+import time
 from itertools import product
 
 import pytest
@@ -94,6 +95,18 @@ def test_long_pages_take_linear_time():
     assert text.count("\n") >= 49_999 and time.perf_counter() - began < 60
 
 
+@pytest.mark.parametrize("raw", ["<math><mi>x</mi></math>", "<svg><text>no</text></svg>", "<script>var a = '</p>'</script>", "<iframe src=x>no</iframe>", "<select><option>no</select>"])
+def test_a_raw_element_does_not_end_its_paragraph(raw):
+    assert html.main_text(f"<article><h1>A title</h1><p>The formula {raw} matters in this long enough sentence of prose.</p></article>") == "A title\nThe formula matters in this long enough sentence of prose."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</section>" * 60_000, "<b>x" * 100_000, "<a><div>" + "<b>" * 60_000 + "</a>" * 60_000 + "x", "<ul>" + "<li><i>x" * 60_000])
+def test_nested_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.blocks(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_pages_query(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = html.extract(pages).collect()
