@@ -11,13 +11,14 @@ from motley.plans.text import T, _texts, count_sql
 
 R = Registry()
 
-#: Each benchmark item against the document with the same number.
-PAIRS = "pairs AS (SELECT item_id AS id, b.text AS text, d.text AS reference FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
+#: Every document as the reference of a benchmark item; items are numbered from 0.
+PAIRS = "pairs AS (SELECT doc_id AS id, b.text AS text, d.text AS reference FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 
 
 def _pairs(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").select("item_id", "text")
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("reference"))
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").join(d, "id")
+    return d.join(items, F.col("item_id") == F.col("id") % max(items.count(), 1)).select("id", "text", "reference")
 
 
 def _rounded(df, *columns, digits=6):
@@ -37,7 +38,7 @@ for _n in (1, 2):
     R.add(
         f"rouge_{_n}",
         f"""WITH {PAIRS}, h AS {_side("text", _n, "h")}, r AS {_side("reference", _n, "r")}, k AS (SELECT id, sum(least(h, r)) AS k FROM h JOIN r USING (id, gram) GROUP BY id),
-        s AS (SELECT id, coalesce(k, 0) / nh AS p, coalesce(k, 0) / nr AS r FROM pairs JOIN (SELECT id, sum(h) AS nh FROM h GROUP BY id) USING (id) JOIN (SELECT id, sum(r) AS nr FROM r GROUP BY id) USING (id) LEFT JOIN k USING (id))
+        s AS (SELECT id, coalesce(k / nh, 0) AS p, coalesce(k / nr, 0) AS r FROM pairs LEFT JOIN (SELECT id, sum(h) AS nh FROM h GROUP BY id) USING (id) LEFT JOIN (SELECT id, sum(r) AS nr FROM r GROUP BY id) USING (id) LEFT JOIN k USING (id))
         SELECT id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f FROM s""",
     )(_rouge)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from motley.plans import audit, cluster, corpus, evaluate, inference, results, selection, series, stats, structure, text, texteval, vectors
+from motley.plans import audit, cluster, corpus, evaluate, inference, language, results, selection, series, stats, structure, text, texteval, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (text, corpus, results, stats, series, vectors, selection, evaluate, audit, cluster, inference, texteval, structure):
+for _module in (text, corpus, results, stats, series, vectors, selection, evaluate, audit, cluster, inference, texteval, structure, language):
     QUERIES.update(_module.R.queries)
     ORACLES.update(_module.R.oracles)
