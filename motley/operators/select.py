@@ -247,9 +247,10 @@ def select(vectors: DataFrame, k: int, method: str = "farthest", bound: int = BO
         return pdf.iloc[found][["g", "id"]].assign(step=np.arange(len(found), dtype="int64"))
 
     sizes = full.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
-    large = blocks.kept(sizes.where(F.col("_n") > bound).select("g"))
+    large = sizes.where(F.col("_n") > bound).select("g")
     if large.isEmpty():
         return full.groupBy("g").applyInPandas(choose, shape)
+    large = blocks.kept(large)
     found = greedy.METHODS[method](full.join(large, "g", "left_semi"), k)
     return full.join(large, "g", "left_anti").groupBy("g").applyInPandas(choose, shape).union(found)
 
