@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motley.session import kept
+
 
 def average_rank(value: Column, by: list[str], descending: bool = False) -> Column:
     """1-based rank with ties averaged."""
@@ -17,9 +21,53 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
 
 
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by equal keys, nulls being equal; the columns of ``b`` without its keys follow."""
+    b = b.select(*[F.col(c).alias(f"_of_{c}") if c in keys else F.col(c) for c in b.columns])
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return a.join(b, met, how).drop(*[f"_of_{k}" for k in keys])
+
+
+def in_ranges(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` as a table with ``_part``, the ranges of (by, order) that they were dealt out to: no group is one task."""
+    return rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()).transform(kept)
+
+
+def before_part(parts: DataFrame, by: list[str], total: str) -> DataFrame:
+    """Adds ``_before`` and ``_all``: the sum of ``total`` in earlier ranges of the group, and in all of them."""
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ahead = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_before", F.coalesce(F.sum(total).over(ahead), F.lit(0))).withColumn("_all", F.sum(total).over(every))
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], count: Column) -> DataFrame:
+    """Adds ``_below``, the sum of ``count`` over the rows of the group before a row in ``order`` (which leaves no ties), and
+    ``_all``, that over the group.  Ranges are summed apart; only their totals meet."""
+    rows = in_ranges(rows.withColumn("_count", count.cast("long")), by, order)
+    keys = [*by, "_part"]
+    parts = before_part(rows.groupBy(*keys).agg(F.sum("_count").alias("_total")), by, "_total").drop("_total")
+    inside = F.sum("_count").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_count")
+    return same_keys(rows.withColumn("_inside", inside), parts, keys).withColumn("_below", F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside", "_count")
+
+
+def ranked_values(counts: DataFrame, by: list[str], value: str, count: Column) -> DataFrame:
+    """counts (by, value, ...), one row a value, with ``_rank`` (1-based, ties averaged, ``count`` rows a value) and ``_all``."""
+    return running_sums(counts, by, [value], count).withColumn("_rank", F.col("_below") + (count + 1) / 2).drop("_below")
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    ranked = rows.withColumn("_x", average_rank(F.col(x), by)).withColumn("_y", average_rank(F.col(y), by))
-    return ranked.groupBy(*by).agg(safe_corr(F.col("_x"), F.col("_y")).alias("rho"))
+    """Correlation of the average ranks.  Values are counted before they are ranked, so a group is not sorted as one."""
+    cells = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_c")).transform(kept)
+
+    def ranks(c: str, name: str) -> DataFrame:
+        ranked = ranked_values(cells.groupBy(*by, c).agg(F.sum("_c").alias("_n")), by, c, F.col("_n"))
+        return ranked.select(*by, c, (F.col("_rank") - (F.col("_all") + 1) / 2).alias(name))  # 0 is the mean
+
+    both = same_keys(same_keys(cells, ranks("_x", "_dx"), [*by, "_x"]), ranks("_y", "_dy"), [*by, "_y"])
+    total = lambda a, b: F.sum(F.col("_c") * F.col(a) * F.col(b))
+    sums = both.groupBy(*by).agg(total("_dx", "_dy").alias("_xy"), total("_dx", "_dx").alias("_xx"), total("_dy", "_dy").alias("_yy"))
+    spread = F.sqrt("_xx") * F.sqrt("_yy")
+    return sums.select(*by, F.when(spread > 0, F.col("_xy") / spread).otherwise(0.0).alias("rho"))
 
 
 def partial_correlation(rows: DataFrame, x: str, y: str, z: str, by: list[str]) -> DataFrame:
@@ -44,30 +92,35 @@ def kendall_tau_b(long: DataFrame, item: str, metric: str, value: str) -> DataFr
 def corrected_p(tests: DataFrame, p: str = "p", key: str = "id") -> DataFrame:
     """Bonferroni, Holm, Benjamini-Hochberg and Benjamini-Yekutieli p-values over all rows of a table of tests.
 
-    Tables of tests are small; the windows run over them whole.
+    Rows are ranked in ranges of (p, key); the running greatest and least values come from those of the ranges before and behind.
     """
-    order = Window.orderBy(p, key)
-    n, rank = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))), F.row_number().over(order)
-    t = tests.withColumn("_n", n).withColumn("_r", rank)
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k)
-    step = F.col(p) * F.col("_n") / F.col("_r")
-    down, up = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    one = F.lit(1.0)
-    return t.select(
-        key, F.least(F.col(p) * F.col("_n"), one).alias("bonferroni"), F.least(F.max(F.col(p) * (F.col("_n") - F.col("_r") + 1)).over(down), one).alias("holm"),
-        F.least(F.min(step).over(up), one).alias("bh"), F.least(F.min(step * harmonic).over(up), one).alias("by"),
-    )
+    order, one = [p, key], F.lit(1.0)
+    t = running_sums(tests.select(key, p), [], order, F.lit(1)).withColumn("_r", F.col("_below") + 1).withColumn("_n", F.col("_all"))
+    t = t.withColumn("_down", F.col(p) * (F.col("_n") - F.col("_r") + 1)).withColumn("_up", F.col(p) * F.col("_n") / F.col("_r"))
+    t = in_ranges(t.select(key, p, "_r", "_n", "_down", "_up"), [], order)
+    parts, every = t.groupBy("_part").agg(F.max("_down").alias("_high"), F.min("_up").alias("_low")), Window.partitionBy(F.lit(0)).orderBy("_part")  # a row a range
+    parts = parts.select("_part", F.max("_high").over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("_high"), F.min("_low").over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_low"))
+    harmonic = t.agg(F.sum(1 / F.col("_r")).alias("_h"))
+    inside = lambda *keys: Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    # from the other end: a frame up to the last row is summed anew for every row
+    down, up = F.max("_down").over(inside(*order)), F.min("_up").over(inside(F.desc(p), F.desc(key)))
+    near = t.withColumn("_down", down).withColumn("_up", up).join(parts, "_part").crossJoin(F.broadcast(harmonic))  # one row is broadcast
+    step = F.least("_up", "_low")
+    return near.select(key, F.least(F.col(p) * F.col("_n"), one).alias("bonferroni"), F.least(F.greatest("_down", "_high"), one).alias("holm"), F.least(step, one).alias("bh"), F.least(step * F.col("_h"), one).alias("by"))
 
 
 def two_sample_effects(rows: DataFrame, by: list[str], group: str, value: str, x: str, y: str) -> DataFrame:
     """Cohen's d (pooled), Hedges' g, Glass' delta (y's deviation), Cliff's delta, CLES, rank-biserial (negative if x is larger)."""
     v = rows.where(F.col(group).isin(x, y)).select(*by, F.col(group).alias("_g"), F.col(value).alias("_v"))
-    v = v.withColumn("_rank", average_rank(F.col("_v"), by))
     is_x, is_y = F.col("_g") == x, F.col("_g") == y
     a = v.groupBy(*by).agg(
         F.count_if(is_x).alias("nx"), F.count_if(is_y).alias("ny"), F.avg(F.when(is_x, F.col("_v"))).alias("mx"), F.avg(F.when(is_y, F.col("_v"))).alias("my"),
-        F.coalesce(F.var_samp(F.when(is_x, F.col("_v"))), F.lit(0.0)).alias("vx"), F.coalesce(F.var_samp(F.when(is_y, F.col("_v"))), F.lit(0.0)).alias("vy"), F.sum(F.when(is_x, F.col("_rank"))).alias("rx"),
+        F.coalesce(F.var_samp(F.when(is_x, F.col("_v"))), F.lit(0.0)).alias("vx"), F.coalesce(F.var_samp(F.when(is_y, F.col("_v"))), F.lit(0.0)).alias("vy"),
     )
+    # the ranks of x are summed value by value
+    c = v.groupBy(*by, "_v").agg(F.count_if(is_x).alias("_cx"), F.count(F.lit(1)).alias("_c"))
+    r = ranked_values(c, by, "_v", F.col("_c")).groupBy(*by).agg(F.sum(F.col("_cx") * F.col("_rank")).alias("rx"))
+    a = same_keys(a, r, by)
     nx, ny = F.col("nx"), F.col("ny")
     df, diff = nx + ny - 2, F.col("mx") - F.col("my")
     pooled = F.sqrt(((nx - 1) * F.col("vx") + (ny - 1) * F.col("vy")) / df)
