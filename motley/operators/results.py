@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motley.operators.stats import running_sums
+
 
 def std(value: Column) -> Column:
     """Sample standard deviation; 0 of a single value."""
@@ -75,10 +77,10 @@ def metric_correlations(joined: DataFrame) -> DataFrame:
 
 
 def percentile_rank(metrics: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
-    """rank / (n - 1) * 100 in value order, ties broken by ``tie``; 100 for a single value."""
-    order = Window.partitionBy(*by).orderBy("value", *tie)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return metrics.withColumn("percentile", F.when(n > 1, (F.row_number().over(order) - 1) / (n - 1) * 100).otherwise(100.0))
+    """rank / (n - 1) * 100 in value order, ties broken by ``tie``; 100 for a single value.  A group is ranked in ranges."""
+    placed = running_sums(metrics, by, ["value", *tie], F.lit(1))
+    n = F.col("_all")
+    return placed.withColumn("percentile", F.when(n > 1, F.col("_below") / F.greatest(n - 1, F.lit(1)) * 100).otherwise(100.0)).drop("_all", "_below")
 
 
 def rank_algorithms(joined: DataFrame, descending: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from itertools import combinations
 
 import numpy as np
@@ -331,3 +332,44 @@ def test_kernels(spark):
     assert p[1] == pytest.approx(0.7, abs=0.08) and all(abs(x) < 0.08 for x in p[2:])
     df = spark.createDataFrame([("a", k, float(x)) for k, x in enumerate(step)], "g string, t long, v double")
     assert [r["change"] for r in kernels.per_series(df, kernels.segments, "change").collect()] == [30.0]
+
+
+def test_ranks_take_no_group_as_one(spark):
+    from motley.operators import results, stats
+
+    r = random.Random(8)
+    rows = [(r.choice("ab"), i, float(r.randint(0, 9)), float(r.randint(0, 30)), r.choice("xy")) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id long, value double, v double, s string").cache()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x["g"]: x["rho"] for x in stats.spearman(df, "value", "v", ["g"]).collect()}
+        effects = {x["g"]: x["cles"] for x in stats.two_sample_effects(df, ["g"], "s", "v", "x", "y").collect()}
+        percentile = stats.running_sums(df, ["g"], ["value", "id"], F.lit(1))
+        assert "Window [count" not in results.percentile_rank(df, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
+        found = {x["id"]: x["percentile"] for x in results.percentile_rank(df, ["g"], ["id"]).collect()}
+        p = {x["id"]: x for x in stats.corrected_p(df.select("id", (F.col("v") / 40).alias("p"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert percentile.count() == 400
+
+    def ranks(values):
+        return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+    for g in "ab":
+        mine = [x for x in rows if x[0] == g]
+        x, y = ranks([m[2] for m in mine]), ranks([m[3] for m in mine])
+        mx = (len(mine) + 1) / 2
+        dot = lambda a, b: sum((p - mx) * (q - mx) for p, q in zip(a, b))
+        assert got[g] == pytest.approx(dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5)
+        first, second = [m[3] for m in mine if m[4] == "x"], [m[3] for m in mine if m[4] == "y"]
+        assert effects[g] == pytest.approx(sum((a > b) + (a == b) / 2 for a in first for b in second) / len(first) / len(second))
+        for place, m in enumerate(sorted(mine, key=lambda m: (m[2], m[1]))):
+            assert found[m[1]] == pytest.approx(place / (len(mine) - 1) * 100)
+    order = sorted(rows, key=lambda m: (m[3], m[1]))
+    n, h, high, low = len(order), sum(1 / k for k in range(1, len(order) + 1)), 0.0, 1e9
+    for k, m in enumerate(order, 1):
+        high = max(high, m[3] / 40 * (n - k + 1))
+        assert p[m[1]]["holm"] == pytest.approx(min(high, 1))
+    for k, m in reversed(list(enumerate(order, 1))):
+        low = min(low, m[3] / 40 * n / k)
+        assert (p[m[1]]["bh"], p[m[1]]["by"]) == pytest.approx((min(low, 1), min(low * h, 1)))
