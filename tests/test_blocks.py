@@ -171,6 +171,23 @@ def test_reference_metrics_move_no_grams(spark, monkeypatch):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bl, "SETS", 7)
+    monkeypatch.setattr(bl, "COLUMNS", 3)
+    r = random.Random(2)
+    sets = {i: sorted({min(int(r.expovariate(0.05)), 90) for _ in range(r.randint(0, 30))}) for i in range(60)}
+    df = spark.createDataFrame([("g", i, s, 1 + i % 3) for i, s in sets.items()], "g string, id long, v array<long>, weight int")
+    likeness = lambda a, b: len({*a} & {*b}) / max(len({*a} | {*b}), 1)
+    past = bl.greatest_jaccard(df, df, past=True)
+    assert {x["id"]: x["best"] for x in past.collect()} == pytest.approx({i: max((likeness(s, sets[j]) for j in range(i)), default=0) for i, s in sets.items()})
+    known = df.where("id < 9")
+    assert {x["id"]: x["best"] for x in bl.greatest_jaccard(df, known).collect()} == pytest.approx({i: max(likeness(s, sets[j]) for j in range(9)) for i, s in sets.items()})
+    want = sum(likeness(sets[i], sets[j]) * (1 + i % 3) * (1 + j % 3) for i, j in itertools.combinations(sets, 2))
+    assert bl.jaccard_sums(df).first()["alike"] == pytest.approx(want)
+    one = (np.arange(5000) % 700, np.full(50, 100))
+    assert (bl.shared_members(one, one) == [[len({*one[0][a : a + 100]} & {*one[0][b : b + 100]}) for b in range(0, 5000, 100)] for a in range(0, 5000, 100)]).all()
+
+
 def test_distance_summary(spark, points, monkeypatch):
     monkeypatch.setattr(bl, "BLOCK", 5)
     df = frame(spark, points)
