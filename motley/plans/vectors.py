@@ -62,13 +62,12 @@ def distance_entropy(spark, sf_dir):
 
 @R.add("nearest_neighbours", f"WITH {VECTORS}, n AS (SELECT a.g, a.id, b.id AS neighbour, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY round(d, 9), neighbour) AS rank FROM n) SELECT g, id, neighbour, round(d, 5) AS d, rank FROM r WHERE rank <= 3")
 def neighbours(spark, sf_dir):
-    return _rounded(vc.neighbours(_vectors(spark, sf_dir), 3), "d")
+    return _rounded(bl.nearest_rows(_vectors(spark, sf_dir), 3), "d")
 
 
 @R.add("certified_upper_bound", f"WITH {VECTORS}, {pairs_sql('list_distance(a.v, b.v)')}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d DESC, a, b) AS r FROM pairs) SELECT g, round(sum(d), 4) AS sum_bound, round(min(d), 5) AS spread_bound FROM r WHERE r <= 10 GROUP BY g")
 def upper_bound(spark, sf_dir):
-    order = Window.partitionBy("g").orderBy(F.desc("d"), "a", "b")
-    top = vc.pairs(_vectors(spark, sf_dir)).withColumn("_r", F.row_number().over(order)).where("_r <= 10")
+    top = bl.furthest_pairs(_vectors(spark, sf_dir), 10)
     return top.groupBy("g").agg(F.round(F.sum("d"), 4).alias("sum_bound"), F.round(F.min("d"), 5).alias("spread_bound"))
 
 

@@ -188,6 +188,18 @@ def test_sets_are_compared_in_blocks(spark, monkeypatch):
     assert (bl.shared_members(one, one) == [[len({*one[0][a : a + 100]} & {*one[0][b : b + 100]}) for b in range(0, 5000, 100)] for a in range(0, 5000, 100)]).all()
 
 
+def test_nearest_and_furthest_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bl, "WIDE", 20)
+    gen = np.random.default_rng(6)
+    v = np.vstack([gen.normal(size=(70, 5)), np.tile(gen.normal(size=5), (9, 1)), 1e3 + gen.normal(size=(20, 5)) / 1e3])
+    df = spark.createDataFrame([("g", i, x.tolist()) for i, x in enumerate(v)] + [("one", 500, [0.0] * 5)], "g string, id long, v array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    want = {(i, int(j), r + 1) for i in range(len(v)) for r, j in enumerate([j for j in np.lexsort((np.arange(len(v)), np.round(d[i], 9))) if j != i][:3])}
+    assert {(x["id"], x["neighbour"], x["rank"]) for x in bl.nearest_rows(df, 3).collect()} == want
+    pairs = sorted(itertools.combinations(range(len(v)), 2), key=lambda p: (-d[p], p))[:10]
+    assert sorted((x["a"], x["b"]) for x in bl.furthest_pairs(df, 10).collect()) == sorted(pairs)
+
+
 def test_distance_summary(spark, points, monkeypatch):
     monkeypatch.setattr(bl, "BLOCK", 5)
     df = frame(spark, points)
