@@ -73,7 +73,7 @@ def upper_bound(spark, sf_dir):
 
 @R.add("threshold_dedup_edges", f"WITH {VECTORS}, {pairs_sql('list_cosine_similarity(a.v, b.v)')} SELECT g, a, b, round(d, 5) AS similarity FROM pairs WHERE d >= 0.3")
 def dedup_edges(spark, sf_dir):
-    return vc.pairs(_vectors(spark, sf_dir), vc.cosine).where("d >= 0.3").select("g", "a", "b", F.round("d", 5).alias("similarity"))
+    return _rounded(bl.alike_pairs(_vectors(spark, sf_dir), 0.3), "similarity")
 
 
 @R.add("individual_fairness", f"WITH {VECTORS}, p AS (SELECT list_distance(a.v, b.v) AS d, a.g = b.g AS same FROM v a JOIN v b ON a.id < b.id) SELECT round(avg(d) FILTER (same) / avg(d) FILTER (NOT same), 5) AS ratio FROM p")
