@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Quantiles of the normal distribution (two-sided 95 %, power 80 %) and of the studentised range
 #: over the square root of two at 5 % for 2 to 10 systems.
@@ -250,16 +255,82 @@ def knee_point(front: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return best.select(*by, (-F.col("best.k")).alias("id"), F.col("best._d").alias("distance"))
 
 
-def dominance_ranks(points: DataFrame, by: list[str], objectives: list[str]) -> DataFrame:
-    """(by, id, rank): rank 0 is the front, rank 1 the front without it, and so on; one pass for each rank, cut by checkpoint()."""
+#: Different points that a task ranks at a time.
+RANKED = 200_000
+
+
+def _in_order(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of ``values``; nan is the greatest, as in Spark, and both zeros are one."""
+    if values.dtype.kind in "iu":
+        return values.astype(np.int64)
+    bits = (values.astype(np.float64) + 0.0).view(np.int64)
+    return np.where(np.isnan(values), np.iinfo(np.int64).max, np.where(bits < 0, np.iinfo(np.int64).min - bits, bits))
+
+
+def _chained(x: np.ndarray, y: np.ndarray, tops: list[int]) -> np.ndarray:
+    """Ranks of different points, the greatest x first.  ``tops``, for each rank the greatest y of it so far, negated: no
+    point met later has a greater x, so it follows every rank whose top is at least its y."""
+    rank = np.empty(len(x), np.int64)
+    for i, v in zip(order := np.lexsort((y, x))[::-1], (~y[order]).tolist()):
+        k = bisect_right(tops, v)
+        rank[i] = k
+        tops[k : k + 1] = [v]
+    return rank
+
+
+def _ranked_pairs(points: DataFrame, by: list[str], x: str, y: str, size: int) -> DataFrame:
+    """(by, x, y, rank) of the different pairs, in ranges of the order; a group's ranges follow one another, those of many groups run at once."""
+    from motley.session import kept
+
+    pairs = kept(points.select(*by, x, y).distinct())
+    parts = max(1, math.ceil(pairs.count() / size))
+    placed = kept(pairs.repartitionByRange(parts, *by, F.desc(x), F.desc(y)).withColumn("_part", F.spark_partition_id()))
+    ranges = placed.select(*by, "_part").distinct()  # as many rows as groups and ranges
+    turns = kept(ranges.withColumn("_turn", F.row_number().over(Window.partitionBy(*by).orderBy("_part"))))
+    placed = placed.join(turns, reduce(lambda a, b: a & b, [placed[c].eqNullSafe(turns[c]) for c in [*by, "_part"]])).select(*[placed[c] for c in [*by, x, y]], "_turn")
+    shape = T.StructType([*pairs.schema.fields, T.StructField("rank", T.LongType())])
+    last = turns.agg(F.max("_turn").alias("n")).first()["n"] or 0
+    tops, out = pairs.select(*by, y, F.lit(0).cast("long").alias("rank")).limit(0), None
+
+    def rank(known: pa.Table, new: pa.Table) -> pa.Table:
+        numbers = lambda t, c: _in_order(t.column(c).to_numpy())
+        if not new.num_rows:
+            return pa.table([*[pa.array([], f.type) for f in new.schema], pa.array([], pa.int64())], names=[*new.column_names, "rank"])
+        known = known.sort_by("rank")
+        return new.append_column("rank", pa.array(_chained(numbers(new, x), numbers(new, y), (~numbers(known, y)).tolist())))
+
+    for turn in range(1, last + 1):
+        # null groups meet as well: cogroup() takes nulls as equal
+        now = placed.where(F.col("_turn") == turn).select(*by, x, y)
+        found = kept(tops.groupBy(*by).cogroup(now.groupBy(*by)).applyInArrow(rank, shape))
+        out = found if out is None else out.unionByName(found)
+        if turn < last:
+            tops = kept(tops.unionByName(found.select(*by, y, "rank")).groupBy(*by, "rank").agg(F.max(y).alias(y)).select(*by, y, "rank"))
+    return out if out is not None else pairs.withColumn("rank", F.lit(0).cast("long"))
+
+
+def dominance_ranks(points: DataFrame, by: list[str], objectives: list[str], size: int = RANKED) -> DataFrame:
+    """(by, id, rank): rank 0 is the front, rank 1 the front without it, and so on.
+
+    A rank is the length of the longest chain of points above, which for two numbers comes from one sweep over the different
+    pairs, in ranges of some ``size``; other objectives take a pass for each rank, cut by checkpoint().  Points without a
+    value have rank 0."""
     from motley.operators.results import pareto_front
     from motley.session import checkpoints
 
     checkpoints(points.sparkSession)
+    kinds = {type(points.schema[c].dataType) for c in objectives}
+    if len(objectives) == 2 and kinds <= {T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType}:
+        x, y = objectives
+        missing = F.col(x).isNull() | F.col(y).isNull()
+        whole = points.select(*by, "id", x, y)
+        ranks = _ranked_pairs(whole.where(~missing), by, x, y, size).select(*[F.col(c).alias(f"_{c}") for c in [*by, x, y]], "rank")
+        met = whole.where(~missing).join(ranks, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, x, y]]))
+        return met.select(*by, "id", "rank").unionByName(whole.where(missing).select(*by, "id", F.lit(0).cast("long").alias("rank")))
     left, out, rank = points.select(*by, "id", *objectives).checkpoint(), None, 0
     while not left.isEmpty():
         front = pareto_front(left, objectives, by).select(*by, "id").withColumn("rank", F.lit(rank).cast("long")).checkpoint()
         out = front if out is None else out.unionByName(front)
-        left = left.join(front.select(*[F.col(c).alias(f"_{c}") for c in (*by, "id")]), reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in (*by, "id")]), "left_anti").checkpoint()
+        left = left.join(front.select(*[F.col(c).alias(f"_{c}") for c in (*by, "id")]), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "id")]), "left_anti").checkpoint()
         rank += 1
     return out if out is not None else points.select(*by, "id", F.lit(0).cast("long").alias("rank"))

@@ -36,6 +36,23 @@ def test_ranks_peel_fronts(spark, clouds):
             left, rank = {i: p for i, p in left.items() if i not in best}, rank + 1
 
 
+def test_ranks_of_long_chains_copies_and_null_groups(spark):
+    # a chain of 3000 ranks took a pass for each; ranges of 500 pairs hand on what they have found
+    chain = [("a", k, float(k), float(k)) for k in range(3000)] + [("a", 10_000 + k, 7.0, 7.0) for k in range(5)]
+    odd = [(None, k, float(k % 3), -0.0 if k % 2 else 0.0) for k in range(20_000, 20_012)] + [("a", 30_000, None, 1.0)]
+    df = spark.createDataFrame(chain + odd, "g string, id long, x double, y double")
+    got = {r["id"]: r["rank"] for r in nf.dominance_ranks(df, ["g"], ["x", "y"], size=500).collect()}
+    want = {i: 2999 - int(x) for _, i, x, _ in chain} | {i: 2 - int(x) for g, i, x, _ in odd if g is None} | {30_000: 0}
+    assert got == want
+
+
+def test_ranks_by_ranges_are_those_of_passes(spark, clouds):
+    rows = [(g, i, *p) for g, c in clouds.items() for i, p in c.items()]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double, z double")
+    ranks = lambda size: {(r["id"], r["rank"]) for r in nf.dominance_ranks(df, ["g"], ["x", "z"], size).collect()}
+    assert ranks(7) == ranks(10**6)
+
+
 def test_knee_and_spread(spark):
     front = spark.createDataFrame([("g", k, x, y) for k, (x, y) in enumerate([(0.0, 1.0), (0.1, 0.2), (1.0, 0.0)])], "g string, id long, x double, y double")
     assert nf.knee_point(front, ["g"], "x", "y").first()["id"] == 1
