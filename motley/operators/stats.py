@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,11 +253,124 @@ def crowding_distance(points: DataFrame, by: list[str], objectives: list[str], k
     return out.select(*by, key, F.when(n <= 2, F.lit(float("inf"))).otherwise(total).alias("crowding"))
 
 
-def nearest_distances(a: DataFrame, b: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """For each point of ``a`` the Euclidean distance to the nearest other point of ``b``; both are fronts, hence small."""
-    right = b.select(*by, F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in columns])
-    square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns[1:]), (F.col(columns[0]) - F.col(f"_{columns[0]}")) ** 2)
-    return a.join(right, by).where(F.col("id") != F.col("_id")).groupBy(*by, "id").agg(F.sqrt(F.min(square)).alias("distance"))
+#: Points of a tile, and bits of a place on the curve that deals them out.
+TILE, CURVE = 512, 52
+
+
+def _on_curve(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places on a Z-order curve: the bits of all columns by turns."""
+    place = np.zeros(len(cells), np.int64)
+    for bit in range(bits):
+        for k, column in enumerate(cells.T):
+            place |= ((column >> bit) & 1) << (bit * cells.shape[1] + k)
+    return place
+
+
+def _tiles(points: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Different points (g, columns) as tiles (g, tile, low, high, p), each at most ``size`` neighbours on a curve, packed point by point."""
+    d, kind = len(columns), points.schema["g"].dataType.simpleString()
+    bits = CURVE // d
+    box = points.groupBy("g").agg(*[f(c).alias(f"_{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))])
+    part = lambda k, c: F.when(F.col(f"_b{k}") > F.col(f"_a{k}"), (F.col(c) - F.col(f"_a{k}")) / (F.col(f"_b{k}") - F.col(f"_a{k}"))).otherwise(0.0)
+    cells = [F.floor(part(k, c) * (2**bits - 1)).cast("long").alias(f"_c{k}") for k, c in enumerate(columns)]
+    placed = points.join(box, "g").select("g", F.to_json("g").alias("name"), F.array(*columns).alias("p"), *cells)
+
+    def place(batches):
+        for b in batches:
+            at = _on_curve(np.stack([b.column(f"_c{k}").to_numpy() for k in range(d)], axis=1), bits)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("name"), pa.array(at), b.column("p")], ["g", "name", "at", "p"])
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        base, n = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("p").flatten().to_numpy().reshape(-1, d)
+            g = b.column("name").dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.append(True, np.diff(g) != 0))
+            starts = np.concatenate([np.arange(a, e, size) for a, e in zip(new, np.append(new[1:], len(g)))]).astype(np.int32)
+            lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), d).cast(pa.list_(pa.float64()))
+            packed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(g)).astype(np.int32) * d), pa.array(x.ravel()))
+            tile = pa.array(base + n + np.arange(len(starts)))
+            n += len(starts)
+            yield pa.RecordBatch.from_arrays([b.column("g").take(pa.array(starts)), tile, lists(np.minimum.reduceat(x, starts)), lists(np.maximum.reduceat(x, starts)), packed], ["g", "tile", "low", "high", "p"])
+
+    curve = placed.mapInArrow(place, f"g {kind}, name string, at long, p array<double>")
+    sorted_ = curve.repartitionByRange("name", "at").sortWithinPartitions("name", "at")
+    return sorted_.mapInArrow(cut, f"g {kind}, tile long, low array<double>, high array<double>, p array<double>")
+
+
+def _tile_distances(pairs: DataFrame, d: int) -> DataFrame:
+    """(g, tile, place, square, bound) for pairs (g, tile, p, r, bound): squares from each point of p to the nearest of r that is elsewhere, below ``bound``."""
+    kind = pairs.schema["g"].dataType.simpleString()
+
+    def near(batches):
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                x, y = (b.column(c)[k].values.to_numpy().reshape(-1, d) for c in ("p", "r"))
+                gaps = [x[:, None, j] - y[None, :, j] for j in range(d)]
+                square = gaps[0] * gaps[0]
+                for gap in gaps[1:]:
+                    square += gap * gap
+                square[np.logical_and.reduce([gap == 0 for gap in gaps])] = np.inf
+                least = square.min(axis=1)
+                some = np.flatnonzero(least < b.column("bound")[k].as_py())
+                out.append((np.full(len(some), k), some, least[some]))
+            row, at, square = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column("g").take(pa.array(row)), b.column("tile").take(pa.array(row)), pa.array(at.astype(np.int64)), pa.array(square)], ["g", "tile", "place", "square"])
+
+    return pairs.mapInArrow(near, f"g {kind}, tile long, place long, square double")
+
+
+def _nearest_elsewhere(a: DataFrame, b: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """(g, columns, square) of the different points ``a``: to the nearest of the different points ``b`` that is elsewhere.
+
+    Each tile of ``a`` meets the two tiles of ``b`` whose boxes are nearest, which bounds its distances, and then those
+    whose boxes lie within the bound.  Boxes meet all boxes of their group: a pair for ``size`` * ``size`` pairs of points."""
+    d = len(columns)
+    left, right = kept(_tiles(a, columns, size)), kept(_tiles(b, columns, size).withColumnsRenamed({"tile": "other", "low": "rlow", "high": "rhigh", "p": "r"}))
+    axis = lambda k: F.greatest(F.get("rlow", F.lit(k)) - F.get("high", F.lit(k)), F.get("low", F.lit(k)) - F.get("rhigh", F.lit(k)), F.lit(0.0))
+    # the sum is rounded, so a box counts as a little nearer than it is
+    gap = sum((axis(k) * axis(k) for k in range(1, d)), axis(0) * axis(0)) * (1 - 1e-12)
+    salts = F.explode(F.array(*[F.lit(k) for k in range(32)]))
+    boxes = left.drop("p").withColumn("_s", F.pmod("tile", F.lit(32)).cast("int")).join(right.drop("r").withColumn("_s", salts), ["g", "_s"]).select("g", "tile", "other", gap.alias("gap"))
+    # a single point's own place is no neighbour, so one tile may hold nothing for it: two hold at least one point elsewhere
+    nearest = boxes.groupBy("g", "tile").agg(F.min_by("other", F.struct("gap", "other")).alias("o1"))
+    second = boxes.join(nearest, ["g", "tile"]).where("other <> o1").groupBy("g", "tile").agg(F.min_by("other", F.struct("gap", "other")).alias("other"))
+    first = kept(nearest.select("g", "tile", F.col("o1").alias("other")).unionByName(second))
+    full = lambda pairs: pairs.join(left.select("g", "tile", "p"), ["g", "tile"]).join(right.select("g", "other", "r"), ["g", "other"])
+    met = kept(_tile_distances(full(first).withColumn("bound", F.lit(float("inf"))), d).groupBy("g", "tile", "place").agg(F.min("square").alias("square")))
+    sizes = left.select("g", "tile", (F.size("p") / d).alias("n"))
+    bound = sizes.join(met.groupBy("g", "tile").agg(F.max("square").alias("worst"), F.count(F.lit(1)).alias("k")), ["g", "tile"], "left")
+    bound = bound.select("g", "tile", F.when(F.col("k") == F.col("n"), F.col("worst")).otherwise(float("inf")).alias("bound"))
+    rest = boxes.join(bound, ["g", "tile"]).where("gap < bound").join(first, ["g", "tile", "other"], "left_anti").select("g", "tile", "other", "bound")
+    every = met.unionByName(_tile_distances(full(rest), d)).groupBy("g", "tile", "place").agg(F.min("square").alias("square"))
+    points = left.select("g", "tile", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("p") / d - 1).cast("int")), lambda i: F.slice("p", (i * d + 1).cast("int"), d))).alias("place", "x"))
+    return every.join(points, ["g", "tile", "place"]).select("g", *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(columns)], "square")
+
+
+def nearest_distances(a: DataFrame, b: DataFrame, by: list[str], columns: list[str], size: int = TILE) -> DataFrame:
+    """For each point of ``a`` the Euclidean distance to the nearest other point of ``b``, null where a value is missing; values are finite.
+
+    Points at one place are compared once: a place that ``b`` has under another id is at distance 0, for the others the
+    different places meet tile by tile."""
+    values = [F.col(c).cast("double").alias(c) for c in columns]
+    rows = kept(a.select(F.struct(*by).alias("g"), "id", *values))
+    others = kept(b.select(F.struct(*by).alias("g"), "id", *values))
+    known = reduce(lambda x, y: x & y, [F.col(f"g.{c}").isNotNull() for c in by])
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns])
+    ids = lambda *keys: others.where(known).groupBy(*keys).agg(F.min("id").alias("_least"), F.max("id").alias("_most"))
+    another = (F.col("_least") != F.col("id")) | (F.col("_most") != F.col("id"))
+    some = rows.join(ids("g"), "g").where(another).select("g", "id", *columns)
+    placed = kept(some.where(whole).join(ids("g", *columns), ["g", *columns], "left").select("g", "id", *columns, F.coalesce(another, F.lit(False)).alias("_met")))
+    found = _nearest_elsewhere(placed.where("NOT _met").select("g", *columns).distinct(), others.where(known & whole).select("g", *columns).distinct(), columns, size)
+    far = placed.where("NOT _met").join(found, ["g", *columns], "left").select("g", "id", F.sqrt("square").alias("distance"))
+    zero = placed.where("_met").select("g", "id", F.lit(0.0).alias("distance"))
+    none = some.where(~whole).select("g", "id", F.lit(None).cast("double").alias("distance"))
+    return far.unionByName(zero).unionByName(none).groupBy("g", "id").agg(F.min("distance").alias("distance")).select("g.*", "id", "distance")
 
 
 def selection_fairness(rows: DataFrame, selected: Column) -> DataFrame:

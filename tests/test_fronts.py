@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motley.operators import inference as nf
+from motley.operators import stats as st
 from motley.operators.results import pareto_front
 
 
@@ -53,6 +55,35 @@ def test_ranks_by_ranges_are_those_of_passes(spark, clouds):
     assert ranks(7) == ranks(10**6)
 
 
+@pytest.mark.parametrize("columns", [["x"], ["x", "y"], ["x", "y", "z"]])
+def test_nearest_points_by_tiles(spark, columns):
+    rng = np.random.default_rng(8)
+    far = [("a", k, *(1e6 + float(v) for v in rng.normal(size=3))) for k in range(1000, 1040)]
+    rows = [(g, k, *(float(v) for v in rng.integers(0, 9, 3) ** 3)) for g in "ab" for k in range(300)] + far + [("a", 1000, 0.5, 0.5, 0.5), ("c", 1, 1.0, 1.0, 1.0), ("d", 1, 1.0, 2.0, 3.0), ("d", 2, None, 1.0, 1.0), ("e", 7, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double, z double")
+    at = lambda r: [r[2 + "xyz".index(c)] for c in columns]
+    for left, right in ((rows, rows), ([r for r in rows if r[1] % 2], [r for r in rows if r[1] % 2 == 0])):
+        want = {}
+        for r in left:
+            gaps = [None if None in at(r) + at(o) else sum((p - q) ** 2 for p, q in zip(at(r), at(o))) ** 0.5 for o in right if o[0] == r[0] and o[1] != r[1]]
+            if gaps:
+                seen = [x for x in [*gaps, want.get(r[:2])] if x is not None]
+                want[r[:2]] = min(seen) if seen else None
+        a, b = (df.where("id % 2 = 1"), df.where("id % 2 = 0")) if left is not rows else (df, df)
+        found = st.nearest_distances(a, b, ["g"], columns, size=16)
+        got = {(r["g"], r["id"]): r["distance"] for r in found.collect()}
+        assert {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+        assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None}, rel=1e-12)
+
+
+def test_few_tiles_of_points_meet(spark, monkeypatch):
+    df = spark.range(40_000).select(F.lit("a").alias("g"), "id", (F.col("id") / 7).alias("x"), (F.hash("id") / 1e9).alias("y"))
+    met, near = [], st._tile_distances
+    monkeypatch.setattr(st, "_tile_distances", lambda pairs, d: met.append(pairs.count()) or near(pairs, d))
+    d = st.nearest_distances(df.where("id % 2 = 1"), df.where("id % 2 = 0"), ["g"], ["x", "y"])
+    assert d.count() == 20_000 and sum(met) < 20_000  # their pairs are 400,000,000
+
+
 def test_knee_and_spread(spark):
     front = spark.createDataFrame([("g", k, x, y) for k, (x, y) in enumerate([(0.0, 1.0), (0.1, 0.2), (1.0, 0.0)])], "g string, id long, x double, y double")
     assert nf.knee_point(front, ["g"], "x", "y").first()["id"] == 1
