@@ -7,8 +7,8 @@ dealt out.  Three kinds of passes:
 * farthest, mmr, fair, dpp and the first phase of max_sum carry a few numbers on every row (least distance, greatest
   cosine, the row's incremental Cholesky row, distances to the chosen) and read all rows once a step;
 * facility and k_medoids need sums over all rows for every candidate.  Their gains only fall, so a gain of an earlier step
-  bounds the present one: after one comparison of all pairs, a step evaluates batches of the best-bounded candidates until
-  the best gain found exceeds every bound left, which gives the plain greedy choice;
+  bounds the present one: after one comparison of all pairs, a step evaluates the best-bounded candidates and then at once
+  all whose bounds reach the best gain found, which gives the plain greedy choice;
 * swaps of max_sum read all rows once for each swap, those of k_medoids compare all pairs of a group (by blocks).
 
 State is checkpointed every ``KEEP`` passes; between, it is recomputed from the chosen rows.
@@ -16,6 +16,8 @@ State is checkpointed every ``KEEP`` passes; between, it is recomputed from the
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from motley.operators.vectors import dot, euclidean
 SALTS, KEEP = 32, 5
 #: Candidates of a group that a lazy step evaluates at a time.
 CANDIDATES = 128
+#: Rows of a block that are compared at a time.
+ROWS = 256
 #: Bounds are compared with this much room for rounding; a swap must gain more than this share of the cost.
 ROOM = 1e-9
 
@@ -122,15 +126,27 @@ def dpp(rows: DataFrame, k: int) -> DataFrame:
     return _all(_steps(state, k, F.col("left"), update, carried=("id", "v", "factor", "left"), stop=F.col("score") > 1e-12)[0], rows)
 
 
+def _square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    square = x @ y.T
+    square *= -2
+    square += (x * x).sum(1)[:, None]
+    square += (y * y).sum(1)[None, :]
+    return np.maximum(square, 0, out=square)
+
+
 def _matrix_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-    return np.sqrt(np.maximum(square, 0))
+    square = _square_distances(x, y)
+    return np.sqrt(square, out=square)
+
+
+def _slices(x: np.ndarray):
+    return (x[k : k + ROWS] for k in range(0, len(x), ROWS))
 
 
 def _distance_totals(rows: DataFrame) -> DataFrame:
     """(g, id, total): the sum of distances to all rows of the group."""
-    kernel = lambda ids, x, others, y: {"id": ids, "total": _matrix_distances(x, y).sum(1)}
-    return blocks.blocked(rows, rows, kernel, "id long, total double").groupBy("g", "id").agg(F.sum("total").alias("total"))
+    kernel = lambda ids, x, others, y: {"id": ids, "total": np.concatenate([_matrix_distances(part, y).sum(1) for part in _slices(x)])}
+    return blocks.blocked(rows, rows, kernel, "id long, total double", blocks.WIDE).groupBy("g", "id").agg(F.sum("total").alias("total"))
 
 
 def max_sum(rows: DataFrame, k: int) -> DataFrame:
@@ -163,13 +179,22 @@ def _gains(candidates: DataFrame, rows: DataFrame, similar: bool) -> DataFrame:
     """(g, id, gain): what each candidate adds to the similarities ``near`` (or takes off the distances ``near``) of all rows."""
 
     def kernel(ids, x, others, y):
-        d, near, width = _matrix_distances(x[:, :-2], y[:, :-2]), y[:, -2], y[0, -1]
-        value = np.exp(-(d * d) / (2 * width * width)) - near if similar else near - d
-        return {"id": ids, "gain": np.maximum(value, 0).sum(1)}
+        y, near, width = np.ascontiguousarray(y[:, :-2]), y[:, -2], y[0, -1]
+        gains = []
+        for part in _slices(x[:, :-2]):
+            if similar:
+                value = _square_distances(part, y)
+                value /= -2 * width * width
+                value = np.exp(value, out=value)
+                value -= near
+            else:
+                value = near - _matrix_distances(part, y)
+            gains.append(np.maximum(value, 0, out=value).sum(1))
+        return {"id": ids, "gain": np.concatenate(gains)}
 
     tailed = rows.select("g", "id", F.concat("v", F.array("near", "width")).alias("v"))
     asked = candidates.select("g", "id", F.concat("v", F.array(F.lit(0.0), F.lit(0.0))).alias("v"))
-    return blocks.blocked(asked, tailed, kernel, "id long, gain double").groupBy("g", "id").agg(F.sum("gain").alias("gain"))
+    return blocks.blocked(asked, tailed, kernel, "id long, gain double", blocks.WIDE).groupBy("g", "id").agg(F.sum("gain").alias("gain"))
 
 
 def _leaders(bounds: DataFrame) -> DataFrame:
@@ -198,12 +223,14 @@ def _lazy(rows: DataFrame, k: int, similar: bool) -> tuple[list[DataFrame], Data
                 taken = picks[0] if picks else None
                 bounds = rows.select("g", "id", "v").join(_gains(rows, rows, similar), ["g", "id"]).select("g", "id", "v", F.col("gain").alias("bound"), F.lit(step).alias("stamp"))
                 bounds = blocks.kept(bounds if taken is None else bounds.join(taken, ["g", "id"], "left_anti"))
-            while True:
+            for again in itertools.count():
                 told = bounds.groupBy("g").agg(F.max(F.when(F.col("stamp") == step, F.col("bound"))).alias("found"), F.max(F.when(F.col("stamp") < step, F.col("bound"))).alias("left"))
-                behind = blocks.kept(told.where(F.col("left").isNotNull() & (F.col("found").isNull() | (F.col("left") * (1 + ROOM) + 1e-300 >= F.col("found")))).select("g"))
+                behind = blocks.kept(told.where(F.col("left").isNotNull() & (F.col("found").isNull() | (F.col("left") * (1 + ROOM) + 1e-300 >= F.col("found")))).select("g", "found"))
                 if behind.isEmpty():
                     break
-                asked = blocks.kept(_leaders(bounds.where(F.col("stamp") < step).join(behind, "g", "left_semi")))
+                old = bounds.where(F.col("stamp") < step).join(behind, "g")
+                # the first batch finds a good gain, the second holds all whose bounds reach it: no others can be better
+                asked = blocks.kept(old.where(F.col("bound") * (1 + ROOM) + 1e-300 >= F.col("found")).drop("found") if again else _leaders(old.drop("found")))
                 known = _gains(asked, rows, similar)
                 bounds = blocks.kept(bounds.join(known, ["g", "id"], "left").select("g", "id", "v", F.coalesce("gain", "bound").alias("bound"), F.when(F.col("gain").isNotNull(), step).otherwise(F.col("stamp")).alias("stamp")))
             best = _best(bounds.where(F.col("stamp") == step), F.col("bound"), "id", "v")
@@ -227,17 +254,23 @@ def _swap_costs(rows: DataFrame, k: int) -> DataFrame:
     """(g, id, change, place): for every row the medoid whose exchange for it lowers the cost most, and by how much."""
 
     def kernel(ids, x, others, y):
-        d, (first, place, second) = _matrix_distances(x[:, :-3], y[:, :-3]), y[:, -3:].T
-        common = np.minimum(d - first, 0)
-        moved = np.minimum(d, second) - first - common
-        each = common.sum(1)[:, None] + moved @ (place[:, None] == np.arange(k)[None, :]).astype(float)
+        y, (first, place, second) = np.ascontiguousarray(y[:, :-3]), y[:, -3:].T
+        holds, each = (place[:, None] == np.arange(k)[None, :]).astype(float), []
+        for part in _slices(x[:, :-3]):
+            d = _matrix_distances(part, y)
+            common = np.minimum(d - first, 0)
+            moved = np.minimum(d, second, out=d)
+            moved -= first
+            moved -= common
+            each.append(common.sum(1)[:, None] + moved @ holds)
+        each = np.concatenate(each)
         return {"id": ids} | {f"c{j}": each[:, j] for j in range(k)}
 
     order = F.array_sort(F.transform("far", lambda x, j: F.struct(x.alias("d"), j.alias("j"))))
     tail = F.array(order[0]["d"], order[0]["j"].cast("double"), F.coalesce(F.get(order, F.lit(1))["d"], F.lit(1e300)))
     tailed = rows.select("g", "id", F.concat("v", tail).alias("v"))
     asked = rows.where("slot IS NULL").select("g", "id", F.concat("v", F.array(*[F.lit(0.0)] * 3)).alias("v"))
-    sums = blocks.blocked(asked, tailed, kernel, "id long, " + ", ".join(f"c{j} double" for j in range(k))).groupBy("g", "id").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)])
+    sums = blocks.blocked(asked, tailed, kernel, "id long, " + ", ".join(f"c{j} double" for j in range(k)), blocks.WIDE).groupBy("g", "id").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)])
     least = F.array_min(F.array(*[F.struct(F.col(f"c{j}").alias("change"), F.lit(j).alias("place")) for j in range(k)]))
     return sums.select("g", "id", least.alias("b")).select("g", "id", "b.*")
 

@@ -33,6 +33,16 @@ def test_lazy_steps_look_past_their_first_candidates(spark, method, monkeypatch)
     assert chosen(select.select(df, 3, method, bound=100)) == chosen(select.select(df, 3, method, bound=1000))
 
 
+@pytest.mark.parametrize("method", ["facility", "k_medoids"])
+def test_a_lazy_step_takes_two_batches_at_most(spark, method, monkeypatch):
+    asked, gains = [], greedy._gains
+    monkeypatch.setattr(greedy, "CANDIDATES", 2)
+    monkeypatch.setattr(greedy, "_gains", lambda *a: asked.append(1) or gains(*a))
+    df = frame(spark, {"a": (120, 3)}, 3)
+    assert chosen(select.select(df, 3, method, bound=100)) == chosen(select.select(df, 3, method, bound=1000))
+    assert len(asked) <= 1 + 2 * 2
+
+
 @pytest.mark.parametrize("method", ["farthest", "mmr", "fair", "dpp"])
 def test_thousands_of_rows_in_one_group(spark, method):
     df = frame(spark, {"a": (20_000 if method == "farthest" else select.BOUND + 200, 4)}, 5)
