@@ -11,7 +11,7 @@ dealt out.  Three kinds of passes:
   all whose bounds reach the best gain found, which gives the plain greedy choice;
 * swaps of max_sum read all rows once for each swap, those of k_medoids compare all pairs of a group (by blocks).
 
-State is checkpointed every ``KEEP`` passes; between, it is recomputed from the chosen rows.
+State is kept after every pass, so that a task of the next has one Python worker, not one for each pass since.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motley.operators import blocks
-from motley.operators.vectors import dot, euclidean
 
-SALTS, KEEP = 32, 5
+SALTS = 32
 #: Candidates of a group that a lazy step evaluates at a time.
 CANDIDATES = 128
 #: Rows of a block that are compared at a time.
@@ -34,6 +35,32 @@ ROWS = 256
 ROOM = 1e-9
 
 
+def _by_row(kernel):
+    """A function of two columns of vectors, taken row by row in Arrow batches; null where one of them is."""
+
+    def run(v: pa.Array, p: pa.Array) -> pa.Array:
+        both = np.asarray(v.is_valid()) & np.asarray(p.is_valid())
+        out, n = np.zeros(len(both)), int(both.sum())
+        if n:
+            x, y = (np.asarray(c.filter(pa.array(both)).flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) for c in (v, p))
+            out[both] = kernel(x, y)
+        return pa.array(out, pa.float64(), mask=~both)
+
+    return F.arrow_udf(run, T.DoubleType())
+
+
+def dot(v, p) -> Column:
+    return _by_row(lambda x, y: (x * y).sum(axis=1))(v, p)
+
+
+def square(v, p) -> Column:
+    return _by_row(lambda x, y: ((x - y) ** 2).sum(axis=1))(v, p)
+
+
+def euclidean(v, p) -> Column:
+    return F.sqrt(square(v, p))
+
+
 def _salted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
 
@@ -72,7 +99,7 @@ def _steps(state: DataFrame, k: int, score: Column, update: dict, carried=("id",
         picks.append(pick.select("g", "id", F.lit(step).cast("long").alias("step")))
         told = _told(state, pick, *carried)
         state = told.select(*fixed, *[c.alias(n) for n, c in update.items()], F.when(F.col("id") == F.col("_p_id"), step).otherwise(F.col("slot")).alias("slot"))
-        if step % KEEP == KEEP - 1:
+        if step < k - 1:
             state = blocks.kept(state)
     return picks, state
 
@@ -111,15 +138,14 @@ def fair(rows: DataFrame, k: int) -> DataFrame:
 
 def _with_width(rows: DataFrame) -> DataFrame:
     """Adds the width of the Gaussian kernel, the median distance of a group's pairs (1 if that is 0)."""
-    width = blocks.distance_summary(rows).select("g", F.when(F.col("median") > 0, F.col("median")).otherwise(1.0).alias("width"))
+    width = blocks.median_distance(rows).select("g", F.when(F.col("median") > 0, F.col("median")).otherwise(1.0).alias("width"))
     told = width.withColumn("_s", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     return _salted(rows).join(told, ["g", "_s"]).drop("_s")
 
 
 def dpp(rows: DataFrame, k: int) -> DataFrame:
     """Greedy MAP of a determinantal process with a Gaussian kernel: the largest conditional variance next."""
-    square = F.aggregate(F.zip_with("v", "_p_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    cell = F.exp(-square / (2 * F.col("width") * F.col("width")))
+    cell = F.exp(-square(F.col("v"), F.col("_p_v")) / (2 * F.col("width") * F.col("width")))
     entry = (cell - dot(F.col("factor"), F.col("_p_factor"))) / F.sqrt("_p_left")
     update = {"factor": F.concat("factor", F.array(entry)), "left": F.col("left") - entry * entry}
     state = _with_width(rows).withColumns({"factor": F.array().cast("array<double>"), "left": F.lit(1.0)})
@@ -168,7 +194,8 @@ def max_sum(rows: DataFrame, k: int) -> DataFrame:
         if swap.isEmpty():
             break
         told = _told(state, swap, "id", "v", "place").unionByName(state.join(swap, "g", "left_anti").withColumns({"_p_id": F.lit(None).cast(state.schema["id"].dataType), "_p_v": F.lit(None).cast("array<double>"), "_p_place": F.lit(None).cast("int")}))
-        new = F.transform("far", lambda x, j: F.when(j == F.col("_p_place"), d).otherwise(x))
+        told = told.withColumn("_d", d)
+        new = F.transform("far", lambda x, j: F.when(j == F.col("_p_place"), F.col("_d")).otherwise(x))
         slot = F.when(F.col("id") == F.col("_p_id"), F.col("_p_place")).when(F.col("slot") == F.col("_p_place"), None).otherwise(F.col("slot"))
         state = told.select("g", "id", "v", "_s", new.alias("far"), slot.alias("slot")).withColumn("total", added())
         state = blocks.kept(state)
@@ -289,9 +316,10 @@ def k_medoids(rows: DataFrame, k: int) -> DataFrame:
         swap = blocks.kept(best.join(open_.select("g", "id", "v"), ["g", "id"]).select("g", "id", "v", "place"))
         if swap.isEmpty():
             return state.where("slot IS NOT NULL").select("g", "id", F.col("slot").cast("long").alias("step"))
-        new = F.transform("far", lambda x, j: F.when(j == F.col("_p_place"), euclidean(F.col("v"), F.col("_p_v"))).otherwise(x))
+        new = F.transform("far", lambda x, j: F.when(j == F.col("_p_place"), F.col("_d")).otherwise(x))
         slot = F.when(F.col("id") == F.col("_p_id"), F.col("_p_place")).when(F.col("slot") == F.col("_p_place"), None).otherwise(F.col("slot"))
-        open_ = blocks.kept(_told(open_, swap, "id", "v", "place").select("g", "id", "v", new.alias("far"), "_s", slot.alias("slot")))
+        told = _told(open_, swap, "id", "v", "place").withColumn("_d", euclidean(F.col("v"), F.col("_p_v")))
+        open_ = blocks.kept(told.select("g", "id", "v", new.alias("far"), "_s", slot.alias("slot")))
         state = blocks.kept(state.join(swap, "g", "left_anti").unionByName(open_))
 
 

@@ -78,3 +78,18 @@ def test_groups_of_equal_rows_and_fewer_labels(spark):
     for method in select.METHODS:
         got = chosen(select.select(df, 4, method, bound=10))
         assert got == chosen(select.select(df, 4, method, bound=100)), method
+
+
+def test_the_width_needs_no_sums_over_pairs_and_blocks_grow_with_a_group(spark, monkeypatch):
+    from motley.operators import blocks
+
+    monkeypatch.setattr(blocks, "distance_sums", lambda *a: pytest.fail("all pairs met once more"))
+    df = frame(spark, {"a": (301, 5), "b": (90, 5)}, 4)
+    got = {r["g"]: r["width"] for r in greedy._with_width(df).select("g", "width").distinct().collect()}
+    for g, rows in df.toPandas().groupby("g"):
+        d = select.distances(np.array(rows["v"].tolist()))
+        assert got[g] == pytest.approx(np.median(d[np.triu_indices(len(d), 1)]), rel=1e-9)
+    pairs = lambda most: blocks.blocked(df, df, lambda ids, x, others, y: {"n": [len(x) * len(y)]}, "n long", 4, most=most).where("g = 'a'")
+    few, many = pairs(100).collect(), pairs(None).collect()
+    assert len(few) <= blocks.PARTS**2 < len(many)
+    assert sum(r["n"] for r in few) == sum(r["n"] for r in many) == 301**2
