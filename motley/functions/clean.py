@@ -176,16 +176,26 @@ def ngram_fingerprint(text: Column, n: int = 3) -> Column:
     return mod_hash(bind(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), digest))
 
 
-def simhash(text: Column) -> Column:
-    """64-bit SimHash of md5 token bits, as 16 hexadecimal digits.
-
-    Each token's last 16 hexadecimal digits are spread to one counter per bit
-    by adding arrays; the sign of a counter is the bit.
-    """
+def simhash_counters(words: Column) -> Column:
+    """For each of 64 md5 bits, the first digit's first, by how many words more have it set than not."""
     zero = F.array_repeat(F.lit(0), 64)
 
     def add(total: Column, word: Column) -> Column:
         bits = F.lpad(F.conv(F.right(F.md5(word), F.lit(16)), 16, 2), 64, "0")
         return F.zip_with(total, F.split(bits, ""), lambda a, b: a + F.when(b == "1", 1).otherwise(-1))
 
-    return F.aggregate(space_tokens(text), zero, add, lambda v: F.lpad(F.conv(F.array_join(F.transform(v, lambda x: F.when(x > 0, "1").otherwise("0")), ""), 2, 16), 16, "0"))
+    return F.aggregate(words, zero, add)
+
+
+def simhash_digits(counters: Column) -> Column:
+    """The signs of 64 counters as 16 hexadecimal digits."""
+    return F.lpad(F.conv(F.array_join(F.transform(counters, lambda x: F.when(x > 0, "1").otherwise("0")), ""), 2, 16), 16, "0")
+
+
+def simhash(text: Column) -> Column:
+    """64-bit SimHash of md5 token bits, as 16 hexadecimal digits.
+
+    Each token's last 16 hexadecimal digits are spread to one counter per bit
+    by adding arrays; the sign of a counter is the bit.
+    """
+    return simhash_digits(simhash_counters(space_tokens(text)))
